@@ -23,7 +23,10 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, _UNBASE)]
+        factors = [np.full(size, b, np.uint64) for b in (_BASE, _UNBASE)]
+        for f in factors:
+            f[0] = 1
+        _powers[:] = [np.cumprod(f) for f in factors]
     return _powers[0], _powers[1]
 
 
