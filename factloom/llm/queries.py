@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bitslice, exact_dedup, jaccard, mixing, packing, pseudonyms, substrings
+from factloom.llm import bitslice, exact_dedup, jaccard, mixing, packing, pseudonyms, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -111,7 +116,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_packing, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
