@@ -33,7 +33,7 @@ from factloom.llm.store import forget, rows_with, written
 from factloom.llm.words import Words, portions, shingles, within
 
 WINDOW, SHINGLE = 13, 5
-VALUES_A_BUCKET = 1 << 21
+VALUES_A_BUCKET, LEAST_BUCKETS = 1 << 21, 64
 WORDS_A_SHARD = 1 << 19
 ROWS_A_PORTION = 4096
 LOW48 = np.uint64(2**48 - 1)
@@ -244,7 +244,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     classes = written(rows.where(able).groupBy("sha", "k").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-total // (5 * VALUES_A_BUCKET)))
+    buckets = max(LEAST_BUCKETS, -(-total // (5 * VALUES_A_BUCKET)))
 
     whole = docs.where("doc_id is not null").withColumn("allowed", F.lit(None))
     by_anchor = written(shared_values(whole, buckets, window), "anchors")
