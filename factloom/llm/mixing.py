@@ -53,9 +53,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     return out.select("source", "source_size", "weight", F.when(F.col("level").isNull(), (F.col("source_size") * most).cast("double")).otherwise(shared).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED) -> DataFrame:
-    """docs: doc_id, text, source. quality: doc_id, quality (0 or 1), or None. One row per document: doc_id, size, source_size, target, taken, epochs (times the document comes)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED, row: Column | None = None) -> DataFrame:
+    """docs: doc_id, text, source. quality: doc_id, quality (0 or 1), or None. row: a number to carry for each row.
+
+    One row per document: doc_id, size, source_size, target, taken, times (that the document comes), source, row."""
+    row = F.lit(None).cast("long") if row is None else row
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), row.alias("row"))
     if quality is not None:
         grade = quality.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
         rows = rows.join(grade, "doc_id", "left")
@@ -97,4 +100,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED) ->
     out = seen.join(small(spare), F.col("source").eqNullSafe(F.col("x_source")), "left")
     extra = F.coalesce(F.col("comes"), F.lit(False)) | (order.eqNullSafe(F.struct("fill.key", "fill.doc_id", "fill.size")) & F.col("fill").isNotNull())
     times = (F.col("epochs") + F.when(extra, 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), "source", "row")
+
+
+def mixture(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """The rows of docs (a table that is read in the same order each time), each as often as the mix takes it."""
+    number = F.monotonically_increasing_id()
+    times = mix(docs, quality, row=number).where("times > 0").select(F.col("row").alias("_row"), F.sequence(F.lit(1).cast("long"), "times").alias("_times"))
+    return docs.withColumn("_row", number).join(times.hint("merge"), "_row").withColumn("_time", F.explode("_times")).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bitslice, exact_dedup, jaccard, language_model, mixing, packing, pseudonyms, substrings, toxicity
+from factloom.llm import bitslice, exact_dedup, jaccard, language_model, mixing, packing, pseudonyms, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -120,7 +124,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
