@@ -9,9 +9,10 @@ agree in at least e + 1 parts, so they share one of their d + 1 first parts in a
 flipped bits first leaves out the empty ones that all sets share. A set is cut for its own band and for
 those bands where larger sets may link with it. Parts travel as 48-bit hashes, packed by shuffle bucket.
 
-Equal sets are one class from the start, so copies never multiply. Classes that share a part are compared with the smallest
-class of the part first; only pairs that are then still in different components are compared besides. The Hamming
-distance of short sketches rules pairs out, and the full sets decide exactly.
+Equal sets are one class from the start, so copies never multiply. Each part that classes share ties them to the smallest of
+them; what is tied together is a family. Families are compared in blocks of bounded size, each block with each other of its family and
+none with any other: in a task the Hamming distance of the sketches rules pairs out, the full sets decide exactly, and a forest that spans the
+links leaves it, with counts, never the pairs.
 
 Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty or blank texts have empty sets and link with nothing. Rows without an id
 get their size but no component; rows that repeat an id are one node. Extra columns are not read. An empty table gives an empty result.
@@ -29,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.store import forget, rows_with, written
+from factloom.llm.store import forget, small, written
 from factloom.llm.words import Words, mix, portions, shingles, within
 
 K, NUM, DEN = 5, 4, 5  # words a shingle; a Jaccard of 4/5
 GROWTH = 1.25  # of the size bands
 SKETCH_WORDS = 32  # 2,048 bits
 TOKENS_A_BUCKET = 1 << 21
+LEAST_BUCKETS = 64
 ROWS_A_PORTION = 4096
-PAIRS_AT_ONCE = 2_000_000
+CLASSES_A_BLOCK, MEMBERS_A_BLOCK = 1024, 1 << 20
 
 
 def sets_of(column: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -94,10 +96,63 @@ def tokens_of(members: np.ndarray, num: int = NUM, den: int = DEN) -> list[np.nd
     return out
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
-    """Parity of the members at each of 2,048 bits, as signed 64-bit words."""
-    bits = np.bincount((mix(members ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity of the members at each of 2,048 bits: a row of 64-bit words per set."""
+    out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
+    for i, members in enumerate(sets):
+        bits = np.bincount((mix(members ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+        out[i] = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Which sets of left link with which of right: a boolean matrix."""
+    a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    same = left is right
+    sa = sketches(left)
+    sb = sa if same else sketches(right)
+    maybe = np.zeros((len(left), len(right)), bool)
+    for i in range(len(left)):
+        far = np.bitwise_count(sa[i] ^ sb).sum(1)
+        maybe[i] = (far * (num + den) <= (a[i] + b) * (den - num)) & (a[i] * num <= b * den) & (b * num <= a[i] * den)
+    if same:
+        np.fill_diagonal(maybe, False)
+    rows, columns = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+    out = np.zeros_like(maybe)
+    if len(rows) * len(columns) <= 64:
+        for i in rows:
+            for j in np.flatnonzero(maybe[i]):
+                both = len(np.intersect1d(left[i], right[j], assume_unique=True))
+                out[i, j] = both * (num + den) >= (a[i] + b[j]) * num
+        return out
+    some = [left[i] for i in rows], [right[j] for j in columns]
+    value, which = np.unique(np.concatenate([*some[0], *some[1]]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(s) for s in (*some[0], *some[1])])
+    often = np.bincount(which, minlength=len(value)) > 1
+    keep = often[which]
+    which, owner = np.cumsum(often)[which[keep]] - 1, owner[keep]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    for at in range(0, int(often.sum()), 2048):
+        lo, hi = np.searchsorted(which, [at, at + 2048])
+        held = np.zeros((len(rows) + len(columns), 2048), np.float32)
+        held[owner[lo:hi], which[lo:hi] - at] = 1
+        both += held[: len(rows)] @ held[len(rows) :].T
+    exact = both.astype(np.int64) * (num + den) >= (a[rows][:, None] + b[columns][None, :]) * num
+    out[np.ix_(rows, columns)] = exact & maybe[np.ix_(rows, columns)]
+    return out
+
+
+def labels(links: np.ndarray) -> np.ndarray:
+    """The smallest index that each index is connected with, by a symmetric matrix."""
+    now = np.arange(len(links))
+    while True:
+        new = np.minimum(now, np.array([now[row].min(initial=len(links)) for row in links]) if len(links) else now)
+        new = new[new]
+        if (new == now).all():
+            return now
+        now = new
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,8 +171,8 @@ def members(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.mapInArrow(digest, "doc_id long, n long, k1 long, k2 long")
 
 
-def shared_parts(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
-    """Sets of classes (k1) that share a part: g (a hash of the set of classes), k1. Each task sends a class once."""
+def tied(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
+    """Classes (k1) that share a part, each tied to the smallest of them: a, b. Each task sends a class once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -169,93 +224,79 @@ def shared_parts(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
         token, owner = token[new], owner[new]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(token)))
-        # parts that the same classes share count once
-        digest = np.add.reduceat(mix(owner.view(np.uint64)), starts) if len(starts) else np.zeros(0, np.uint64)
-        _, once = np.unique(digest, return_index=True)
-        chosen = np.zeros(len(starts), bool)
-        chosen[once] = True
-        keep = np.repeat(chosen & (size > 1), size)
-        return pa.table([pa.array(np.repeat(digest, size)[keep].view(np.int64)), pa.array(owner[keep])], names=["g", "k1"])
+        ties = np.unique(np.stack([np.repeat(owner[starts], size), owner], 1), axis=0)  # owners stand in order
+        ties = ties[ties[:, 0] != ties[:, 1]]
+        return pa.table([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
 
     sent = docs.mapInArrow(send, "bucket long, classes binary, owners binary, tokens binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "g long, k1 long").distinct()
+    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, k1, k2, n, sketch, members of each row."""
+    """docs: text, rep, k1, k2 (of the class), family, blocks. Its set with family, blocks, rep, for rows whose set is the class's."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            sets = sets_of(part.column(1), k)
+            sets = sets_of(part.column(0), k)
             keys = [_key(s) for s in sets]
-            long, longs = pa.int64(), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in keys], long), pa.array([b for _, b in keys], long), pa.array([len(s) for s in sets], long), pa.array([sketch(s) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)], ["doc_id", "k1", "k2", "n", "sketch", "members"])
-
-    return docs.mapInArrow(full, "doc_id long, k1 long, k2 long, n long, sketch array<long>, members array<long>")
-
+            right = pa.array([key == (a, b) for key, a, b in zip(keys, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
+            out = pa.RecordBatch.from_arrays([part.column(1), part.column(4), part.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "family", "blocks", "members"])
+            yield out.filter(right)
+
+    return docs.select("text", "rep", "k1", "k2", "family", "blocks").mapInArrow(full, "rep long, family long, blocks long, members binary")
+
+
+def block_links(sets: DataFrame) -> DataFrame:
+    """sets: rep, family, blocks, members. Compares each block of a family with itself and the others: node, other (the smallest node it is connected with there), n_links."""
+    own = sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    tasks = own.withColumn("o", other).select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "members")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep")
+        reps, own = rows.column("rep").to_numpy(), rows.column("own").to_numpy()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("members")]
+        # a row may come twice where its id does
+        once = np.concatenate([[True], [reps[x] != reps[x - 1] or len(sets[x]) != len(sets[x - 1]) or bool((sets[x] != sets[x - 1]).any()) for x in range(1, len(reps))]])
+        reps, own, sets = reps[once], own[once], [s for s, x in zip(sets, once, strict=True) if x]
+        i, j = key[1].as_py(), key[2].as_py()
+        if i == j:
+            links = linked(sets, sets)
+        else:
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            links = np.zeros((len(sets), len(sets)), bool)
+            links[np.ix_(left, right)] = linked([sets[x] for x in left], [sets[x] for x in right])
+            links |= links.T
+        count, least = links.sum(1), labels(links)
+        some = np.flatnonzero(count)
+        return pa.table([pa.array(reps[some]), pa.array(reps[least[some]]), pa.array(count[some].astype(np.int64))], names=["node", "other", "n_links"])
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Of the pairs a, b (classes) those that link, judged by Hamming distance first and by the full sets then."""
-    left = [F.col(c).alias(f"{c}_a") for c in ("n", "sketch")]
-    right = [F.col(c).alias(f"{c}_b") for c in ("n", "sketch")]
-    near = pairs.join(sets.select(F.col("rep").alias("a"), *left), "a").join(sets.select(F.col("rep").alias("b"), *right), "b")
-    near = near.where((F.col("n_a") * num <= F.col("n_b") * den) & (F.col("n_b") * num <= F.col("n_a") * den))
-    distance = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = near.where(distance * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b", "n_a", "n_b")
-    full = near.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("m_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("m_b")), "b")
-    both = F.size(F.array_intersect("m_a", "m_b"))
-    return full.where(both * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
+    return tasks.groupBy("family", "i", "j").applyInArrow(compare, "node long, other long, n_links long")
 
 
 def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), n_links (other sets that its set links with), component_id."""
     docs = _texts(docs, id_col, text_col)
-    spark = docs.sparkSession
     rows = written(members(docs, k), "members")
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 0.6) // TOKENS_A_BUCKET))
-    shared = written(shared_parts(docs.where("doc_id is not null"), buckets, k), "shared")
-    candidates = shared.select("k1").distinct().join(classes.hint("merge"), "k1").select("rep", "k1", "k2")
-    candidates = written(candidates, "candidates")
-    found = rows_with(docs, candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    sets = _sets(found, k).withColumnRenamed("doc_id", "rep").join(candidates.hint("merge"), ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"])
-    sets = written(sets, "sets")
-    groups = shared.join(candidates.select("rep", "k1").hint("merge"), "k1").select("g", "rep")
-    groups = written(groups, "groups")
-    forget(shared)
-
-    hubs = groups.groupBy("g").agg(F.min("rep").alias("a"))
-    star = groups.join(hubs.hint("merge"), "g").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(verified(star, sets), "star-links")
-    turn = 0
-    while True:
-        label = components(links)
-        left = groups.join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("g", "rep", F.coalesce("component", "rep").alias("c"))
-        by_part = left.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).where("n * n > s")
-        by_part = written(by_part, "open-parts")
-        pairs = by_part.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0
-        if not pairs:
-            break
-        left = written(left.join(by_part.hint("merge"), "g", "left_semi"), "open-groups")
-        turn += 1
-        # many open pairs: compare with another class of each part, drawn anew, as long as that merges components
-        if pairs > PAIRS_AT_ONCE and turn <= 6:
-            drawn = left.groupBy("g").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn))).alias("h"))
-            more = left.join(drawn.hint("merge"), "g").where("c <> h.c").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
-        else:
-            other = left.select("g", F.col("rep").alias("b"), F.col("c").alias("c_b"))
-            more = left.join(other.hint("merge"), "g").where("rep < b and c <> c_b").select(F.col("rep").alias("a"), "b").distinct()
-            turn = -1
-        new = written(verified(more, sets), "more-links")
-        links = written(links.union(new), "links-so-far")
-        if turn < 0:
-            label = components(links)
-            break
-    at = classes.join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    buckets = max(LEAST_BUCKETS, -(-int(total * 0.6) // TOKENS_A_BUCKET))
+    ties = written(tied(docs.where("doc_id is not null"), buckets, k), "ties")
+    family = components(ties)
+    family = written(family.union(family.select("component", "component").distinct()).toDF("k1", "family"), "families")
+    forget(ties)
+    known = family.join(classes.hint("merge"), "k1")
+    size = known.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CLASSES_A_BLOCK), F.ceil(F.sum("n") / MEMBERS_A_BLOCK)).cast("long").alias("blocks"))
+    known = written(known.join(size.hint("merge"), "family").select("rep", "k1", "k2", "family", "blocks"), "candidates")
+    texts = docs.join(small(known, 500_000), F.col("doc_id") == F.col("rep"))
+    links = written(block_links(_sets(texts, k)), "block-links")
+    label = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    degree = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    at = classes.join(label.hint("merge"), F.col("rep") == F.col("node"), "left").drop("node").join(degree.hint("merge"), F.col("rep") == F.col("node"), "left")
+    at = at.select("n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = rows.join(at.hint("merge"), ["n", "k1", "k2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

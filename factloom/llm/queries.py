@@ -37,7 +37,7 @@ def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
