@@ -9,10 +9,10 @@ agree in at least e + 1 parts, so they share one of their d + 1 first parts in a
 flipped bits first leaves out the empty ones that all sets share. A set is cut for its own band and for
 those bands where larger sets may link with it. Parts travel as 48-bit hashes, packed by shuffle bucket.
 
-Equal sets are one class from the start, so copies never multiply. Each part that classes share ties them to the smallest of
-them; what is tied together is a family. Families are compared in blocks of bounded size, each block with each other of its family and
-none with any other: in a task the Hamming distance of the sketches rules pairs out, the full sets decide exactly, and a forest that spans the
-links leaves it, with counts, never the pairs.
+Equal sets are one class from the start, so copies never multiply. Of the classes that share a part, those whose sketches are near enough (folded to
+the narrower one's width, which keeps the bound) are tied together; what is tied, over all parts, is a family. A common passage can give unrelated texts a part,
+but not near sketches. Families are compared exactly in blocks of bounded size, each with each other of its family; a forest that
+spans the links leaves a task, with counts, never the pairs.
 
 Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty or blank texts have empty sets and link with nothing. Rows without an id
 get their size but no component; rows that repeat an id are one node. Extra columns are not read. An empty table gives an empty result.
@@ -35,11 +35,13 @@ from factloom.llm.words import Words, mix, portions, shingles, within
 
 K, NUM, DEN = 5, 4, 5  # words a shingle; a Jaccard of 4/5
 GROWTH = 1.25  # of the size bands
-SKETCH_WORDS = 32  # 2,048 bits
+NARROWEST, WIDEST = 256, 1 << 17  # bits of a sketch: a power of two, at least twice its members
 TOKENS_A_BUCKET = 1 << 21
 LEAST_BUCKETS = 64
 ROWS_A_PORTION = 4096
 CLASSES_A_BLOCK, MEMBERS_A_BLOCK = 1024, 1 << 20
+SHARERS_A_BLOCK = 2048  # classes with one part that a task compares at once
+ROWS_A_TASK = 1 << 17
 
 
 def sets_of(column: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -96,26 +98,37 @@ def tokens_of(members: np.ndarray, num: int = NUM, den: int = DEN) -> list[np.nd
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity of the members at each of 2,048 bits: a row of 64-bit words per set."""
-    out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-    for i, members in enumerate(sets):
-        bits = np.bincount((mix(members ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-        out[i] = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+def sketch(members: np.ndarray) -> bytes:
+    """Parity of the members at each bit."""
+    width = min(WIDEST, max(NARROWEST, 1 << (2 * len(members) - 1).bit_length())) if len(members) else NARROWEST
+    bits = np.bincount((mix(members ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> list[int]:
+    """Sketches as numbers, all of the narrowest one's width: halves of a parity sketch are put together by XOR."""
+    least, out = min(map(len, sketches)) * 8, []
+    for s in sketches:
+        x, width = int.from_bytes(s, "little"), len(s) * 8
+        while width > least:
+            width //= 2
+            x = x >> width ^ x & ((1 << width) - 1)
+        out.append(x)
     return out
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
     """Which sets of left link with which of right: a boolean matrix."""
     a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    same = left is right
-    sa = sketches(left)
-    sb = sa if same else sketches(right)
+    marks = folded([sketch(s) for s in (left if left is right else [*left, *right])])
+    wide = max(1, max(map(int.bit_length, marks)) // 8 + 1) // 8 * 8 + 8
+    bits = np.frombuffer(b"".join(x.to_bytes(wide, "little") for x in marks), np.uint64).reshape(len(marks), -1)
+    sa, sb = bits[: len(left)], bits if left is right else bits[len(left) :]
     maybe = np.zeros((len(left), len(right)), bool)
     for i in range(len(left)):
-        far = np.bitwise_count(sa[i] ^ sb).sum(1)
+        far = np.bitwise_count(sa[i] ^ sb).sum(1, dtype=np.int64)
         maybe[i] = (far * (num + den) <= (a[i] + b) * (den - num)) & (a[i] * num <= b * den) & (b * num <= a[i] * den)
-    if same:
+    if left is right:
         np.fill_diagonal(maybe, False)
     rows, columns = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     out = np.zeros_like(maybe)
@@ -160,19 +173,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def members(docs: DataFrame, k: int = K) -> DataFrame:
-    """docs: doc_id, text. doc_id, n (size of its set), k1, k2 (digests of the set)."""
+    """docs: doc_id, text. doc_id, n (size of its set), k1, k2 (digests of the set), sketch."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
             sets = sets_of(part.column(1), k)
             keys = [_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys]))], ["doc_id", "n", "k1", "k2"])
+            numbers = (pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys]))
+            yield pa.RecordBatch.from_arrays([part.column(0), *numbers, pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n", "k1", "k2", "sketch"])
 
-    return docs.mapInArrow(digest, "doc_id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(digest, "doc_id long, n long, k1 long, k2 long, sketch binary")
 
 
-def tied(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
-    """Classes (k1) that share a part, each tied to the smallest of them: a, b. Each task sends a class once."""
+def sharers(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
+    """Sets of classes that share a part: g (a digest of the set), size, k1. Each task sends a class once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -224,12 +238,49 @@ def tied(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
         token, owner = token[new], owner[new]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(token)))
-        ties = np.unique(np.stack([np.repeat(owner[starts], size), owner], 1), axis=0)  # owners stand in order
-        ties = ties[ties[:, 0] != ties[:, 1]]
-        return pa.table([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+        # parts that the same classes share count once
+        digest = np.add.reduceat(mix(owner.view(np.uint64)), starts) if len(starts) else np.zeros(0, np.uint64)
+        chosen = np.zeros(len(starts), bool)
+        chosen[np.unique(digest, return_index=True)[1]] = True
+        keep = np.repeat(chosen & (size > 1), size)
+        return pa.table([pa.array(np.repeat(digest, size)[keep].view(np.int64)), pa.array(np.repeat(size, size)[keep]), pa.array(owner[keep])], names=["g", "size", "k1"])
 
     sent = docs.mapInArrow(send, "bucket long, classes binary, owners binary, tokens binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return sent.groupBy("bucket").applyInArrow(meet, "g long, size long, k1 long").distinct()
+
+
+def tied(shared: DataFrame, tasks: int, num: int = NUM, den: int = DEN) -> DataFrame:
+    """shared: g, size, rep, n, sketch. Within each g, classes that are connected by near sketches, each tied to one of them: a, b."""
+    large = F.col("size") > SHARERS_A_BLOCK
+    blocks = F.when(large, F.ceil(F.col("size") / SHARERS_A_BLOCK)).otherwise(1).cast("long")
+    rows = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # a large set of sharers is compared block by block; small ones are dealt to tasks by their digest
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(F.when(large, F.col("g")).otherwise(F.pmod("g", F.lit(tasks))).alias("task"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "g", "own", "rep", "n", "sketch")
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.sort_by("g")
+        g = table.column("g").to_numpy()
+        reps, sizes, own = (table.column(c).to_numpy().tolist() for c in ("rep", "n", "own"))
+        marks = table.column("sketch").to_pylist()
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ties: set[tuple[int, int]] = set()
+        cuts = [*np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist(), len(g)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            x = folded(marks[lo:hi])
+            root = list(range(hi - lo))
+            for i in range(hi - lo):
+                for j in range(i):
+                    if root[i] == root[j] or (first != second and own[lo + i] == own[lo + j]):
+                        continue
+                    total = sizes[lo + i] + sizes[lo + j]
+                    if (x[i] ^ x[j]).bit_count() * (num + den) <= total * (den - num) and max(sizes[lo + i], sizes[lo + j]) * num <= min(sizes[lo + i], sizes[lo + j]) * den:
+                        old, new = root[i], root[j]
+                        root = [new if r == old else r for r in root]
+            ties.update((reps[lo + r], reps[lo + i]) for i, r in enumerate(root) if reps[lo + r] != reps[lo + i])
+        return pa.table([pa.array([a for a, _ in ties], pa.int64()), pa.array([b for _, b in ties], pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("task", "i", "j").applyInArrow(near, "a long, b long")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -278,14 +329,17 @@ def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), n_links (other sets that its set links with), component_id."""
     docs = _texts(docs, id_col, text_col)
     rows = written(members(docs, k), "members")
-    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-int(total * 0.6) // TOKENS_A_BUCKET))
-    ties = written(tied(docs.where("doc_id is not null"), buckets, k), "ties")
+    shared = written(sharers(docs.where("doc_id is not null"), buckets, k), "sharers")
+    tasks = max(LEAST_BUCKETS, -(-shared.count() // ROWS_A_TASK))
+    # of classes whose k1 agrees by chance each takes part
+    ties = written(tied(shared.join(classes.select("k1", "rep", "n", "sketch").hint("merge"), "k1"), tasks), "ties")
     family = components(ties)
-    family = written(family.union(family.select("component", "component").distinct()).toDF("k1", "family"), "families")
-    forget(ties)
-    known = family.join(classes.hint("merge"), "k1")
+    family = written(family.union(family.select("component", "component").distinct()).toDF("rep", "family"), "families")
+    forget(shared, ties)
+    known = family.join(classes.drop("sketch").hint("merge"), "rep")
     size = known.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CLASSES_A_BLOCK), F.ceil(F.sum("n") / MEMBERS_A_BLOCK)).cast("long").alias("blocks"))
     known = written(known.join(size.hint("merge"), "family").select("rep", "k1", "k2", "family", "blocks"), "candidates")
     texts = docs.join(small(known, 500_000), F.col("doc_id") == F.col("rep"))
