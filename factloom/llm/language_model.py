@@ -156,7 +156,7 @@ class Softmax:
 
 
 def _changes(docs: DataFrame, weights: np.ndarray, frequent: Frequent) -> DataFrame:
-    """Each task's weights after its texts, less the weights before, times its tokens, summed in SHARES groups: n, change."""
+    """Each task's weights after its texts, less the weights before, times its tokens, summed in SHARES groups and then in one: a row n, change."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen, n = Softmax(weights.copy()), np.zeros_like(weights), 0
@@ -175,7 +175,8 @@ def _changes(docs: DataFrame, weights: np.ndarray, frequent: Frequent) -> DataFr
         return pa.table([pa.array([sum(rows.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "change"])
 
     made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(train, "n long, change binary")
-    return made.withColumn("share", F.spark_partition_id() % SHARES).groupBy("share").applyInArrow(summed, "n long, change binary")
+    shares = made.withColumn("share", F.spark_partition_id() % SHARES).groupBy("share").applyInArrow(summed, "n long, change binary")
+    return shares.groupBy(F.lit(0)).applyInArrow(summed, "n long, change binary")
 
 
 @dataclass
@@ -210,11 +211,9 @@ def trained(docs: DataFrame) -> tuple[Model, DataFrame]:
     shares[len(chosen) : OWN] = 1e-9  # classes without a word
     weights[-1] = np.log(shares / shares.sum())
     for r in range(ROUNDS):
-        rows = _changes(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), weights, frequent).collect()  # SHARES rows
-        n = sum(x.n for x in rows)
-        if n:
-            total = sum(np.frombuffer(x.change, np.float32).astype(np.float64) for x in rows) / n
-            weights = (weights + total.reshape(weights.shape)).astype(np.float32)
+        change = _changes(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), weights, frequent).first()  # as large as the weights
+        if change:
+            weights = weights + np.frombuffer(change.change, np.float32).reshape(weights.shape) / np.float32(change.n)
     return Model(frequent, weights, int(size or 0), int(distinct), denominator), counts
 
 
