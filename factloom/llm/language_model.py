@@ -176,7 +176,7 @@ def _changes(docs: DataFrame, weights: np.ndarray, frequent: Frequent) -> DataFr
 
     made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(train, "n long, change binary")
     shares = made.withColumn("share", F.spark_partition_id() % SHARES).groupBy("share").applyInArrow(summed, "n long, change binary")
-    return shares.groupBy(F.lit(0)).applyInArrow(summed, "n long, change binary")
+    return shares.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(summed, "n long, change binary")
 
 
 @dataclass
