@@ -76,14 +76,14 @@ def hard_word_ratio(text: Column, tokens: Column) -> tuple[Column, Column]:
     nouns = _nouns(tokens)
     hard = F.filter(nouns, lambda t: ~t["form"].isin(*EASY_WORDS))
     r = F.when(F.size(nouns) > 0, _ratio(hard, nouns))
-    return F.coalesce(F.greatest(F.lit(0.0), 100 - r * 200), F.lit(100.0)), _v("hard_word_ratio", _sample(hard, 5), "med", r >= 0.3)
+    return F.when(r.isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - r * 200)), _v("hard_word_ratio", _sample(hard, 5), "med", r >= 0.3)
 
 
 def hanja_loanword_ratio(text: Column, tokens: Column) -> tuple[Column, Column]:
     nouns = _nouns(tokens)
     marked = F.filter(nouns, lambda t: t["form"].isin(*HARD_TERMS) | t["form"].rlike(CJK) | t["form"].rlike("[A-Za-z]"))
     r = F.when(F.size(nouns) > 0, _ratio(marked, nouns))
-    return F.coalesce(F.greatest(F.lit(0.0), 100 - r * 200), F.lit(100.0)), _v("hanja_loanword_ratio", _sample(marked, 5), "med", r >= 0.4)
+    return F.when(r.isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - r * 200)), _v("hanja_loanword_ratio", _sample(marked, 5), "med", r >= 0.4)
 
 
 def predicates_connectives(text: Column, tokens: Column) -> tuple[Column, Column]:
