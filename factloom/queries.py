@@ -86,7 +86,8 @@ NUMBERS = (
 def korean_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*(F.lit(t) for t, _ in NUMBERS))
     text = F.concat(F.element_at(texts, (F.col("p_partkey") % len(NUMBERS) + 1).cast("int")))
-    return table(spark, sf_dir, "part").select("p_partkey", normalize.korean_number(text).alias("value"))
+    value = normalize.korean_number(text)
+    return table(spark, sf_dir, "part").select("p_partkey", value.isNotNull().alias("readable"), F.coalesce(value, F.lit(0)).cast("long").alias("value"))
 
 
 def ambiguous_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
         "slots_negation": _slot_sql(("'제외됩니다'", "'제외됩니다'"), polarity="false"),
         "slots_agency": _slot_sql(("'강서구청'", "'강서구청'")),
         "slots_numeric": _slot_sql(("age || '세'", "age || '세'"), ("n || '명'", "n || '명'")),
-        "korean_numbers": f"SELECT p_partkey, CAST(CASE p_partkey % {len(NUMBERS)} {numbers} END AS BIGINT) AS value FROM part",
+        "korean_numbers": f"SELECT p_partkey, v IS NOT NULL AS readable, CAST(coalesce(v, 0) AS BIGINT) AS value FROM (SELECT p_partkey, CASE p_partkey % {len(NUMBERS)} {numbers} END AS v FROM part)",
         "ambiguous_deadlines": f"SELECT CAST(age AS INTEGER) AS age, substr(iso, 6) AS month_day, count(DISTINCT y) AS n_years FROM ({_F}) GROUP BY ALL HAVING count(DISTINCT y) >= 2",
         "slot_survival_failures": _FAILED,
         "meaning_flips": f"SELECT o_orderkey, CAST(c = 3 AS BIGINT) AS date_flips, CAST(c IN (5, 6) AS BIGINT) AS scope_flips, CAST(c = 4 AS BIGINT) AS negation_flips FROM ({_F}) WHERE c IN (3, 4, 5, 6)",
