@@ -4,12 +4,15 @@ A text is its words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased), then one end. A to
 tokens before it, times its share of the class. The most frequent training words and the end are classes of
 their own; all others fall into classes by a hash of their first two bytes and last byte. The class is predicted by a softmax over
 hashed features: the word before (n-gram), the two before (n-gram), the words two and three before (skips) and the
-classes of the two before. Within a class a word's weight is log(count + 1), with a place for unknown words, so that probabilities of all words add up to one.
+classes of the two before. Within a class a word's weight is log(count + 1), with a place for unknown words, plus a weight of the pair it makes with the word before, if
+training has it: log(1 + c / (T * share)), where c is the pair's count, T how many different words of the class follow that word before, and share the word's part of the class.
+The normaliser is then 1 + C / T (C: the sum of c in the class), so that probabilities of all words add up to one. Pairs are not cut: their table grows with the texts.
 
 Counts cover all training texts: per task first, then by hash. The softmax is trained by distributed gradient updates: the training
 texts are dealt into rounds; in each, tasks run AdaGrad over their texts from the same weights, and their changes are averaged by
 tokens. Scores are made in numpy batches; counts of words beyond the most frequent ones (a bounded list that every task
-gets) are joined by hash, so the vocabulary is never broadcast.
+gets) are joined by hash, so the vocabulary is never broadcast. Pairs are dealt by the hash of the word before and the class into buckets, whose number
+follows the tokens; a bucket counts the training pairs, finds the weights of all, and its sums go back to the texts. No pair reaches the driver.
 
 Null and empty texts are the end alone. Null ids are not held out. Repeated rows are scored (and counted) each. Without
 training texts N = V = 0 and every token is unknown. An empty table gives an empty result; extra columns are not read.
@@ -22,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ FEATURES = 5
 BATCH = 8192
 ROUNDS = 2
 RATE = 0.2
+PAIRS_A_BUCKET = 1 << 20
+GROUP_BITS = 27  # of the hash of the word before, besides those that pick the bucket
 MERGED_AT = 1 << 20
 SHARES = 16
 END = np.uint64(0x3C79AC492BA7B653)
@@ -119,6 +126,7 @@ class Batch:
             return out
 
         one, two, three = (earlier(self.h, k, BEFORE) for k in (1, 2, 3))
+        self.before = one
         near = earlier(self.target, 1, CLASSES), earlier(self.target, 2, CLASSES)
         hashed = [one, two + np.uint64(1), three + np.uint64(2), one * np.uint64(3) ^ mix(two)]
         self.features = np.stack([*((mix(x) % np.uint64(SLOTS)).astype(np.int64) for x in hashed), (near[0] * (CLASSES + 1) + near[1]) % SLOTS])
@@ -217,16 +225,70 @@ def trained(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(frequent, weights, int(size or 0), int(distinct), denominator), counts
 
 
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_tokens, n_known, base_score, score."""
+def _planes(x: np.ndarray) -> bytes:
+    """x by bytes of the same place, so that small numbers compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _whole(planes: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _joined(column: pa.ChunkedArray, kind, read=np.frombuffer) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of all rows in one, and the row that each entry is from."""
+    parts = [read(x, kind) for x in column.to_pylist()]
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def pairs_of(b: Batch, train: np.ndarray, buckets: int) -> Iterator[tuple[int, list[bytes]]]:
+    """bucket, (groups, words, rows) of the pairs with frequent words and the same of those with other words. A class of one word needs no pair. rows: 2 * row + 1 if it is training."""
+    inner = np.flatnonzero(b.target >= OWN)
+    kind = (b.target[inner] - OWN).astype(np.uint64)
+    mixed = mix(b.before[inner] * np.uint64(0x9FB21C651E98DF25) + kind)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    group = ((mixed & np.uint64((1 << GROUP_BITS) - 1)) << np.uint64(5) | kind).astype(np.uint32)
+    row = (2 * b.row[inner] + train[b.row[inner]]).astype(np.uint32)
+    place = 2 * bucket + ~b.known[inner]
+    order = np.argsort(place.astype(np.uint16) if 2 * buckets < 1 << 16 else place, kind="stable")
+    inner, group, row = inner[order], group[order], row[order]
+    present, first = np.unique(place[order], return_index=True)
+    found: dict[int, list[bytes]] = {}
+    for p, lo, hi in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        word = b.h[inner[lo:hi]] if p & 1 else b.at[inner[lo:hi]].astype(np.uint16)
+        found.setdefault(p >> 1, [b""] * 6)[3 * (p & 1) : 3 * (p & 1) + 3] = [group[lo:hi].tobytes(), word.tobytes(), _planes(row[lo:hi])]
+    yield from found.items()
+
+
+def weighed(group: np.ndarray, word: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair: log10 of T / (C + T), and c / T; without training pairs in the group 0 and 0. Words of a group are told apart by 32 bits of their hash."""
+    key = group.astype(np.uint64) << np.uint64(32) | word >> np.uint64(32)
+    order = np.argsort(key)
+    key, train = key[order], train[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    pair = np.cumsum(new) - 1
+    c, of_pair = np.bincount(pair, train), key[new] >> np.uint64(32)
+    of_pair = np.cumsum(np.append(False, of_pair[1:] != of_pair[:-1])[: len(of_pair)])
+    t, total = np.bincount(of_pair, c > 0), np.bincount(of_pair, c)
+    rest = np.log10(np.where(t > 0, t, 1) / np.where(t > 0, total + t, 1))
+    out, share = np.empty(len(key)), np.empty(len(key))
+    out[order], share[order] = rest[of_pair][pair], (c / np.maximum(t, 1)[of_pair])[pair]
+    return out, share
+
+
+def scored(docs: DataFrame, model: Model, counts: DataFrame, held: Column) -> DataFrame:
+    """docs: doc_id, text; held: a condition on doc_id, false for the texts that the model was trained on. doc_id, n_tokens, n_known, base_score, score."""
     log_all = float(np.log10(model.size + model.distinct + 1))
     in_class = np.log10(model.denominator)
+    inner = model.denominator[OWN:]
     frequent, log_counts = model.frequent, np.log10(model.frequent.counts + 1.0)
+    buckets = max(1, -(-model.size // PAIRS_A_BUCKET))
+    n_blobs = 6
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         softmax = Softmax(model.weights)
         for part in portions(batches):
-            b = Batch(part.column(1), frequent)
+            b = Batch(part.column(3), frequent)
             classes = np.empty(len(b.h))
             for i in range(0, len(b.h), BATCH):
                 t = b.target[i : i + BATCH]
@@ -234,18 +296,63 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             classes = classes / np.log(10) - in_class[b.target]
             known = np.where(b.known, log_counts[b.at] if len(log_counts) else 0.0, 0.0)
             by_row = lambda x: np.bincount(b.row, x, b.rows)
-            rare = np.flatnonzero(~b.known)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(b.row[rare], np.arange(b.rows + 1)), pa.int32()), pa.array(b.h[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(by_row(np.ones(len(b.h))).astype(np.int64)), pa.array(by_row(b.known).astype(np.int64)), pa.array(by_row(known)), pa.array(by_row(classes)), lists], ["doc_id", "n_tokens", "frequent", "log_counts", "classes", "rare"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = texts.mapInArrow(score, "doc_id long, n_tokens long, frequent long, log_counts double, classes double, rare array<long>")
-    own = written(own.withColumn("row", F.monotonically_increasing_id()), "own-scores")
-    rest = own.select("row", F.explode("rare").alias("h")).join(counts.select("h", "c").hint("merge"), "h")
-    rest = rest.groupBy("row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
-    out = own.drop("rare").join(rest.hint("merge"), "row", "left")
+            own = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(by_row(np.ones(len(b.h))).astype(np.int64)), pa.array(by_row(b.known).astype(np.int64)), pa.array(by_row(known)), pa.array(by_row(classes))], ["row", "doc_id", "n_tokens", "frequent", "log_counts", "classes"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as stream:
+                stream.write_batch(own)
+            at = part.column(0)[0].as_py()  # a part is named by its first row
+            train = part.column(2).to_numpy(zero_copy_only=False)
+            out = [(at, at % buckets, sink.getvalue().to_pybytes(), *[None] * n_blobs), *((at, k, None, *x) for k, x in pairs_of(b, train, buckets))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), *[pa.binary()] * (1 + n_blobs)], strict=True)], ["part", "bucket", "own", "groups", "words", "rows", "rare_groups", "rare_words", "rare_rows"])
+
+    def weigh(table: pa.Table) -> pa.Table:
+        """Of each part in a bucket: sums by row, and for words whose counts are not here the inputs of theirs."""
+        out = [(p, x, *[None] * 5) for p, x in zip(table.column("part").to_pylist(), table.column("own").to_pylist(), strict=True) if x is not None]
+        table = table.filter(pa.compute.is_null(table.column("own")))
+        if table.num_rows:
+            (g, at), (w, _), (r, _) = (_joined(table.column(c), kind, read) for c, kind, read in (("groups", np.uint32, np.frombuffer), ("words", np.uint16, np.frombuffer), ("rows", np.uint32, _whole)))
+            (rare_g, rare_at), (rare_w, _), (rare_r, _) = (_joined(table.column(c), kind, read) for c, kind, read in (("rare_groups", np.uint32, np.frombuffer), ("rare_words", np.uint64, np.frombuffer), ("rare_rows", np.uint32, _whole)))
+            group, hashes = np.concatenate([g, rare_g]), np.concatenate([frequent.hashes[w] if len(w) else np.zeros(0, np.uint64), rare_w])
+            gain, share = weighed(group, hashes, np.concatenate([r, rare_r]) & 1)
+            share *= inner[group & 31]
+            if len(w):
+                gain[: len(w)] += np.log10(1 + share[: len(w)] / (frequent.counts[w] + 1.0))
+            of = np.concatenate([at, rare_at])
+            # all pairs of a part and row, in order
+            key = of.astype(np.int64) << 32 | (np.concatenate([r, rare_r]) >> 1)
+            keys, which = np.unique(key, return_inverse=True)
+            sums, rows = np.bincount(which, gain).astype(np.float32), (keys & 0xFFFFFFFF).astype(np.uint32)
+            n = table.num_rows
+            cut, rare_cut = np.searchsorted(keys >> 32, np.arange(n + 1)), np.searchsorted(rare_at, np.arange(n + 1))
+            rare_rows, rare_share = rare_r >> 1, share[len(w) :].astype(np.float32)
+            for i, p in enumerate(table.column("part").to_pylist()):
+                a, b, x, y = cut[i], cut[i + 1], rare_cut[i], rare_cut[i + 1]
+                out.append((p, None, _planes(rows[a:b]), sums[a:b].tobytes(), _planes(rare_rows[x:y]), rare_w[x:y].tobytes(), rare_share[x:y].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 6], strict=True)], names=["part", "own", "rows", "sums", "rare_rows", "rare_words", "rare_shares"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        own = pa.ipc.open_stream(next(x for x in table.column("own").to_pylist() if x is not None)).read_all()
+        table, n = table.filter(pa.compute.is_null(table.column("own"))), own.num_rows
+        classes, h, share, row = own.column("classes").to_numpy(), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64)
+        if table.num_rows:
+            rows, sums, row, h, share = (_joined(table.column(c), kind, read)[0] for c, kind, read in (("rows", np.uint32, _whole), ("sums", np.float32, np.frombuffer), ("rare_rows", np.uint32, _whole), ("rare_words", np.int64, np.frombuffer), ("rare_shares", np.float32, np.frombuffer)))
+            classes = classes + np.bincount(rows, sums, n)
+        order = np.argsort(row, kind="stable")
+        ends = pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (h, share)]
+        return pa.table([*(own.column(c) for c in ("row", "doc_id", "n_tokens", "frequent", "log_counts")), pa.array(classes), *lists], names=["row", "doc_id", "n_tokens", "frequent", "log_counts", "classes", "rare", "shares"])
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
+    pairs = texts.mapInArrow(score, "part long, bucket long, own binary, groups binary, words binary, rows binary, rare_groups binary, rare_words binary, rare_rows binary")
+    sums = pairs.groupBy("bucket").applyInArrow(weigh, "part long, own binary, rows binary, sums binary, rare_rows binary, rare_words binary, rare_shares binary")
+    own = sums.groupBy("part").applyInArrow(gather, "row long, doc_id long, n_tokens long, frequent long, log_counts double, classes double, rare array<long>, shares array<float>")
+    own = written(own, "own-scores")
+    rest = own.select("row", F.explode(F.arrays_zip("rare", "shares")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.shares").alias("share"))
+    rest = rest.join(counts.select("h", "c").hint("merge"), "h")
+    rest = rest.groupBy("row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("c") + 1)).alias("more"), F.sum(F.log10(1 + F.col("share") / (F.col("c") + 1))).alias("gain"))
+    out = own.drop("rare", "shares").join(rest.hint("merge"), "row", "left")
     logs = F.col("log_counts") + F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("frequent") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), (logs - F.col("n_tokens") * log_all).alias("base_score"), (logs + F.col("classes")).alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("frequent") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), (logs - F.col("n_tokens") * log_all).alias("base_score"), (logs + F.col("classes") + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -255,5 +362,5 @@ def held_out(doc_id: Column) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """Scores of all rows by a model of those that are not held out. doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     model, counts = trained(docs.where(~held_out(F.col("doc_id"))))
-    out = scored(docs, model, counts)
+    out = scored(docs, model, counts, held_out(F.col("doc_id")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.size).cast("long").alias("train_tokens"), "base_score", "score")

@@ -344,3 +344,30 @@ def test_language_model_shares_add_up(docs):
         in_class[k if k >= 0 else language_model.OWN + r.kind] += r.c + 1
     for k, total in in_class.items():
         assert total + (k >= language_model.OWN) == model.denominator[k]
+
+
+def test_language_model_words_follow_the_word_before(spark, monkeypatch):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    free = iter(i for i in range(1000) if i not in set(held))
+    rows = [(next(free), " ".join(f"f{j}" for j in range(40))) for _ in range(30)]
+    rows += [(next(free), f"k{i} xy{i}z") for i in range(8) for _ in range(5)]  # xy0z to xy7z: one class by spelling, equally frequent
+    rows += [(held[0], "k1 xy1z"), (held[1], "k1 xy2z"), (held[2], "unseen xy2z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for frequent in (language_model.FREQUENT, 36):  # the counts of xy0z to xy7z are at hand, or joined by hash
+        monkeypatch.setattr(language_model, "FREQUENT", frequent)
+        scores.append({r.doc_id: r.score for r in language_model.judged(df).collect()})
+    assert scores[0][held[0]] > scores[0][held[1]] + 0.5
+    assert all(math.isclose(s, scores[1][i], abs_tol=1e-4) for i, s in scores[0].items())
+
+
+def test_language_model_pair_weights_add_up():
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    base = rng.dirichlet(np.ones(50))
+    group, word = rng.integers(0, 6, 400).astype(np.uint32), rng.integers(0, 30, 400)
+    every = np.repeat(np.arange(7, dtype=np.uint32), 50)  # each word after each group, not trained; group 6 has no pair
+    asked = np.tile(np.arange(50), 7)
+    rest, share = language_model.weighed(np.concatenate([group, every]), vocabulary[np.concatenate([word, asked])], np.repeat([1, 0], [400, 350]))
+    p = base[asked] * 10 ** rest[400:] * (1 + share[400:] / base[asked])
+    assert np.allclose(p.reshape(7, 50).sum(1), 1) and np.allclose(p[300:], base)
