@@ -18,12 +18,12 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def facts(orders: DataFrame) -> DataFrame:
-    """o_orderkey, case, amount, y, m, d, age, n, phone, wage."""
+def facts(orders: DataFrame, case: int | None = None) -> DataFrame:
+    """case: the case of all orders, else it follows from the key. o_orderkey, case, amount, y, m, d, age, n, phone, wage."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     return orders.select(
         "o_orderkey",
-        (key % CASES).cast("int").alias("case"),
+        (key % CASES if case is None else F.lit(case)).cast("int").alias("case"),
         F.floor("o_totalprice").cast("long").alias("amount"),
         F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"),
         (cust % 60 + 20).cast("int").alias("age"),
@@ -33,9 +33,9 @@ def facts(orders: DataFrame) -> DataFrame:
     )
 
 
-def pairs(orders: DataFrame) -> DataFrame:
-    """o_orderkey, case, source_text, easy_text, ref_date."""
-    f = facts(orders)
+def pairs(orders: DataFrame, case: int | None = None) -> DataFrame:
+    """o_orderkey, case, source_text, easy_text, ref_date. case: as in facts."""
+    f = facts(orders, case)
     c = F.col("case")
     won = lambda x: F.concat(F.format_number(x, 0), F.lit("원"))
     day = lambda d: F.concat(_s(F.col("y")), F.lit("년 "), _s(F.col("m")), F.lit("월 "), _s(d), F.lit("일"))

@@ -133,6 +133,20 @@ def distortion_bench_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("clean_fp_rate", "pass_residual_distortion_rate", "precision", "recall", "f1")})
 
 
+def _all_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every order, with the undistorted easy text."""
+    return distort.distorted(notices.pairs(table(spark, sf_dir, "orders"), case=0))
+
+
+def distortion_bench_by_type_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distort.by_type(_all_cases(spark, sf_dir), gate.verified)
+
+
+def distortion_bench_overall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = distort.overall(_all_cases(spark, sf_dir), gate.verified)
+    return out.withColumns({c: F.round(c, 9) for c in ("clean_fp_rate", "pass_residual_distortion_rate", "precision", "recall", "f1")})
+
+
 def pictogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     tails = F.array(*map(F.lit, PICTOGRAM_TAILS))
     text = F.concat("easy_text", F.lit(" "), F.element_at(tails, (F.col("o_orderkey") % len(PICTOGRAM_TAILS) + 1).cast("int")))
@@ -345,6 +359,13 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'date_shift', easy_text LIKE '%7월 17일%' FROM t UNION ALL SELECT unnest(['inclusivity_flip', 'negation_drop', 'condition_flip', 'range_weaken', 'entity_swap', 'hallucinated_entity']), true FROM t
       ), n AS (SELECT distortion_type, count(*) AS n_cases, CASE WHEN distortion_type = 'hallucinated_entity' THEN 0 ELSE count(*) END AS n_caught FROM x WHERE has GROUP BY distortion_type)
     """
+    # an amount that the order names twice survives if one of the two is swapped
+    bench_all = f"""
+      WITH t AS (SELECT * FROM ({_TEXT.replace("CAST(o_orderkey % 12 AS INTEGER) AS c", "0 AS c")})), x AS (
+        SELECT 'number_swap' AS distortion_type, easy_text LIKE '%30,000%' AS has, amount <> wage AS caught FROM t UNION ALL SELECT 'digit_drop', easy_text LIKE '%1,295,400%', true FROM t UNION ALL SELECT 'krw_unit_error', easy_text LIKE '%3억%', true FROM t
+        UNION ALL SELECT 'date_shift', easy_text LIKE '%7월 17일%', true FROM t UNION ALL SELECT unnest(['inclusivity_flip', 'negation_drop', 'condition_flip', 'range_weaken', 'entity_swap']), true, true FROM t UNION ALL SELECT 'hallucinated_entity', true, false FROM t
+      ), n AS (SELECT distortion_type, count(*) AS n_cases, count(*) FILTER (WHERE caught) AS n_caught FROM x WHERE has GROUP BY distortion_type)
+    """
     lexicon = ", ".join(f"({i}, '{w}', '{g}')" for i, (w, g, _) in enumerate(pictograms.LEXICON))
     tails = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(PICTOGRAM_TAILS))
     guard = "CASE o_orderkey % 4 WHEN 0 THEN len(easy_text) + 5 WHEN 2 THEN len(easy_text) + 2 ELSE 0 END"
@@ -382,6 +403,11 @@ def oracle_sql() -> dict[str, str]:
             CASE c WHEN 1 THEN 'amounts' WHEN 2 THEN 'dates' WHEN 4 THEN 'eligibility' WHEN 7 THEN 'entities' WHEN 9 THEN 'numbers' WHEN 10 THEN 'entities' ELSE '' END AS failed_categories FROM ({_F})""",
         "distortion_bench_by_type": bench + "SELECT distortion_type, n_cases, CAST(n_caught AS BIGINT) AS n_caught, CAST(n_caught AS DOUBLE) / n_cases AS recall FROM n",
         "distortion_bench_overall": bench
+        + """, a AS (SELECT CAST(sum(n_cases) AS BIGINT) AS cases, CAST(sum(n_caught) AS BIGINT) AS tp FROM n), c AS (SELECT count(*) AS n_clean FROM t)
+          SELECT cases + n_clean AS n_cases, n_clean, tp, cases - tp AS fn, CAST(0 AS BIGINT) AS fp, n_clean AS tn, CAST(0 AS DOUBLE) AS clean_fp_rate, round(CAST(cases - tp AS DOUBLE) / cases, 9) AS pass_residual_distortion_rate,
+            CAST(1 AS DOUBLE) AS precision, round(CAST(tp AS DOUBLE) / cases, 9) AS recall, round(2 * (CAST(tp AS DOUBLE) / cases) / (1 + CAST(tp AS DOUBLE) / cases), 9) AS f1 FROM a, c""",
+        "distortion_bench_by_type_all": bench_all + "SELECT distortion_type, n_cases, CAST(n_caught AS BIGINT) AS n_caught, CAST(n_caught AS DOUBLE) / n_cases AS recall FROM n",
+        "distortion_bench_overall_all": bench_all
         + """, a AS (SELECT CAST(sum(n_cases) AS BIGINT) AS cases, CAST(sum(n_caught) AS BIGINT) AS tp FROM n), c AS (SELECT count(*) AS n_clean FROM t)
           SELECT cases + n_clean AS n_cases, n_clean, tp, cases - tp AS fn, CAST(0 AS BIGINT) AS fp, n_clean AS tn, CAST(0 AS DOUBLE) AS clean_fp_rate, round(CAST(cases - tp AS DOUBLE) / cases, 9) AS pass_residual_distortion_rate,
             CAST(1 AS DOUBLE) AS precision, round(CAST(tp AS DOUBLE) / cases, 9) AS recall, round(2 * (CAST(tp AS DOUBLE) / cases) / (1 + CAST(tp AS DOUBLE) / cases), 9) AS f1 FROM a, c""",
@@ -415,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
+        annotated_pairs, distortion_bench_by_type, distortion_bench_overall, distortion_bench_by_type_all, distortion_bench_overall_all, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     return out | {f.__name__: f for f in plain}

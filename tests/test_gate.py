@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import normalize
 from factloom.operators import distort, gate
+from factloom.plans import notices
 
 REF = datetime.date(2026, 7, 1)
 
@@ -73,3 +74,9 @@ def test_distortions_are_caught(spark):
     assert (total.n_clean, total.fp, total.clean_fp_rate, total.precision) == (1, 0, 0.0, 1.0)
     empty = distort.overall(cases.where("false"), gate.verified).first()
     assert (empty.n_cases, empty.f1, empty.recall) == (0, 0.0, 0.0)
+
+
+def test_undistorted_texts_of_all_orders(spark):
+    orders = spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 1000.5D + id AS o_totalprice, DATE'1995-03-08' AS o_orderdate FROM range(24)")
+    clean = distort.distorted(notices.pairs(orders, case=0)).where("is_clean")
+    assert gate.verified(clean).where("verdict = 'pass'").count() == 24
