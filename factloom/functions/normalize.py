@@ -35,7 +35,7 @@ def _looked_up(char: Column, table: dict[str, int]) -> Column:
 def korean_number(text: Column) -> Column:
     """A number written in digits, Korean numerals or both, with hedges and currency marks, as a long.
 
-    Null if nothing is left to read, a character has no meaning, or there are more than 18 characters."""
+    Null if nothing is left to read, a character has no meaning, or the value is beyond a long."""
     s = stripped(text)
     for word in (*HEDGES, *AFFIXES, ",", " "):
         s = F.replace(s, F.lit(word), F.lit(""))
@@ -55,23 +55,26 @@ def _read(s: Column) -> Column:
         small, big = _looked_up(c, SMALL_UNITS), _looked_up(c, BIG_UNITS)
         current = F.when(a["run"] >= 0, a["run"]).otherwise(a["digit"])
         times = F.when(current == 0, F.lit(1).cast("long")).otherwise(current)
-        chunk = F.when(a["open"], a["part"] + current).otherwise(F.lit(1).cast("long"))
+        chunk = F.when(a["open"], F.try_add(a["part"], current)).otherwise(F.lit(1).cast("long"))
         none = F.lit(-1).cast("long")
+        # null where the value is beyond a long
+        run = F.try_add(F.try_multiply(F.greatest(a["run"], zero), F.lit(10).cast("long")), arabic)
+        part, whole = F.try_add(a["part"], F.try_multiply(times, small)), F.try_add(a["all"], F.try_multiply(chunk, big))
         return (
-            F.when(arabic.isNotNull(), state(all=a["all"], part=a["part"], digit=a["digit"], run=F.greatest(a["run"], zero) * 10 + arabic, open=F.lit(True), big=a["big"], bad=a["bad"]))
+            F.when(arabic.isNotNull(), state(all=a["all"], part=a["part"], digit=a["digit"], run=run, open=F.lit(True), big=a["big"], bad=a["bad"] | run.isNull()))
             .when(korean.isNotNull(), state(all=a["all"], part=a["part"], digit=korean, run=none, open=F.lit(True), big=a["big"], bad=a["bad"]))
-            .when(small.isNotNull(), state(all=a["all"], part=a["part"] + times * small, digit=zero, run=none, open=F.lit(True), big=a["big"], bad=a["bad"]))
-            .when(big.isNotNull(), state(all=a["all"] + F.try_multiply(chunk, big), part=zero, digit=zero, run=none, open=F.lit(False), big=F.lit(True), bad=a["bad"]))
+            .when(small.isNotNull(), state(all=a["all"], part=part, digit=zero, run=none, open=F.lit(True), big=a["big"], bad=a["bad"] | part.isNull()))
+            .when(big.isNotNull(), state(all=whole, part=zero, digit=zero, run=none, open=F.lit(False), big=F.lit(True), bad=a["bad"] | whole.isNull()))
             .otherwise(state(all=a["all"], part=a["part"], digit=a["digit"], run=a["run"], open=a["open"], big=a["big"], bad=F.lit(True)))
         )
 
     def finish(a: Column) -> Column:
-        total = a["all"] + F.when(a["open"], a["part"] + F.when(a["run"] >= 0, a["run"]).otherwise(a["digit"])).otherwise(zero)
+        total = F.try_add(a["all"], F.when(a["open"], F.try_add(a["part"], F.when(a["run"] >= 0, a["run"]).otherwise(a["digit"]))).otherwise(zero))
         return F.when(~a["bad"] & ((total != 0) | a["big"]), total)
 
     read = F.aggregate(F.split(s, ""), start, step, finish)
-    plain = F.when(s.rlike("^[0-9]+$"), s.cast("long"))
-    return F.when((s != "") & (F.length(s) <= 18), F.coalesce(plain, read))
+    plain = F.when(s.rlike("^[0-9]+$"), s.try_cast("long"))
+    return F.when(s != "", F.coalesce(plain, read))
 
 
 def date_iso(span: Column, ref_date: Column) -> Column:

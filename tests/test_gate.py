@@ -80,3 +80,16 @@ def test_undistorted_texts_of_all_orders(spark):
     orders = spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 1000.5D + id AS o_totalprice, DATE'1995-03-08' AS o_orderdate FROM range(24)")
     clean = distort.distorted(notices.pairs(orders, case=0)).where("is_clean")
     assert gate.verified(clean).where("verdict = 'pass'").count() == 24
+
+
+LONG = "구천구백구십구억구천구백구십구만구천구백구십구원"
+
+
+@pytest.mark.parametrize("text,value", [(LONG, 999_999_999_999), ("구백이십이경삼천삼백칠십이조삼백육십팔억오천사백칠십칠만오천팔백칠원", 9223372036854775807), ("구백이십이경삼천삼백칠십이조삼백육십팔억오천사백칠십칠만오천팔백팔원", None), ("9223372036854775807", 9223372036854775807), ("9223372036854775808", None), ("9223372036854775808천", None), ("000000000000000000000000012", 12)])
+def test_long_numbers(spark, text, value):
+    assert spark.range(1).select(normalize.korean_number(F.lit(text)).alias("v")).first().v == value
+
+
+def test_a_long_spelled_amount_must_survive(spark):
+    got = judge(spark, [(f"대금 {LONG}을 내세요.", f"돈 {LONG}을 내요."), (f"대금 {LONG}을 내세요.", f"돈 {LONG[:-2]}팔원을 내요.")])
+    assert [got[i].verdict for i in range(2)] == ["pass", "revise"]
