@@ -4,11 +4,12 @@ Validated values are permuted by a keyed Feistel network over exactly the values
 pseudonym is again a valid value of that format, equal values stay equal across documents, and different values
 stay different:
 
-* card: 13 to 19 digits, or four groups of four, that pass the Luhn check; the check digit is made anew
-* phone: +1 (ddd) ddd-dddd and the like; the ten digits after the country code
+* card: 13 to 19 digits, four groups of four, or groups of 4, 6 and 5, that pass the Luhn check; the check digit is made anew
+* phone: +1 (ddd) ddd-dddd and the like, also without +1: all ten digits; other numbers with +: what follows the first three digits (of +82: what follows the
+  area); Korean numbers that begin with 0: what follows the area
 * ip: four numbers up to 255
 * ssn: ddd-dd-dddd within the ranges that are issued
-* date: yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy that exist, in the 400 years from 1800 on (146,097 days)
+* date: yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy that exist, in the 400 years from 1800 on (146,097 days) for those in them, else in all other years from 1 to 9999
 * email: letters and digits of the part before @ are replaced by a keyed digest of it (one way)
 
 What is not valid (a wrong check digit, 31 February) stays as it is. Null texts stay null, empty ones empty; null ids,
@@ -24,11 +25,11 @@ KEY = "change this key"
 ROUNDS = 8
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![0-9A-Za-z])",
+    "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![0-9A-Za-z])|\+[2-9](?:[ .-]?\(?\d\)?){7,14}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])(?:(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}|(?:\(0\d{1,2}\)[ .-]?|0\d{1,2}[ .-])\d{3,4}[ .-]\d{4}|01[016-9]\d{7,8})(?![0-9A-Za-z])(?![.-]\d)",
     "date": r"(?<![0-9A-Za-z.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![0-9A-Za-z])(?![.-]\d)",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])(?!-\d)",
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z])(?!\.\d)",
-    "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(FORMS.values())
 
@@ -102,8 +103,11 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    digits = F.regexp_replace(m, r"\D", "")
-    return _filled(m, F.concat(F.lit("1"), permuted_digits(key, "phone", F.substring(digits, 2, 10))))
+    def of(digits: Column) -> Column:
+        kept = F.when(m.startswith("+"), F.regexp_extract(digits, r"^(?:1|82(?:2|[13-7]\d)|\d{3})", 0)).otherwise(F.regexp_extract(digits, r"^(?:02|0\d\d)?", 0))
+        return _bound(kept, lambda k: F.concat(k, permuted_digits(key, "phone", F.substring(digits, F.length(k) + 1, F.length(digits)))))
+
+    return _filled(m, _bound(F.regexp_replace(m, r"\D", ""), of))
 
 
 def _ip(key: str, m: Column) -> Column:
@@ -124,6 +128,8 @@ def _ssn(key: str, m: Column) -> Column:
 
 FIRST_DAY = "1800-01-01"
 A_DATES, B_DATES = 189, 773  # 146,097 days
+EARLIEST, BEFORE_FIRST = "0001-01-01", 657071  # the days before FIRST_DAY
+A_OTHER, B_OTHER = 762, 4601  # those and the days from 2200 to 9999
 
 
 def _date(key: str, m: Column) -> Column:
@@ -132,7 +138,12 @@ def _date(key: str, m: Column) -> Column:
         n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         s = feistel(key, "date", F.floor(n / B_DATES), F.pmod(n, F.lit(B_DATES)), F.lit(A_DATES).cast("long"), F.lit(B_DATES).cast("long"))
         new = _bound(s, lambda x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * B_DATES + x["r"]).cast("int")), how))
-        return F.when(n.between(0, A_DATES * B_DATES - 1), new)
+        # the days before and after those years, as if they followed each other
+        k = F.datediff(day, F.lit(EARLIEST).cast("date")) - F.when(n >= 0, A_DATES * B_DATES).otherwise(0)
+        o = feistel(key, "other date", F.floor(k / B_OTHER), F.pmod(k, F.lit(B_OTHER)), F.lit(A_OTHER).cast("long"), F.lit(B_OTHER).cast("long"))
+        at = _bound(o, lambda x: (x["l"] * B_OTHER + x["r"]).cast("int"))
+        other = _bound(at, lambda x: F.date_format(F.date_add(F.lit(EARLIEST).cast("date"), x + F.when(x >= BEFORE_FIRST, A_DATES * B_DATES).otherwise(0)), how))
+        return F.when(n.between(0, A_DATES * B_DATES - 1), new).when(day.isNotNull(), other)
 
     return F.when(m.contains("."), of("dd.MM.yyyy")).when(m.contains("/"), of("MM/dd/yyyy")).otherwise(of("yyyy-MM-dd"))
 
@@ -150,7 +161,7 @@ def _email(key: str, m: Column) -> Column:
 
 
 def _kind(m: Column) -> Column:
-    out = F.when(m.contains("@"), "email").when(m.startswith("+"), "phone")
+    out = F.when(m.contains("@"), "email").when(m.rlike(f"^(?:{FORMS['phone']})$"), "phone")
     return out.when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), "date").when(m.contains("."), "ip").otherwise("card")
 
 

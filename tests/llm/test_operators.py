@@ -371,3 +371,19 @@ def test_language_model_pair_weights_add_up():
     rest, share = language_model.weighed(np.concatenate([group, every]), vocabulary[np.concatenate([word, asked])], np.repeat([1, 0], [400, 350]))
     p = base[asked] * 10 ** rest[400:] * (1 + share[400:] / base[asked])
     assert np.allclose(p.reshape(7, 50).sum(1), 1) and np.allclose(p[300:], base)
+
+
+def test_pseudonyms_of_other_forms(spark):
+    values = ["(212) 555-0187", "212-555-0187", "010-1234-5678", "01012345678", "+82 10-1234-5678", "02-123-4567", "(031) 123-4567", "+44 20 7946 0958", "3782-822463-10005", "1799-12-31", "12/31/2200", "01.03.0004", "9999-12-31", "+1 212 555 0187"]
+    kept = ["12-34-5678-9", "2023-02-29", "order 212-555-01877", "3782-822463-10006", "version 1.2.3", "10-12"]
+    rows = spark.createDataFrame(list(enumerate(f"x {v} y" for v in values + kept)), "doc_id long, text string")
+    got = [r.text[2:-2] for r in pseudonyms.pseudonymised(rows).orderBy("doc_id").collect()]
+    new, digits = got[: len(values)], lambda t: re.sub(r"\D", "", t)
+    assert got[len(values) :] == kept and all(a != b and re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) for a, b in zip(values, new, strict=True))
+    assert digits(new[0]) == digits(new[1]) == digits(new[13])[1:] and digits(new[2]) == digits(new[3]) and digits(new[2])[3:] == digits(new[4])[4:]
+    assert luhn(digits(new[8])) and all(not 1800 <= int(re.search(r"\d{4}", new[i])[0]) < 2200 for i in (9, 10, 11, 12))
+
+
+def test_pseudonyms_of_other_dates_differ(spark):
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1798-01-01").cast("date"), (F.col("id") + F.when(F.col("id") >= 730, 146097).otherwise(0)).cast("int")), "yyyy-MM-dd").alias("m"))
+    assert days.select(pseudonyms.pseudonym(F.col("m"))["new"].alias("new")).where("new < '1800' OR new >= '2200'").distinct().count() == 3000
