@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import found, stripped
+from factloom.functions.text import ascii_digits, found, stripped
 
 # Numerals, units and words that results depend on.
 DIGITS = {"영": 0, "공": 0, "일": 1, "이": 2, "삼": 3, "사": 4, "오": 5, "육": 6, "륙": 6, "칠": 7, "팔": 8, "구": 9}
@@ -25,64 +25,94 @@ COUNT = rf"(?U)(?<![\d,])(\d{{1,3}}(?:,\d{{3}})+|\d+)\s*({_UNITS})"
 NATIVE_COUNT = rf"(?U)(?<![가-힣])(다섯|여섯|일곱|여덟|아홉|한|두|세|네|열)\s*({_COUNTED})"
 
 
-def _looked_up(char: Column, table: dict[str, int]) -> Column:
-    out = F.lit(None).cast("long")
+def _looked_up(char: Column, table: dict[str, int], kind: str = "long") -> Column:
+    out = F.lit(None).cast(kind)
     for k, v in table.items():
-        out = F.when(char == k, F.lit(v).cast("long")).otherwise(out)
+        out = F.when(char == k, F.lit(v).cast(kind)).otherwise(out)
     return out
 
 
+def _numeral(text: Column) -> Column:
+    """text without hedges, currency marks, commas and blanks, its digits as 0 to 9."""
+    s = ascii_digits(stripped(text))
+    for word in (*HEDGES, *AFFIXES, ",", " "):
+        s = F.replace(s, F.lit(word), F.lit(""))
+    return s
+
+
+def _bound(x: Column, f) -> Column:
+    """f of x, with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def korean_number(text: Column) -> Column:
     """A number written in digits, Korean numerals or both, with hedges and currency marks, as a long.
 
-    Null if nothing is left to read, a character has no meaning, or the value is beyond a long."""
-    s = stripped(text)
-    for word in (*HEDGES, *AFFIXES, ",", " "):
-        s = F.replace(s, F.lit(word), F.lit(""))
-    return F.element_at(F.transform(F.array(s), _read), 1)
+    Null if nothing is left to read, a character has no meaning, or the value is beyond a long (see amount)."""
+    return amount(text).try_cast("long")
+
+
+def amount(text: Column) -> Column:
+    """The same number as a string of digits, of any size, so that no amount is lost.
+
+    Runs of digits may be of any length. Numerals beyond 38 digits stand for themselves, as they are written. Null if there is no number."""
+    plain = lambda s: F.regexp_replace(s, "^0+(?=.)", "")
+    return _bound(_numeral(text), lambda s: F.when(s.rlike("^[0-9]+$"), plain(s)).when(s != "", _read(s)))
 
 
 def _read(s: Column) -> Column:
+    kind = "decimal(38,0)"
+
     def state(**now: Column) -> Column:
         return F.struct(*(v.alias(k) for k, v in now.items()))
 
-    zero = F.lit(0).cast("long")
-    # all: finished myriads; part: finished units of the chunk; digit: last Korean digit; run: Arabic digits read so far (-1: none)
-    start = state(all=zero, part=zero, digit=zero, run=F.lit(-1).cast("long"), open=F.lit(False), big=F.lit(False), bad=F.lit(False))
+    def plus(a: Column, b: Column) -> Column:
+        return F.try_add(a, b).cast(kind)
+
+    def times(a: Column, b: Column) -> Column:
+        return F.try_multiply(a, b).cast(kind)
+
+    zero, one, none = (F.lit(x).cast(kind) for x in (0, 1, -1))
+    # all: finished myriads; part: finished units of the chunk; digit: last Korean digit; run: Arabic digits read so far (-1: none); large: beyond 38 digits
+    start = state(all=zero, part=zero, digit=zero, run=none, open=F.lit(False), big=F.lit(False), bad=F.lit(False), large=F.lit(False))
 
     def step(a: Column, c: Column) -> Column:
-        arabic, korean = F.when(c.rlike("^[0-9]$"), c.cast("long")), _looked_up(c, DIGITS)
-        small, big = _looked_up(c, SMALL_UNITS), _looked_up(c, BIG_UNITS)
+        arabic, korean = F.when(c.between("0", "9"), c.try_cast(kind)), _looked_up(c, DIGITS, kind)
+        small, big = _looked_up(c, SMALL_UNITS, kind), _looked_up(c, BIG_UNITS, kind)
         current = F.when(a["run"] >= 0, a["run"]).otherwise(a["digit"])
-        times = F.when(current == 0, F.lit(1).cast("long")).otherwise(current)
-        chunk = F.when(a["open"], F.try_add(a["part"], current)).otherwise(F.lit(1).cast("long"))
-        none = F.lit(-1).cast("long")
-        # null where the value is beyond a long
-        run = F.try_add(F.try_multiply(F.greatest(a["run"], zero), F.lit(10).cast("long")), arabic)
-        part, whole = F.try_add(a["part"], F.try_multiply(times, small)), F.try_add(a["all"], F.try_multiply(chunk, big))
+        chunk = F.when(a["open"], plus(a["part"], current)).otherwise(one)
+        run = plus(times(F.greatest(a["run"], zero), F.lit(10).cast(kind)), arabic)
+        part, whole = plus(a["part"], times(F.when(current == 0, one).otherwise(current), small)), plus(a["all"], times(chunk, big))
+
+        def then(all=a["all"], part=a["part"], digit=a["digit"], run=none, open=F.lit(True), big=a["big"], bad=a["bad"], large=F.lit(False)) -> Column:
+            return state(all=F.coalesce(all, zero), part=F.coalesce(part, zero), digit=digit, run=F.coalesce(run, zero), open=open, big=big, bad=bad, large=a["large"] | large)
+
         return (
-            F.when(arabic.isNotNull(), state(all=a["all"], part=a["part"], digit=a["digit"], run=run, open=F.lit(True), big=a["big"], bad=a["bad"] | run.isNull()))
-            .when(korean.isNotNull(), state(all=a["all"], part=a["part"], digit=korean, run=none, open=F.lit(True), big=a["big"], bad=a["bad"]))
-            .when(small.isNotNull(), state(all=a["all"], part=part, digit=zero, run=none, open=F.lit(True), big=a["big"], bad=a["bad"] | part.isNull()))
-            .when(big.isNotNull(), state(all=whole, part=zero, digit=zero, run=none, open=F.lit(False), big=F.lit(True), bad=a["bad"] | whole.isNull()))
-            .otherwise(state(all=a["all"], part=a["part"], digit=a["digit"], run=a["run"], open=a["open"], big=a["big"], bad=F.lit(True)))
+            F.when(arabic.isNotNull(), then(run=run, large=run.isNull()))
+            .when(korean.isNotNull(), then(digit=korean))
+            .when(small.isNotNull(), then(part=part, digit=zero, large=part.isNull()))
+            .when(big.isNotNull(), then(all=whole, part=zero, digit=zero, open=F.lit(False), big=F.lit(True), large=whole.isNull()))
+            .otherwise(then(bad=F.lit(True)))
         )
 
     def finish(a: Column) -> Column:
-        total = F.try_add(a["all"], F.when(a["open"], F.try_add(a["part"], F.when(a["run"] >= 0, a["run"]).otherwise(a["digit"]))).otherwise(zero))
-        return F.when(~a["bad"] & ((total != 0) | a["big"]), total)
+        total = plus(a["all"], F.when(a["open"], plus(a["part"], F.when(a["run"] >= 0, a["run"]).otherwise(a["digit"]))).otherwise(zero))
+        number = F.when((total != 0) | a["big"], total.cast("string"))
+        return F.when(~a["bad"], F.when(a["large"] | total.isNull(), s).otherwise(number))
 
-    read = F.aggregate(F.split(s, ""), start, step, finish)
-    plain = F.when(s.rlike("^[0-9]+$"), s.try_cast("long"))
-    return F.when(s != "", F.coalesce(plain, read))
+    return F.aggregate(F.split(s, ""), start, step, finish)
 
 
 def date_iso(span: Column, ref_date: Column) -> Column:
-    """yyyy-MM-dd of an absolute date, or of D-N and N days after, counted from ref_date."""
+    """yyyy-MM-dd of an absolute date, or of D-N and N days after, counted from ref_date. Null for days that do not exist or are a million or more days away."""
+    return _bound(ascii_digits(span), lambda s: _iso(s, ref_date))
+
+
+def _iso(span: Column, ref_date: Column) -> Column:
     y, m, d = (F.regexp_extract(span, YMD, i) for i in (1, 2, 3))
     absolute = F.call_function("try_to_date", F.concat_ws("-", y, m, d), F.lit("y-M-d"))
     days = F.coalesce(F.nullif(F.regexp_extract(span, D_MINUS, 1), F.lit("")), F.nullif(F.regexp_extract(span, DAYS_AFTER, 1), F.lit("")))
-    days = F.when(F.length(days) <= 6, days.cast("int"))
+    days = F.when(F.length(days) <= 6, days.try_cast("int"))
     return F.date_format(F.when(span.rlike(YMD), absolute).otherwise(F.date_add(ref_date, days)), "yyyy-MM-dd")
 
 
@@ -91,7 +121,8 @@ def inclusive(span: Column) -> Column:
 
 
 def phone(span: Column) -> Column:
-    return F.nullif(F.regexp_replace(span, r"\D", ""), F.lit(""))
+    """The digits of any script, as they are written."""
+    return F.nullif(F.regexp_replace(span, r"(?U)\D", ""), F.lit(""))
 
 
 def boundary(span: Column) -> Column:
@@ -105,7 +136,7 @@ def boundary(span: Column) -> Column:
 def counts(text: Column) -> Column:
     """Numbers with their units in order: 3,000가구 as 3000가구, 32퍼센트 as 32%."""
     number, unit = found(text, COUNT, 1), found(text, COUNT, 2)
-    plain = lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), "^0+(?=.)", "")
+    plain = lambda n: F.regexp_replace(F.replace(ascii_digits(n), F.lit(","), F.lit("")), "^0+(?=.)", "")
     return F.zip_with(number, unit, lambda n, u: F.concat(plain(n), F.when(u == "퍼센트", "%").otherwise(u)))
 
 

@@ -1,16 +1,29 @@
-"""String expressions with Unicode white space and ordered matches, all built-in."""
+"""String expressions with Unicode white space, Unicode digits and ordered matches, all built-in. Null texts give null."""
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_END = r"(?U)(?<=[.!?。])\s+|\n+"
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+OTHER_DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode)) if unicodedata.category(c) == "Nd"]
+MATCHES = "array<struct<at:int,span:string>>"
 
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of all scripts (full-width ones and the like) as 0 to 9; all else as it is."""
+    plain = F.translate(text, "".join(OTHER_DIGITS), "".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS))
+    return F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), plain).otherwise(text)
 
 
 def sentences(text: Column) -> Column:
@@ -23,11 +36,33 @@ def found(text: Column, pattern: str | Column, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(group))
 
 
+def matches(text: Column, pattern: str, masked: Callable[[Column], Column] = lambda x: x) -> Column:
+    """All matches in order with their places (characters before them) in the text.
+
+    A match is the first occurrence of its characters after the match before, provided that they match wherever they stand. For a pattern that looks back, masked
+    must change both texts and matches so that this holds."""
+    start = F.struct(F.lit(0).alias("to"), F.array().cast(MATCHES).alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        at = F.call_function("locate", masked(span), masked(text), acc["to"] + 1) - 1
+        return F.element_at(F.transform(F.array(at), lambda x: F.struct((x + F.length(span)).alias("to"), F.array_append(acc["out"], F.struct(x.alias("at"), span.alias("span"))).alias("out"))), 1)
+
+    return F.aggregate(found(text, pattern), start, step, lambda acc: acc["out"])
+
+
 def quoted(text: Column) -> Column:
     """text as a pattern that matches itself."""
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores as it needs not to be one of taken (case does not tell names apart)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:

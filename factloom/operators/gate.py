@@ -2,68 +2,99 @@
 
 Everything is one projection over rows of (source_text, easy_text, ref_date): facts are arrays of a row, so no row moves
 between tasks, whatever the size of the table.
+
+Null and blank sources have no facts and go to human review; a null or empty easy text keeps no fact. A null ref_date leaves relative
+dates without a value, so they are no facts. Rows are judged one by one, repeated ones too; an empty table gives an empty result. Columns of the
+input that are called like a result (see RESULTS) give way to it, all others pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import normalize as n
-from factloom.functions.text import any_of, computed, found, quoted, stripped
-
-# Patterns and words that results depend on.
-MONEY = r"(?U)(?:[\d,]+|[일이삼사오육칠팔구십백천만억조\s]+)\s*원"
-HEDGED_MONEY = r"(?U)(?:약\s*)?(?:[\d,]+|[일이삼사오육칠팔구십백천만억조\s]+)\s*원"
-DATE = r"(?U)\d{4}\s*[년.\-/]\s*\d{1,2}\s*[월.\-/]\s*\d{1,2}\s*일?(?:\s*(?:전\s*)?까지)?|D\s*-\s*\d+|\d+\s*일\s*(?:후|뒤|이내)"
+from factloom.functions.text import any_of, ascii_digits, computed, found, free_name, matches, quoted, stripped
+
+# Patterns and words that results depend on. Runs are entered at their first character only and never given up in part, which finds the same
+# places in time that grows with the text.
+_AMOUNT = r"(?<![\d,])[\d,]++\s*+원|(?<![일이삼사오육칠팔구십백천만억조\s])[일이삼사오육칠팔구십백천만억조\s]++원"
+MONEY = f"(?U)(?:{_AMOUNT})"
+HEDGED_MONEY = rf"(?U)(?:약\s*)?(?:{_AMOUNT})"
+DATE = r"(?U)\d{4}\s*[년.\-/]\s*\d{1,2}\s*[월.\-/]\s*\d{1,2}\s*일?(?:\s*(?:전\s*)?까지)?|D\s*-\s*\d+|(?:\G|(?<!\d))\d+\s*일\s*(?:후|뒤|이내)"
 CONTACT = r"(?U)\(?\d{2,4}\)?[\s\-]?\d{3,4}[\s\-]?\d{4}"
-SCOPE = r"(?U)(?:(?:\d{1,3}(?:,\d{3})+|\d+)[^\s,]*|[^\s,]*)\s*(?:이상|초과|이하|미만|까지|부터)"
-NEGATION = r"(?U)[^\s,.]*(?:제외|불가|금지|아니|없|지\s*않)[^\s,.]*"
+SCOPE = r"(?U)(?:\d{1,3}(?:,\d{3})++[^\s,]*|(?:\G|(?<![^\s,]))[^\s,]*)\s*(?:이상|초과|이하|미만|까지|부터)"
+NEGATION = r"(?U)(?<![^\s,.])[^\s,.]*(?:제외|불가|금지|아니|없|지\s*않)[^\s,.]*"
 AGENCY = (
-    "[가-힣]+(?:구청|시청|군청|도청|주민센터|행정복지센터|복지센터|복지관|보건소|공단|세무서|우체국|경찰서|소방서|교육청|지원센터|위원회|재단|협회)"
+    "(?<![가-힣])[가-힣]+(?:구청|시청|군청|도청|주민센터|행정복지센터|복지센터|복지관|보건소|공단|세무서|우체국|경찰서|소방서|교육청|지원센터|위원회|재단|협회)"
     "|(?:국세청|병무청|경찰청|검찰청|기상청|조달청|통계청|관세청|산림청|특허청|소방청|질병관리청|건강보험심사평가원)"
 )
 DATE_FLEX = r"(?U)(?:(\d{4})\s*[년.\-/]\s*)?(\d{1,2})\s*[월.\-/]\s*(\d{1,2})\s*일?(\s*(?:이?전|까지))?"
 OPERATORS = ("이상", "초과", "이하", "미만")
 NEGATIONS = ("제외", "아니", "불가", "없", "금지", "말아야", "마십시오", r"지\s*않", r"못\s*하")
+AFFIRMATIONS = ("포함", "가능", "있습니다", "할 수 있", "허용")
 REVERSALS = ("지 않", "지않", "지는 않", "그렇지 않", "라고 생각", "아니")
 REVERSAL_WINDOW, OPERATOR_WINDOW = 18, 8
 RECOVERABLE = ("numeric", "date", "money", "duration", "contact", "scope")
 
-SLOT = "array<struct<type:string,raw_span:string,value:string,polarity:boolean,operand:string>>"
-
-
-def _slots(kind: str, spans: Column, value, polarity: bool = True) -> Column:
-    made = F.transform(spans, lambda m: F.struct(F.lit(kind).alias("type"), stripped(m).alias("raw_span"), value(m).alias("value"), F.lit(polarity).alias("polarity"), (_operand(stripped(m)) if kind == "scope" else F.lit(None).cast("string")).alias("operand")))
-    return F.filter(made.cast(SLOT), lambda s: s["value"].isNotNull())
+KINDS = ("money", "date", "contact", "scope", "negation", "agency", "numeric")
+SLOT = "array<struct<type:string,raw_span:string,value:string,polarity:boolean,operand:string,source_offset:int,criticality:string>>"
+RESULTS = ("slots", "failed", "drift_flags", "date_flips", "scope_flips", "negation_flips", "verdict")
 
 
 def _operand(span: Column) -> Column:
     return stripped(F.regexp_replace(span, "(?:" + "|".join(OPERATORS) + ")$", ""))
 
 
-def slots(text: Column, ref_date: Column) -> Column:
-    """Facts that must survive, family by family: money, date, contact, scope, negation, agency, numeric."""
-    operators = tuple(v for k, v in n.BOUNDARIES.items() if k in OPERATORS)
-    scope = lambda m: F.when(n.boundary(m).isin(*operators), n.boundary(m))
-    date = lambda m: F.concat(n.date_iso(m, ref_date), F.when(n.inclusive(m), "|inclusive").otherwise(""))
-    number, unit = found(text, n.COUNT, 0), n.counts(text)
-    numeric = F.zip_with(number, unit, lambda m, v: F.struct(F.lit("numeric").alias("type"), stripped(m).alias("raw_span"), v.alias("value"), F.lit(True).alias("polarity"), F.lit(None).cast("string").alias("operand"))).cast(SLOT)
-    return F.concat(
-        _slots("money", found(text, HEDGED_MONEY), lambda m: n.korean_number(m).cast("string")),
-        _slots("date", found(text, DATE), date),
-        _slots("contact", found(text, CONTACT), n.phone),
-        _slots("scope", found(text, SCOPE), scope),
-        _slots("negation", found(text, NEGATION), stripped, polarity=False),
-        _slots("agency", found(text, AGENCY), lambda m: m),
-        numeric,
-    )
+def inner_digits_masked(text: Column) -> Column:
+    """Digits after a digit or comma, where no count begins, are one and the same character."""
+    return F.regexp_replace(text, r"(?U)(?<=[\d,])\d", "#")
+
+
+def _count(span: Column) -> Column:
+    return F.get(n.counts(span), F.lit(0))
+
+
+def slots(text: Column, ref_date: Column, kinds: Iterable[str] = KINDS, criticality: Mapping[str, str] | None = None) -> Column:
+    """Facts that must survive, family by family (money, date, contact, scope, negation, agency, numeric), in the order of the text.
+
+    kinds: the families that are wanted; the others are not looked for. criticality: of each family, high if it is not named; only facts of
+    high criticality are verified. raw_span is the text as it is written, source_offset the characters before it."""
+    symbols = tuple(v for k, v in n.BOUNDARIES.items() if k in OPERATORS)
+    families = {
+        "money": (HEDGED_MONEY, n.amount),
+        "date": (DATE, lambda m: F.concat(n.date_iso(m, ref_date), F.when(n.inclusive(m), "|inclusive").otherwise(""))),
+        "contact": (CONTACT, n.phone),
+        "scope": (SCOPE, lambda m: F.when(n.boundary(m).isin(*symbols), n.boundary(m))),
+        "negation": (NEGATION, stripped),
+        "agency": (AGENCY, lambda m: m),
+        "numeric": (n.COUNT, _count),
+    }
+
+    def family(kind: str) -> Column:
+        pattern, value = families[kind]
+        return F.filter(
+            F.transform(
+                matches(text, pattern, inner_digits_masked) if kind == "numeric" else matches(text, pattern),
+                lambda m: F.struct(
+                    F.lit(kind).alias("type"), stripped(m["span"]).alias("raw_span"), value(m["span"]).alias("value"), F.lit(kind != "negation").alias("polarity"),
+                    (_operand(stripped(m["span"])) if kind == "scope" else F.lit(None).cast("string")).alias("operand"),
+                    m["at"].alias("source_offset"), F.lit((criticality or {}).get(kind, "high")).alias("criticality"),
+                ),
+            ).cast(SLOT),
+            lambda s: s["value"].isNotNull(),
+        )
+
+    wanted = [k for k in KINDS if k in set(kinds)]
+    return F.concat(*map(family, wanted)) if wanted else F.array().cast(SLOT)
 
 
 def _first_qualifier(flex: Column, iso: Column, ambiguous: Column) -> Column:
     """Of the first date in the easy text that means iso: what follows it; null if there is none. flex: year, month, day, qualifier."""
     y, m, d = F.substring(iso, 1, 4), F.substring(iso, 6, 2).cast("int"), F.substring(iso, 9, 2).cast("int")
-    same = F.filter(flex, lambda x: (x["m"].cast("int") == m) & (x["d"].cast("int") == d) & F.when(x["y"] == "", ~ambiguous).otherwise(x["y"] == y))
+    same = F.filter(flex, lambda x: (x["m"] == m) & (x["d"] == d) & F.when(x["y"] == "", ~ambiguous).otherwise(x["y"] == y))
     return F.get(same, F.lit(0))["q"]
 
 
@@ -72,8 +103,14 @@ def _ambiguous(dates: Column, iso: Column) -> Column:
     return F.size(F.array_distinct(F.filter(dates, lambda x: F.substring(x, 6, 5) == F.substring(iso, 6, 5)))) >= 2
 
 
+def ambiguous_days(slots: Column) -> Column:
+    """Month-days (MM-dd) that the date slots name in more than one year, in order."""
+    days = F.array_distinct(F.transform(F.filter(slots, lambda s: s["type"] == "date"), lambda s: F.substring_index(s["value"], "|", 1)))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(days, lambda iso: _ambiguous(days, iso)), lambda x: F.substring(x, 6, 5))))
+
+
 def _windows(easy: Column, operand: Column) -> Column:
-    return found(easy, F.concat(F.lit(r"(?s)(?<![\d,])"), quoted(operand), F.lit("(?=(.{0,%d}))" % OPERATOR_WINDOW)), 1)
+    return found(easy, F.concat(F.lit(r"(?Us)(?<![\d,])"), quoted(operand), F.lit("(?=(.{0,%d}))" % OPERATOR_WINDOW)), 1)
 
 
 def _operator(window: Column) -> Column:
@@ -83,37 +120,51 @@ def _operator(window: Column) -> Column:
     return out
 
 
-def negation_flips(source: Column, easy: Column) -> Column:
-    """How many negations of the source are missing in the easy text, and how many are negated again there."""
+def negation_flags(source: Column, easy: Column) -> Column:
+    """A text for each negation of the source that is missing in the easy text, or is negated again there."""
     first = lambda text, p: F.nullif(F.replace(F.regexp_extract(text, f"(?U){p}", 0), F.lit(" "), F.lit("")), F.lit(""))
     here = F.array_compact(F.array(*(first(source, p) for p in NEGATIONS)))
     there = F.array_compact(F.array(*(first(easy, p) for p in NEGATIONS)))
-    again = F.lit(0)
-    for p in NEGATIONS:
-        windows = found(easy, f"(?Us){p}(?=(.{{0,{REVERSAL_WINDOW}}}))", 1)
-        again = again + (source.rlike(f"(?U){p}") & F.exists(windows, lambda w: any_of(w, REVERSALS))).cast("int")
-    return F.size(F.array_except(here, there)) + again
+    affirmed = F.when(any_of(easy, AFFIRMATIONS), F.lit(" (긍정하는 말이 있음)")).otherwise("")
+    lost = F.transform(F.array_except(here, there), lambda m: F.concat(F.lit("부정 '"), m, F.lit("' 없음"), affirmed))
 
+    def again(p: str) -> Column:
+        windows = f"(?Us){p}(?=(.{{0,{REVERSAL_WINDOW}}}))"
+        both = F.arrays_zip(found(easy, windows, 0).alias("m"), found(easy, windows, 1).alias("w"))
+        marker = F.get(F.filter(both, lambda x: any_of(x["w"], REVERSALS)), F.lit(0))["m"]
+        return F.when(source.rlike(f"(?U){p}"), F.concat(F.lit("부정 '"), F.replace(marker, F.lit(" "), F.lit("")), F.lit("' 다시 부정됨")))
 
-def verified(pairs: DataFrame, rounding_allowed: tuple[str, ...] = ()) -> DataFrame:
+    out = F.concat(lost, F.array_compact(F.array(*map(again, NEGATIONS))))
+    return F.when(source.rlike("(?U)" + "|".join(NEGATIONS)), out).otherwise(F.array().cast("array<string>"))
+
+
+def verified(pairs: DataFrame, rounding_allowed: tuple[str, ...] = (), criticality: Mapping[str, str] | None = None) -> DataFrame:
     """pairs: source_text, easy_text, ref_date, and optionally confidence (lowest of the source's blocks).
 
-    Adds slots, failed (slots that did not survive), date_flips, scope_flips, negation_flips, verdict."""
-    easy = F.col("easy_text")
-    out = computed(pairs, {"slots": slots(F.col("source_text"), F.col("ref_date"))})
+    Adds slots, failed (slots that did not survive), drift_flags (a text for each change of meaning), date_flips, scope_flips and negation_flips (their numbers),
+    verdict. The texts are computed once, whatever expressions they come from."""
+    kept = [c for c in pairs.columns if c.lower() not in RESULTS]
+    names = {k: free_name(f"gate_{k}", pairs.columns) for k in ("source", "easy", "ref", "facts", "doubt")}
+    source, easy, ref, e = (F.col(names[k]) for k in ("source", "easy", "ref", "facts"))
+    doubt = F.coalesce(F.col("confidence") < 0.5, F.lit(False)) if "confidence" in pairs.columns else F.lit(False)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    out = computed(pairs.select(*kept, *(F.col(c) for c in ("source_text", "easy_text", "ref_date") if c not in kept)), {names["source"]: text("source_text"), names["easy"]: text("easy_text"), names["ref"]: F.col("ref_date").cast("date"), names["doubt"]: doubt})
+    out = computed(out, {"slots": slots(source, ref, criticality=criticality)})
+    high = F.filter("slots", lambda s: s["criticality"] == "high")
     dates = F.transform(F.filter("slots", lambda s: s["type"] == "date"), lambda s: F.substring_index(s["value"], "|", 1))
     flex = F.arrays_zip(*(found(easy, DATE_FLEX, i).alias(c) for i, c in ((1, "y"), (2, "m"), (3, "d"), (4, "q"))))
+    flex = F.transform(flex, lambda x: F.struct(ascii_digits(x["y"]).alias("y"), *(ascii_digits(x[c]).try_cast("int").alias(c) for c in "md"), x["q"].alias("q")))
     facts = {
-        "money": F.transform(found(easy, MONEY), lambda m: n.korean_number(m).cast("string")),
-        "date": F.transform(found(easy, DATE), lambda m: n.date_iso(m, F.col("ref_date"))),
+        "money": F.transform(found(easy, MONEY), n.amount),
+        "date": F.transform(found(easy, DATE), lambda m: n.date_iso(m, ref)),
         "contact": F.transform(found(easy, CONTACT), n.phone),
         "numeric": n.count_values(easy),
         "dates": dates,
+        "close": F.replace(easy, F.lit(" "), F.lit("")),
         "flex": flex,
+        "high": high,
     }
-    easy_facts = F.struct(*(F.coalesce(v, F.array().cast("array<string>")).alias(k) if k != "flex" else v.alias(k) for k, v in facts.items()))
-    out = computed(out, {"easy": easy_facts})
-    e = F.col("easy")
+    out = computed(out, {names["facts"]: F.struct(*(v.alias(k) for k, v in facts.items()))})
 
     def survived(s: Column) -> Column:
         iso = F.substring_index(s["value"], "|", 1)
@@ -123,9 +174,10 @@ def verified(pairs: DataFrame, rounding_allowed: tuple[str, ...] = ()) -> DataFr
             F.when(s["type"] == "money", has("money", s["value"]) | rounded)
             .when(s["type"] == "date", has("date", iso) | F.contains(easy, iso) | _first_qualifier(e["flex"], iso, _ambiguous(e["dates"], iso)).isNotNull())
             .when(s["type"] == "contact", has("contact", s["value"]))
-            .when(s["type"] == "scope", (s["operand"] != "") & F.rlike(easy, F.concat(F.lit(r"(?<![\d,])"), quoted(s["operand"]))))
+            # the pattern is tried only where the operand stands somewhere
+            .when(s["type"] == "scope", (s["operand"] != "") & F.contains(easy, s["operand"]) & F.rlike(easy, F.concat(F.lit(r"(?U)(?<![\d,])"), quoted(s["operand"]))))
             .when(s["type"] == "numeric", has("numeric", s["value"]))
-            .when(s["type"] == "agency", F.contains(F.replace(easy, F.lit(" "), F.lit("")), F.replace(s["value"], F.lit(" "), F.lit(""))))
+            .when(s["type"] == "agency", F.contains(e["close"], F.replace(s["value"], F.lit(" "), F.lit(""))))
             .otherwise(F.contains(easy, s["value"]))
         )
 
@@ -134,26 +186,24 @@ def verified(pairs: DataFrame, rounding_allowed: tuple[str, ...] = ()) -> DataFr
         q = _first_qualifier(e["flex"], iso, _ambiguous(e["dates"], iso))
         return (s["type"] == "date") & s["value"].endswith("|inclusive") & q.isNotNull() & ~(q.contains("까지") & ~q.contains("전"))
 
-    failed = F.filter("slots", lambda s: ~F.coalesce(survived(s), F.lit(False)))
-    date_flips = F.size(F.filter("slots", lambda s: F.coalesce(weakened(s), F.lit(False))))
-    # operators are compared as multisets by operand; an operand that is missing is a miss, not a flip
-    scope = F.filter("slots", lambda s: (s["type"] == "scope") & (s["operand"] != ""))
-    pairs_of = F.array_distinct(F.transform(scope, lambda s: F.struct(s["operand"].alias("operand"), s["value"].alias("value"))))
+    failed = F.filter(e["high"], lambda s: ~F.coalesce(survived(s), F.lit(False)))
+    date_flags = F.transform(F.filter(e["high"], lambda s: F.coalesce(weakened(s), F.lit(False))), lambda s: F.concat(F.lit("기한 '"), s["raw_span"], F.lit("' 약해짐")))
+    # operators are compared as multisets by operand, in the order of the text; an operand that is missing is a miss, not a flip
+    scope = F.filter(e["high"], lambda s: (s["type"] == "scope") & (s["operand"] != ""))
+    once = F.array_distinct(F.transform(scope, lambda s: F.struct(s["operand"].alias("operand"), s["value"].alias("value"))))
 
     def lost(p: Column) -> Column:
-        mine = F.size(F.filter(scope, lambda s: (s["operand"] == p["operand"]) & (s["value"] == p["value"])))
-        windows = _windows(easy, p["operand"])
-        return F.when(F.size(windows) == 0, 0).otherwise(F.greatest(F.lit(0), mine - F.size(F.filter(windows, lambda w: _operator(w) == p["value"]))))
-
-    scope_flips = F.aggregate(F.transform(pairs_of, lost), F.lit(0), lambda a, x: a + x)
-    out = computed(out, {"failed": failed, "date_flips": date_flips, "scope_flips": scope_flips, "negation_flips": negation_flips(F.col("source_text"), easy)})
-    blank = F.coalesce(stripped(F.col("source_text")) == "", F.lit(True))
-    doubt = F.coalesce(F.col("confidence") < 0.5, F.lit(False)) if "confidence" in pairs.columns else F.lit(False)
-    unsafe = F.exists("failed", lambda s: ~s["type"].isin(*RECOVERABLE))
-    verdict = (
-        F.when(blank | doubt | (F.col("date_flips") + F.col("scope_flips") + F.col("negation_flips") > 0), "human_review")
-        .when(F.size("failed") == 0, "pass")
-        .when(unsafe, "human_review")
-        .otherwise("revise")
-    )
-    return out.withColumn("verdict", verdict).drop("easy")
+        mine = F.filter(scope, lambda s: (s["operand"] == p["operand"]) & (s["value"] == p["value"]))
+        windows = F.when(F.contains(easy, p["operand"]), _windows(easy, p["operand"]))
+        there = F.filter(windows, lambda w: _operator(w) == p["value"])
+        return F.when(F.coalesce(F.size(windows), F.lit(0)) > 0, F.slice(mine, F.size(there) + 1, F.size(mine))).otherwise(F.array().cast(SLOT))
+
+    scope_flags = F.transform(F.flatten(F.transform(once, lost)), lambda s: F.concat(F.lit("조건 '"), s["raw_span"], F.lit("' 바뀜")))
+    out = computed(out, {"failed": failed, **{names["facts"] + c: v for c, v in (("d", date_flags), ("s", scope_flags), ("n", negation_flags(source, easy)))}})
+    d, s, neg = (F.col(names["facts"] + c) for c in "dsn")
+    blank = stripped(source) == ""
+    flags = F.when(blank, F.array(F.lit("원문이 비어 있음"))).otherwise(F.concat(neg, d, s))
+    flips = F.size(d) + F.size(s) + F.size(neg)
+    unsafe = F.exists("failed", lambda x: ~x["type"].isin(*RECOVERABLE))
+    verdict = F.when(blank | F.col(names["doubt"]) | (flips > 0), "human_review").when(F.size("failed") == 0, "pass").when(unsafe, "human_review").otherwise("revise")
+    return out.select(*kept, "slots", "failed", flags.alias("drift_flags"), F.size(d).alias("date_flips"), F.size(s).alias("scope_flips"), F.size(neg).alias("negation_flips"), verdict.alias("verdict"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import computed
+
 CASES = 12
 REF_DATE = "2026-07-01"
 
@@ -52,4 +54,5 @@ def pairs(orders: DataFrame, case: int | None = None) -> DataFrame:
         _s(F.when(c == 9, F.col("n") + 1000).otherwise(F.col("n"))), F.lit("명이에요."), F.when(c == 10, "").otherwise(F.concat(F.lit(" 문의 "), F.col("phone"))),
         F.when(c == 8, " 자세한 내용은 국민건강보험공단에 문의하세요.").otherwise(""),
     )
-    return f.select("o_orderkey", "case", source.alias("source_text"), easy.alias("easy_text"), F.lit(REF_DATE).cast("date").alias("ref_date"))
+    # the texts are put together once a row, however often they are used
+    return computed(f, {"source_text": source, "easy_text": easy}).select("o_orderkey", "case", "source_text", "easy_text", F.lit(REF_DATE).cast("date").alias("ref_date"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import normalize
 from factloom.functions.html import page
-from factloom.functions.text import sentences
+from factloom.functions.text import computed, sentences
 from factloom.operators import audit, distort, gate, pictograms, rules, segment
 from factloom.plans import annotation, notices, revision
 
@@ -71,8 +71,8 @@ def pattern_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _slots(kind: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _pairs(spark, sf_dir).select("o_orderkey", F.inline(gate.slots(F.col("source_text"), F.col("ref_date"))))
-        return rows.where(F.col("type") == kind).select("o_orderkey", "raw_span", "value", "polarity")
+        rows = computed(_pairs(spark, sf_dir), {"facts": gate.slots(F.col("source_text"), F.col("ref_date"), kinds=(kind,))})
+        return rows.select("o_orderkey", F.inline("facts")).select("o_orderkey", "raw_span", "value", "polarity", "source_offset")
 
     return query
 
@@ -303,8 +303,11 @@ def _cast_rules() -> str:
     return "SELECT s_suppkey, " + ", ".join(f"round(CAST({r} AS DOUBLE), 6) AS {r}" for r in rules.RULES) + f" FROM ({_RULES_D})"
 
 
-def _slot_sql(*spans: tuple[str, str], polarity: str = "true") -> str:
-    return " UNION ALL ".join(f"SELECT o_orderkey, {span} AS raw_span, {value} AS value, {polarity} AS polarity FROM ({_F})" for span, value in spans)
+def _slot_sql(*spans: tuple[str, str, str], polarity: str = "true") -> str:
+    """Of each slot: its span, its value, and the words of the notice just before it."""
+    return " UNION ALL ".join(
+        f"SELECT o_orderkey, {span} AS raw_span, {value} AS value, {polarity} AS polarity, CAST(instr(source_text, '{before}') + {len(before)} - 1 AS INTEGER) AS source_offset FROM ({_TEXT})" for span, value, before in spans
+    )
 
 
 def _esc(x: str) -> str:
@@ -386,13 +389,13 @@ def oracle_sql() -> dict[str, str]:
         "secret_scan": _secret_sql("documents", "doc_id", "text"),
         "secret_scan_pages": _secret_sql("pages", "page_id", "html"),
         "pattern_contacts": r"SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\(?[0-9]{2,4}\)?[\s\-]?[0-9]{3,4}[\s\-]?[0-9]{4}')), '[^0-9]', '', 'g') AS value FROM documents",
-        "slots_money": _slot_sql((won.format("amount"), "CAST(amount AS VARCHAR)"), (won.format("wage"), "CAST(wage AS VARCHAR)")),
-        "slots_date": _slot_sql(("y || '년 ' || m || '월 ' || d || '일까지'", "iso || '|inclusive'")),
-        "slots_contact": _slot_sql(("phone", "replace(phone, '-', '')")),
-        "slots_scope": _slot_sql(("age || '세 이상'", "'>='"), (f"{won.format('wage')} || ' 미만'", "'<'")),
-        "slots_negation": _slot_sql(("'제외됩니다'", "'제외됩니다'"), polarity="false"),
-        "slots_agency": _slot_sql(("'강서구청'", "'강서구청'")),
-        "slots_numeric": _slot_sql(("age || '세'", "age || '세'"), ("n || '명'", "n || '명'")),
+        "slots_money": _slot_sql((won.format("amount"), "CAST(amount AS VARCHAR)", "대금 "), (won.format("wage"), "CAST(wage AS VARCHAR)", "소득이 ")),
+        "slots_date": _slot_sql(("y || '년 ' || m || '월 ' || d || '일까지'", "iso || '|inclusive'", "원을 ")),
+        "slots_contact": _slot_sql(("phone", "replace(phone, '-', '')", "문의 ")),
+        "slots_scope": _slot_sql(("age || '세 이상'", "'>='", "만 "), (f"{won.format('wage')} || ' 미만'", "'<'", "소득이 ")),
+        "slots_negation": _slot_sql(("'제외됩니다'", "'제외됩니다'", "대상에서 "), polarity="false"),
+        "slots_agency": _slot_sql(("'강서구청'", "'강서구청'", "까지 ")),
+        "slots_numeric": _slot_sql(("age || '세'", "age || '세'", "만 "), ("n || '명'", "n || '명'", "정원은 ")),
         "korean_numbers": f"SELECT p_partkey, v IS NOT NULL AS readable, CAST(coalesce(v, 0) AS BIGINT) AS value FROM (SELECT p_partkey, CASE p_partkey % {len(NUMBERS)} {numbers} END AS v FROM part)",
         "ambiguous_deadlines": f"SELECT CAST(age AS INTEGER) AS age, substr(iso, 6) AS month_day, count(DISTINCT y) AS n_years FROM ({_F}) GROUP BY ALL HAVING count(DISTINCT y) >= 2",
         "slot_survival_failures": _FAILED,
