@@ -8,9 +8,14 @@ classes of the two before. Within a class a word's weight is log(count + 1), wit
 training has it: log(1 + c / (T * share)), where c is the pair's count, T how many different words of the class follow that word before, and share the word's part of the class.
 The normaliser is then 1 + C / T (C: the sum of c in the class), so that probabilities of all words add up to one. Pairs are not cut: their table grows with the texts.
 
-Counts cover all training texts: per task first, then by hash. The softmax is trained by distributed gradient updates: the training
-texts are dealt into rounds; in each, tasks run AdaGrad over their texts from the same weights, and their changes are averaged by
-tokens. Scores are made in numpy batches; counts of words beyond the most frequent ones (a bounded list that every task
+Counts cover all training texts: per task first, then by hash. The softmax is trained by distributed gradient updates. Tasks sum, over all training texts, how
+often each feature value comes with each class; less what the model expects, that is the gradient. The first update is made from the model without features, whose
+expected counts are known without a pass over the texts: half a step of iterative scaling, with smoothed counts. Then come rounds, each over its part of the texts, in which tasks also sum one class
+a token that is drawn from the model's shares (an unbiased estimate of the expected counts that touches five weights a token instead of all), and the driver makes a damped Newton step. Draws follow from the texts, so the
+model is the same however the table is partitioned. Sums travel as sparse blocks of the weights and are added in two levels, so no task gets those of all tasks. What reaches
+the driver is as large as the weights, whatever the input. The number of slots follows the training tokens up to MOST_SLOTS.
+
+Scores are made in numpy batches of sparse rows: five weight rows a token. Counts of words beyond the most frequent ones (a bounded list that every task
 gets) are joined by hash, so the vocabulary is never broadcast. Pairs are dealt by the hash of the word before and the class into buckets, whose number
 follows the tokens; a bucket counts the training pairs, finds the weights of all, and its sums go back to the texts. No pair reaches the driver.
 
@@ -20,6 +25,7 @@ training texts N = V = 0 and every token is unknown. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,15 +42,17 @@ from factloom.llm.words import Words, mix, portions
 OWN, SPELT = 32, 32  # classes of one token; classes by spelling
 CLASSES = OWN + SPELT
 FREQUENT = 1 << 16  # words whose counts every task gets
-SLOTS = 2048  # hash values of a feature
+LEAST_SLOTS, MOST_SLOTS, TOKENS_A_SLOT = 1024, 4096, 512  # hash values of a feature
 FEATURES = 5
 BATCH = 8192
-ROUNDS = 2
-RATE = 0.2
+FIRST_STEP, ROUNDS, RATE = 0.5, 2, 0.3
+PRIOR = 50.0  # tokens that each feature value has before it is seen, shared by class
+DAMPING = 10.0
+BLOCK = 1 << 14  # weights that are summed together
+FAN_IN = 256  # tasks whose sums are added at once
 PAIRS_A_BUCKET = 1 << 20
 GROUP_BITS = 27  # of the hash of the word before, besides those that pick the bucket
 MERGED_AT = 1 << 20
-SHARES = 16
 END = np.uint64(0x3C79AC492BA7B653)
 BEFORE = np.uint64(0x1C69B3F74AC4AE35)
 
@@ -96,11 +104,12 @@ def counted(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Frequent:
-    """The most frequent tokens: sorted hashes, their counts, and the class of those that have their own (else -1)."""
+    """What every task gets of the tokens: sorted hashes of the most frequent ones, their counts, the class of those that have their own (else -1), and the slots of a feature."""
 
     hashes: np.ndarray
     counts: np.ndarray
     own: np.ndarray
+    slots: int = LEAST_SLOTS
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
@@ -129,62 +138,91 @@ class Batch:
         self.before = one
         near = earlier(self.target, 1, CLASSES), earlier(self.target, 2, CLASSES)
         hashed = [one, two + np.uint64(1), three + np.uint64(2), one * np.uint64(3) ^ mix(two)]
-        self.features = np.stack([*((mix(x) % np.uint64(SLOTS)).astype(np.int64) for x in hashed), (near[0] * (CLASSES + 1) + near[1]) % SLOTS])
-        self.features += (np.arange(FEATURES) * SLOTS)[:, None]
+        slots = frequent.slots
+        self.features = np.stack([*((mix(x) % np.uint64(slots)).astype(np.int64) for x in hashed), (near[0] * (CLASSES + 1) + near[1]) % slots])
+        self.features += (np.arange(FEATURES) * slots)[:, None]
+
+    def draws(self) -> np.ndarray:
+        """A number from 0 to 1 for each token that follows from its text and place."""
+        n = len(self.h)
+        starts = np.searchsorted(self.row, np.arange(self.rows))
+        text = np.add.reduceat(mix(self.h + mix((np.arange(n) - starts[self.row]).astype(np.uint64))), starts) if n else np.zeros(0, np.uint64)
+        return (mix(text[self.row] + np.arange(n).astype(np.uint64) - starts[self.row].astype(np.uint64)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
 
 
 class Softmax:
     """Scores of the classes: a bias and a row of weights per feature value."""
 
     def __init__(self, weights: np.ndarray):
-        self.w = weights  # FEATURES * SLOTS + 1 rows, the last the bias
+        self.w = weights  # FEATURES * slots + 1 rows, the last the bias
 
-    def log_shares(self, features: np.ndarray) -> np.ndarray:
+    def _scores(self, features: np.ndarray) -> np.ndarray:
         s = self.w[features[0]]
         for f in features[1:]:
             s += self.w[f]
         s += self.w[-1]
         s -= s.max(1, keepdims=True)
+        return s
+
+    def log_shares(self, features: np.ndarray) -> np.ndarray:
+        s = self._scores(features)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
-    def learn(self, features: np.ndarray, target: np.ndarray, seen: np.ndarray, rate: float) -> None:
-        """One AdaGrad step over a batch."""
-        gradient = np.exp(self.log_shares(features))
-        gradient[np.arange(len(target)), target] -= 1
-        # sums by feature value: the rows are sorted once for each feature
-        for f in features:
-            order = np.argsort(f, kind="stable")
-            at, first = np.unique(f[order], return_index=True)
-            self._step(at, np.add.reduceat(gradient[order], first, axis=0), seen, rate)
-        self._step(np.array([len(self.w) - 1]), gradient.sum(0, keepdims=True), seen, rate)
+    def drawn(self, features: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A class for each token, drawn from its shares by u."""
+        s = self._scores(features)
+        np.exp(s, out=s)
+        np.cumsum(s, axis=1, out=s)
+        return np.minimum((s <= (u * s[:, -1])[:, None]).sum(1), CLASSES - 1)
 
-    def _step(self, at: np.ndarray, g: np.ndarray, seen: np.ndarray, rate: float) -> None:
-        seen[at] += g * g
-        self.w[at] -= rate * g / np.sqrt(seen[at] + 1.0)
 
+def _short(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as they need, after a byte that tells how many."""
+    size = next(k for k in (1, 2, 4, 8) if len(x) == 0 or np.abs(x).max() < 1 << (8 * k - 1))
+    return bytes([size]) + x.astype(f"<i{size}").tobytes()
 
-def _changes(docs: DataFrame, weights: np.ndarray, frequent: Frequent) -> DataFrame:
-    """Each task's weights after its texts, less the weights before, times its tokens, summed in SHARES groups and then in one: a row n, change."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, n = Softmax(weights.copy()), np.zeros_like(weights), 0
-        for part in portions(batches):
-            b = Batch(part.column(0), frequent)
-            for i in range(0, len(b.h), BATCH):
-                model.learn(b.features[:, i : i + BATCH], b.target[i : i + BATCH], seen, RATE)
-            n += len(b.h)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([((model.w - weights) * np.float32(n)).tobytes()], pa.binary())], ["n", "change"])
+def _long(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<i{x[0]}", offset=1).astype(np.int64)
+
 
-    def summed(rows: pa.Table) -> pa.Table:
-        total = np.zeros(weights.size, np.float32)
-        for change in rows.column("change"):
-            total += np.frombuffer(change.as_buffer(), np.float32)
-        return pa.table([pa.array([sum(rows.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "change"])
+def _sums(docs: DataFrame, frequent: Frequent, weights: np.ndarray | None = None) -> np.ndarray:
+    """How often each feature value (and any, for the bias) comes with each class over all texts of docs, less how often it does with the classes that weights draw."""
+    rows = FEATURES * frequent.slots + 1
+    size = rows * CLASSES
 
-    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(train, "n long, change binary")
-    shares = made.withColumn("share", F.spark_partition_id() % SHARES).groupBy("share").applyInArrow(summed, "n long, change binary")
-    return shares.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(summed, "n long, change binary")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, softmax = np.zeros(size, np.int64), Softmax(weights)
+        for part in portions(batches):
+            b = Batch(part.column(0), frequent)
+            places = np.concatenate([b.features, np.full((1, len(b.h)), rows - 1)]) * CLASSES
+            total += np.bincount((places + b.target).ravel(), minlength=size)
+            if weights is not None:
+                u = b.draws()
+                drawn = [softmax.drawn(b.features[:, i : i + BATCH], u[i : i + BATCH]) for i in range(0, len(b.h), BATCH)]
+                total -= np.bincount((places + np.concatenate(drawn)).ravel(), minlength=size)
+        for block in range(0, size, BLOCK):
+            x = total[block : block + BLOCK]
+            at = np.flatnonzero(x)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_short(np.diff(at, prepend=0))], pa.binary()), pa.array([_short(x[at])], pa.binary())], ["block", "gaps", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for gaps, sums in zip(table.column("gaps"), table.column("sums"), strict=True):
+            total[np.cumsum(_long(gaps.as_py()))] += _long(sums.as_py())
+        at = np.flatnonzero(total)
+        return pa.table([table.column("block").slice(0, 1), pa.array([_short(np.diff(at, prepend=0))], pa.binary()), pa.array([_short(total[at])], pa.binary())], names=["block", "gaps", "sums"])
+
+    schema = "block long, gaps binary, sums binary"
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add, schema)
+    tasks = made.rdd.getNumPartitions()
+    if tasks > FAN_IN:
+        made = made.withColumn("group", F.spark_partition_id() % -(-tasks // FAN_IN)).groupBy("block", "group").applyInArrow(merge, schema)
+    out = np.zeros(-(-size // BLOCK) * BLOCK)
+    for r in made.groupBy("block").applyInArrow(merge, schema).collect():  # as large as the weights
+        out[r.block + np.cumsum(_long(r.gaps))] = _long(r.sums)
+    return out[:size].reshape(rows, CLASSES)
 
 
 @dataclass
@@ -200,11 +238,21 @@ def trained(docs: DataFrame) -> tuple[Model, DataFrame]:
     """docs: doc_id, text, all of them training texts. The model, and the counts of all its tokens (h, c)."""
     counts = written(counted(docs), "token-counts")
     size, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "h").limit(FREQUENT).select("h", "c", "kind").toPandas()  # bounded by FREQUENT
+    # words that occur often enough, by a histogram of the logarithms of their counts
+    level = F.floor(F.log2("c") * 16)
+    shown, cut = 0, -1
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundreds of rows at most
+        shown += r["count"]
+        if shown > FREQUENT:
+            cut = r.level
+            break
+    end = int(END.astype(np.int64))
+    first = counts.orderBy(F.col("c").desc(), "h").limit(OWN).select("h")
+    top = counts.where((level > cut) | (F.col("h") == end)).union(counts.join(F.broadcast(first), "h", "left_semi")).distinct()
+    top = top.orderBy(F.col("c").desc(), "h").select("h", "c", "kind").toPandas()  # bounded by FREQUENT and OWN
     h, c, kind = top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), top.kind.to_numpy(np.int64)
     own = np.full(len(h), -1)
-    has_end = np.flatnonzero(h == END)
-    chosen = np.concatenate([has_end, [i for i in range(min(len(h), OWN)) if h[i] != END]]).astype(np.int64)[:OWN]
+    chosen = np.concatenate([np.flatnonzero(h == END), np.flatnonzero(h != END)[:OWN]]).astype(np.int64)[:OWN]
     own[chosen] = np.arange(len(chosen))
     denominator = np.ones(CLASSES)
     for r in counts.groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # SPELT rows
@@ -212,16 +260,21 @@ def trained(docs: DataFrame) -> tuple[Model, DataFrame]:
         denominator[OWN + r.kind] = r.c - c[mine].sum() + r.v - len(mine) + 1
     denominator[: len(chosen)] = c[chosen] + 1
     order = np.argsort(h)
-    frequent = Frequent(h[order], c[order], own[order])
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << math.ceil(math.log2(1 + (size or 0) / TOKENS_A_SLOT))))
+    frequent = Frequent(h[order], c[order], own[order], slots)
 
-    weights = np.zeros((FEATURES * SLOTS + 1, CLASSES), np.float32)
     shares = denominator.copy()
     shares[len(chosen) : OWN] = 1e-9  # classes without a word
-    weights[-1] = np.log(shares / shares.sum())
+    p = shares / shares.sum()
+    # the first update, from no weights but the bias, whose expected counts are n * p
+    seen = _sums(docs, frequent)
+    weights = FIRST_STEP * (np.log(seen + PRIOR * p) - np.log((seen.sum(1, keepdims=True) + PRIOR) * p))
+    weights[-1] = np.log(p)
+    weights = weights.astype(np.float32)
     for r in range(ROUNDS):
-        change = _changes(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), weights, frequent).first()  # as large as the weights
-        if change:
-            weights = weights + np.frombuffer(change.change, np.float32).reshape(weights.shape) / np.float32(change.n)
+        gradient = _sums(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), frequent, weights)
+        step = gradient / (seen / ROUNDS * (1 - p) + PRIOR * p + DAMPING)
+        weights = weights + (RATE * np.clip(step, -1, 1)).astype(np.float32)
     return Model(frequent, weights, int(size or 0), int(distinct), denominator), counts
 
 
