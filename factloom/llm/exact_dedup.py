@@ -1,25 +1,28 @@
 """Exact deduplication against immutable snapshots screened by static binary-fuse filters.
 
-A snapshot is a table of distinct digests with, for each hash bucket, a binary-fuse filter. Digests of a new batch
+A snapshot is written once and never changes: a table of distinct digests, each with the row that stays and the number of its rows, and for each hash bucket a binary-fuse
+filter. Any number of batches can be screened against it (see take and against); it is opened again by its path. Digests of a new batch
 are grouped among themselves first; one of each group then probes the filter of its bucket, and only the positives
 are joined with the snapshot's exact buckets, where normalised texts are compared byte by byte.
 
 Texts are equal when identical after each run of white space became one space; null counts as empty. Of equal texts
 the row with the smallest id stays, null ids last; of repeated rows with one id a single one stays. An empty table
-gives an empty result; extra columns are not read.
+gives an empty result; extra columns are not read. Rows are told apart by their place in the table, which must be read in the same order each time, as files are. One group may
+hold any share of the rows: counts are combined before they are shuffled, and only the last join, of rows with their group, is dealt by the digest; there Spark splits a hot group (spark.sql.adaptive.skewJoin).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.text import free_name
 from factloom.llm import fuse
-from factloom.llm.store import rows_with, written
+from factloom.llm.store import new_folder, rows_with, written
 
 LEAST_BUCKETS, KEYS_A_BUCKET = 512, 100_000
 
@@ -71,31 +74,61 @@ def screened(groups: DataFrame, snapshot_filters: DataFrame, buckets: int) -> Da
     return rows.groupBy("bucket").cogroup(snapshot_filters.groupBy("bucket")).applyInArrow(probe, "text_sha256 string, digest long")
 
 
-def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of pairs (text_sha256, batch_id, snapshot_id) those whose normalised texts agree byte by byte; pairs with a null id are taken by their digest: text_sha256."""
-    ids = pairs.select(F.explode(F.array("batch_id", "snapshot_id")).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    texts = rows_with(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), ids, id_col).select(F.col(id_col).alias("i"), normalised(F.col(text_col)).alias("t"))
-    texts = texts.withColumn("sha", F.sha2(F.col("t").cast("binary"), 256)).dropDuplicates(["i", "sha"])
-    b, s = texts.select(F.col("i").alias("batch_id"), F.col("sha").alias("text_sha256"), F.col("t").alias("bt")), texts.select(F.col("i").alias("snapshot_id"), F.col("sha").alias("text_sha256"), F.col("t").alias("st"))
-    known = pairs.where(F.col("batch_id").isNotNull() & F.col("snapshot_id").isNotNull()).join(b, ["batch_id", "text_sha256"]).join(s, ["snapshot_id", "text_sha256"]).where(F.col("bt") == F.col("st"))
-    return known.select("text_sha256").union(pairs.where(F.col("batch_id").isNull() | F.col("snapshot_id").isNull()).select("text_sha256"))
+def _texts(docs: DataFrame, rows: DataFrame, name: str, text_col: str) -> DataFrame:
+    """The normalised texts of some rows (a column called name) of docs."""
+    numbered = docs.select(F.monotonically_increasing_id().alias(name), F.col(text_col).alias("t"))
+    return rows_with(numbered, rows.select(name).distinct(), name).select(name, normalised(F.col("t")).alias(f"{name}_text"))
+
+
+def same_bytes(docs: DataFrame, snapshot_docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Of pairs (text_sha256, batch_row, snapshot_row: rows of docs and snapshot_docs) those whose normalised texts agree byte by byte: text_sha256."""
+    known = pairs.join(_texts(docs, pairs, "batch_row", text_col), "batch_row").join(_texts(snapshot_docs, pairs, "snapshot_row", text_col), "snapshot_row")
+    return known.where(F.col("batch_row_text") == F.col("snapshot_row_text")).select("text_sha256")
+
+
+@dataclass
+class Snapshot:
+    """groups: text_sha256, digest, first (no_id, doc_id, row), n; filters: bucket, filter. Both are tables under a path and never change."""
+
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def take(rows: DataFrame, path: str) -> Snapshot:
+    """Writes a snapshot of rows (see digests) to path."""
+    grouped(rows).write.parquet(f"{path}/groups")
+    groups = rows.sparkSession.read.parquet(f"{path}/groups")
+    buckets = max(LEAST_BUCKETS, -(-groups.count() // KEYS_A_BUCKET))
+    filters(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+    return opened(rows.sparkSession, path)
+
+
+def opened(spark: SparkSession, path: str) -> Snapshot:
+    """A snapshot that take() wrote before."""
+    held = spark.read.parquet(f"{path}/filters")
+    first = held.select("buckets").first()
+    return Snapshot(spark.read.parquet(f"{path}/groups"), held.drop("buckets"), first[0] if first else LEAST_BUCKETS)
+
+
+def against(batch: DataFrame, docs: DataFrame, snapshot: Snapshot, snapshot_docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """batch: groups of new rows, whose texts are in docs. Adds proved: whether the snapshot, whose texts are in snapshot_docs, holds the same bytes."""
+    positive = screened(batch, snapshot.filters, snapshot.buckets)
+    exact = positive.join(snapshot.groups.select("text_sha256", "digest", F.col("first.row").alias("snapshot_row")), ["text_sha256", "digest"])
+    pairs = written(exact.join(batch.select("text_sha256", F.col("first.row").alias("batch_row")), "text_sha256").select("text_sha256", "batch_row", "snapshot_row"), "positives")
+    proved = same_bytes(docs, snapshot_docs, pairs, text_col).select("text_sha256", F.lit(True).alias("proved"))
+    return batch.join(proved, "text_sha256", "left").withColumn("proved", F.coalesce("proved", F.lit(False)))
 
 
 def dedup(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows where in_snapshot holds are the immutable snapshot, the others the new batch.
+    """Rows where in_snapshot holds become an immutable snapshot, against which the others, the new batch, are screened.
 
     One row per document: row, doc_id, keep_id, group_size, kept, text_sha256."""
     rows = written(digests(docs, id_col, text_col).withColumn("old", F.coalesce(in_snapshot, F.lit(False))), "digests")
-    old = written(grouped(rows.where("old")), "snapshot")
-    new = written(grouped(rows.where("not old")), "batch")
-    buckets = max(LEAST_BUCKETS, -(-old.count() // KEYS_A_BUCKET))
-    positive = screened(new, filters(old, buckets), buckets)
-    exact = positive.join(old.select("text_sha256", "digest", F.col("first.doc_id").alias("snapshot_id")), ["text_sha256", "digest"])
-    pairs = written(exact.join(new.select("text_sha256", F.col("first.doc_id").alias("batch_id")), "text_sha256").select("text_sha256", "batch_id", "snapshot_id"), "positives")
-    proved = same_bytes(docs, pairs, id_col, text_col).withColumn("proved", F.lit(True))
-    new = new.join(proved, "text_sha256", "left")
+    snapshot = take(rows.where("old"), new_folder(docs.sparkSession, "snapshot"))
+    new = against(written(grouped(rows.where("not old")), "batch"), docs, snapshot, docs, text_col)
     # a batch group goes with the snapshot's only if its bytes were proved equal
-    sides = old.select("text_sha256", F.lit(True).alias("with_old"), F.lit(True).alias("old"), "first", "n").union(new.select("text_sha256", F.coalesce("proved", F.lit(False)), F.lit(False), "first", "n"))
+    sides = snapshot.groups.select("text_sha256", F.lit(True).alias("with_old"), F.lit(True).alias("old"), "first", "n").union(new.select("text_sha256", "proved", F.lit(False), "first", "n"))
     whole = sides.groupBy("text_sha256", "with_old").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("old").alias("sides"))
     whole = whole.select("text_sha256", F.explode("sides").alias("old"), "first", "n")
     out = rows.join(whole.hint("merge"), ["text_sha256", "old"])
@@ -110,6 +143,6 @@ def earlier_half(docs: DataFrame, id_col: str = "doc_id") -> Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = dedup(docs, earlier_half(docs)).where("kept").select(F.col("row").alias("_row"))
-    return numbered.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    row = free_name("row", docs.columns)
+    kept = dedup(docs, earlier_half(docs)).where("kept").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
