@@ -3,18 +3,20 @@
 A window is n consecutive words of one document. Words are removed that a window covers whose word sequence also starts
 in a document with a smaller id; windows are judged on the input.
 
-1. One pass gives each document's words, their digest and, per class of equal word sequences, the smallest id. All windows
-   of a copy start in that document too, so only one of each class goes on.
-2. Screens without loss: of each window the smallest hash of its 5-word shingles (about one in five shingles is that of any window),
-   then, where those are shared, the hash of the window itself, are brought together by hash; what only one class has is settled.
-   Values that classes of one portion of a task share are known there and sent once, so common passages don't pile up.
+1. One pass gives each row's words, their digest and, per class of equal word sequences, the smallest id and a row that has it. All windows
+   of a copy start in that row too, so only one of each class goes on.
+2. Screens without loss spare the index what no other class can have: of each window the smallest hash of its 5-word shingles (about one in five shingles is that of any window),
+   then, where those are shared, the hash of the window itself, are brought together by hash. Equal windows have equal hashes, so what only one class has is settled; that hashes are shared
+   settles nothing. Values that classes of one portion of a task share are known there: their owners go on at once, and the value's bucket gets one owner a portion, so a
+   passage that all documents have is no large bucket.
 3. Runs of windows that are left and have the same smallest shingle are segments; the shingle picks the shard, so equal windows meet. Of equal
-   segments one is indexed, with its smallest id. Each shard builds an FM-index (wavelet matrix) and streams its segments
-   through backward search; where the matching statistics reach n, the smallest id of the suffix interval is reported.
+   segments one is indexed, with its smallest id, so a passage with equal neighbours counts once however many have it. Each shard builds an FM-index (wavelet matrix) and streams its segments
+   through backward search. Matching statistics decide: where they reach n, the suffix interval holds all places of the window in the shard, and the smallest id of the interval is reported.
 4. Segments go back to their documents and become intervals of words.
 
 Words `[^\\x20\\x09-\\x0D]+`, unchanged. Null, empty or short texts lose nothing. Rows without an id lose nothing and count for no other;
-rows that repeat an id are judged one by one. An empty table gives an empty result; extra columns are not read.
+rows that repeat an id are judged one by one, each against the documents with smaller ids. An empty table gives an empty result; extra columns are not read. Rows are told apart by their place in the
+table, which must be read in the same order each time, as files are.
 """
 
 from __future__ import annotations
@@ -66,14 +68,14 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_words, sha (of the words joined by one space), k (its first 64 bits)."""
+    """docs: row, doc_id, text. row, doc_id, n_words, sha (of the words joined by one space), k (its first 64 bits)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            found = [_digest(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string()), pa.array([_class(s) for _, s in found], pa.int64())], ["doc_id", "n_words", "sha", "k"])
+            found = [_digest(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string()), pa.array([_class(s) for _, s in found], pa.int64())], ["row", "doc_id", "n_words", "sha", "k"])
 
-    return docs.mapInArrow(of, "doc_id long, n_words long, sha string, k long")
+    return docs.mapInArrow(of, "row long, doc_id long, n_words long, sha string, k long")
 
 
 def shared_values(docs: DataFrame, buckets: int, window: int) -> DataFrame:
@@ -117,53 +119,47 @@ def shared_values(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 known = np.repeat(size > 1, size)
                 out = [(*x, False) for x in packed(value[head], rows[head], classes, buckets)] if len(value) else []
                 if known.any():
-                    out += [(*x, True) for x in packed(value[known], rows[known], classes, buckets)]
+                    # settled: they only pass through, dealt by their owner
+                    for r in np.unique(rows[known]):
+                        mine = known & (rows == r)
+                        bucket = buckets + int(classes[r] % buckets)
+                        out.append((bucket, classes[r : r + 1].tobytes(), np.zeros(int(mine.sum()), "<u2").tobytes(), value[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), True))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["bucket", "owners", "indexes", "values", "known"])
 
     def meet(table: pa.Table) -> pa.Table:
-        value, owner, sure = [], [], []
-        for owners, indexes, values, known in zip(*(table.column(c).to_pylist() for c in ("owners", "indexes", "values", "known")), strict=True):
-            v, o = unpacked(owners, indexes, values)
-            value.append(v)
-            owner.append(o)
-            sure.append(np.full(len(v), known))
-        value, owner, sure = np.concatenate(value), np.concatenate(owner), np.concatenate(sure)
-        order = np.argsort(value, kind="stable")
-        value, owner, sure = value[order], owner[order], sure[order]
-        again = np.zeros(len(value) + 1, bool)
-        again[1:-1] = value[1:] == value[:-1]
-        some = again[:-1] | again[1:]
-        value, owner, sure = value[some], owner[some], sure[some]
-        # a value is shared if two owners differ
-        starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-        size = np.diff(np.append(starts, len(value)))
-        if len(starts):
-            shared = np.repeat(np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts), size)
+        parts = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("owners", "indexes", "values")), strict=True)]
+        value, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((owner, value))
+        value, owner = value[order], owner[order]
+        if not table.column("known")[0].as_py():
+            # a value is shared if two owners differ
+            starts = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+            ends = np.append(starts[1:], len(value)) - 1
+            shared = np.repeat(owner[starts] != owner[ends], ends - starts + 1) if len(starts) else np.zeros(0, bool)
             value, owner = value[shared], owner[shared]
-        order = np.lexsort((value, owner))
+        order = np.argsort(owner, kind="stable")
         value, owner = value[order], owner[order]
-        new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))[: len(value)]
         value, owner = value[new], owner[new]
-        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
         lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(value)), pa.int32()), pa.array(value.astype(np.int64)))
         return pa.table([pa.array(owner[cuts], pa.int64()), lists], names=["k", "values"])
 
     sent = docs.select("text", F.col("allowed").cast("array<long>").alias("allowed")).mapInArrow(send, "bucket long, owners binary, indexes binary, values binary, known boolean")
     met = sent.groupBy("bucket").applyInArrow(meet, "k long, values array<long>")
-    return met.groupBy("k").agg(F.flatten(F.collect_list("values")).alias("values"))
+    return met.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"))
 
 
 def segments(docs: DataFrame, window: int) -> DataFrame:
-    """docs: doc_id, text, anchors, windows (what is left of each). Runs of windows with one anchor: anchor, doc_id, start (word), body (words joined by one space)."""
+    """docs: row, doc_id, text, windows (what is left of them). Runs of windows with one anchor: anchor, row, doc_id, start (word), body (words joined by one space)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            words = Words(part.column(1))
+            words = Words(part.column(2))
             starts, rows, anchor = _windows(words, window)
             hashes = shingles(words.hash, window)[starts] & LOW48 if len(starts) else anchor
-            left, keep = part.column(2).to_pylist(), np.zeros(len(starts), bool)
+            left, keep = part.column(3).to_pylist(), np.zeros(len(starts), bool)
             cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
             for r in range(part.num_rows):
                 keep[cuts[r] : cuts[r + 1]] = np.isin(hashes[cuts[r] : cuts[r + 1]], np.array(left[r] or [], np.int64).view(np.uint64))
@@ -177,10 +173,10 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
             data = words.data.tobytes()
             lo, hi = words.start[starts[at]], words.end[end - 1]
             body = [b" ".join(data[a:b].split()) for a, b in zip(lo, hi, strict=True)]
-            ids = part.column(0).take(pa.array(rows[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].astype(np.int64)), ids, pa.array(starts[at] - words.first[rows[at]], pa.int64()), pa.array(body, pa.binary()).cast(pa.string())], ["anchor", "doc_id", "start", "body"])
+            of = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].astype(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(starts[at] - words.first[rows[at]], pa.int64()), pa.array(body, pa.binary()).cast(pa.string())], ["anchor", "row", "doc_id", "start", "body"])
 
-    return docs.mapInArrow(cut, "anchor long, doc_id long, start long, body string")
+    return docs.select("row", "doc_id", "text", "windows").mapInArrow(cut, "anchor long, row long, doc_id long, start long, body string")
 
 
 def earliest(distinct: DataFrame, window: int) -> DataFrame:
@@ -197,28 +193,30 @@ def earliest(distinct: DataFrame, window: int) -> DataFrame:
         index = FMIndex(text, window)
         starts, rows = within(words.first, window)
         size, low, high = index.matching(text, at[starts] + window, window)
-        assert (size == window).all()  # each window is in the index itself
-        # the intervals of whole windows are disjoint: the smallest id of each
+        # where the matching statistics reach the window, the interval holds its places; such intervals are disjoint: the smallest id of each
+        found = np.flatnonzero(size >= window)
         ids = owner[index.order]
-        lows, where = np.unique(low, return_inverse=True)
+        lows, where = np.unique(low[found], return_inverse=True)
         highs = np.zeros(len(lows), np.int64)
-        highs[where] = high
+        highs[where] = high[found]
         edges = np.stack([lows, highs], 1).ravel()
-        least = np.minimum.reduceat(np.append(ids, ids[-1:]), edges)[::2] if len(lows) else np.zeros(0, np.int64)
+        least = np.full(len(starts), np.iinfo(np.int64).max)
+        if len(lows):
+            least[found] = np.minimum.reduceat(np.append(ids, ids[-1:]), edges)[::2][where]
         cuts = np.searchsorted(rows, np.arange(words.rows + 1))
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(least[where], pa.int64()))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(least, pa.int64()))
         return pa.table([shard.column("key"), shard.column("key2"), lists], names=["key", "key2", "least"])
 
     return distinct.groupBy("shard").applyInArrow(search, "key long, key2 long, least array<long>")
 
 
 def _removed(docs: DataFrame, window: int) -> DataFrame:
-    """docs: doc_id, k, text, found (array of start, least). doc_id, k, n_removed, kept_sha256, kept_text, removed (array of start, end in words)."""
+    """docs: row, doc_id, text, found (array of start, least). row, n_removed, kept_sha256, kept_text, removed (array of start, end in words)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
             out = []
-            for doc, k, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for row, doc, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = (text or "").encode("utf-8", "replace").split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for f in found or []:
@@ -228,57 +226,59 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
                 lost = np.cumsum(gone)[:-1] > 0
                 kept = b" ".join([w for w, x in zip(words, lost, strict=True) if not x])
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
-                out.append((doc, k, int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "n_removed", "kept_sha256", "kept_text", "removed"])
+                out.append((row, int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "n_removed", "kept_sha256", "kept_text", "removed"])
 
-    return docs.select("doc_id", "k", "text", "found").mapInArrow(cut, "doc_id long, k long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, end: long>>")
+    return docs.select("row", "doc_id", "text", "found").mapInArrow(cut, "row long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, end: long>>")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null: the words of the text unchanged), removed (intervals of words)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(digests(docs), "digests")
     able = F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
-    classes = written(rows.where(able).groupBy("sha", "k").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n")), "classes")
+    classes = rows.where(able).groupBy("sha", "k").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.max("n_words").alias("n"))
+    classes = written(classes.select("sha", "k", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("row"), "n"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(LEAST_BUCKETS, -(-total // (5 * VALUES_A_BUCKET)))
 
     whole = docs.where("doc_id is not null").withColumn("allowed", F.lit(None))
     by_anchor = written(shared_values(whole, buckets, window), "anchors")
-    reps = by_anchor.join(classes.hint("merge"), "k").select(F.col("rep").alias("doc_id"), "k", "sha", F.col("values").alias("allowed"))
-    some = rows_with(docs, reps.select("doc_id").distinct(), "doc_id")
-    some = written(some.join(reps.hint("merge"), "doc_id"), "screened")
+    # one row of each class; digests that agree by chance only let more windows through
+    reps = by_anchor.join(classes.hint("merge"), "k").select("row", "k", F.col("values").alias("allowed"))
+    some = rows_with(docs, reps.select("row"), "row")
+    some = written(some.join(reps.hint("merge"), "row"), "screened")
     by_window = shared_values(some, buckets, window)
-    left = some.select("doc_id", "text", "k").join(by_window.withColumnRenamed("values", "windows").hint("merge"), "k")
-    left = written(left, "left")
+    left = written(some.select("row", "doc_id", "text", "k").join(by_window.withColumnRenamed("values", "windows").hint("merge"), "k"), "left")
     forget(by_anchor, some)
 
-    cut = segments(left.select("doc_id", "text", "windows"), window)
+    cut = segments(left, window)
     cut = written(cut.withColumn("key", F.xxhash64("anchor", "body")).withColumn("key2", F.xxhash64("body", F.lit(1))), "segments")
     distinct = cut.groupBy("anchor", "key", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("body").alias("body"))
     words = cut.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(least, -(-words // (6 * WORDS_A_SHARD)))
     distinct = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     known = earliest(distinct, window)
-    hits = cut.select("doc_id", "start", "key", "key2").join(known.hint("merge"), ["key", "key2"])
-    hits = hits.where(F.exists("least", lambda x: x < F.col("doc_id"))).select("doc_id", F.struct("start", "least").alias("hit"))
-    found = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("found"))
-    changed = _removed(left.select("doc_id", "k", "text").join(found.hint("merge"), "doc_id"), window)
-
-    judged = rows.join(classes.select("sha", "rep").hint("merge"), "sha", "left")
-    judged = judged.withColumn("copy", F.coalesce(able & (F.col("doc_id") > F.col("rep")), F.lit(False)))
-    out = judged.join(changed.hint("merge"), ["doc_id", "k"], "left")
-    copy = F.col("copy")
+    hits = cut.select("row", "doc_id", "start", "key", "key2").join(known.hint("merge"), ["key", "key2"])
+    hits = hits.where(F.exists("least", lambda x: x < F.col("doc_id"))).select("row", F.struct("start", "least").alias("hit"))
+    found = hits.groupBy("row").agg(F.collect_list("hit").alias("found"))
+    changed = _removed(left.select("row", "doc_id", "text").join(found.hint("merge"), "row"), window)
+
+    # results of a class hold for all its rows with the smallest id; rows with other ids are copies, which lose all
+    results = classes.select("sha", "rep", "row").join(changed.hint("merge"), "row", "left").drop("row")
+    out = rows.join(results.hint("merge"), "sha", "left")
+    copy = F.coalesce(able & (F.col("doc_id") > F.col("rep")), F.lit(False))
+    first = F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False))
     nothing = F.array().cast("array<struct<start: bigint, end: bigint>>")
     all_words = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     return out.select(
         "doc_id",
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-        F.when(copy, all_words).otherwise(F.coalesce("removed", nothing)).alias("removed"),
+        F.when(copy, F.col("n_words")).otherwise(F.when(first, F.coalesce("n_removed", F.lit(0))).otherwise(0)).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).when(first, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(copy, F.lit("")).when(first, F.col("kept_text")).alias("kept_text"),
+        F.when(copy, all_words).when(first, F.coalesce("removed", nothing)).otherwise(nothing).alias("removed"),
     )
