@@ -1,18 +1,21 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set: hashes of its distinct k-word shingles (fewer words: the whole sequence as one). The parity sketch
-of a set is the bit string in which each member flips the bit at its hash, so the Hamming distance of two sketches
-is at most the sets' symmetric difference, which for a Jaccard of J and sizes a, b is at most (a + b)(1 - J)/(1 + J).
+of a set has 2^48 bits, of which each member flips the one at its hash; it is kept as the list of its set bits. The Hamming distance of two sketches
+is at most the sets' symmetric difference, which for a Jaccard of J and sizes a, b is at most (a + b)(1 - J)/(1 + J). Folding a sketch, by XOR of bits, keeps that bound.
 
-Join, a size band at a time: the sketch is cut into p = d + 1 + e parts, d being the band's largest distance. Sets that link
+Join, a size band at a time: the sketch is cut into p = d + 1 + e ranges of bits, d being the band's largest distance. Sets that link
 agree in at least e + 1 parts, so they share one of their d + 1 first parts in any common order; taking the parts with most
 flipped bits first leaves out the empty ones that all sets share. A set is cut for its own band and for
-those bands where larger sets may link with it. Parts travel as 48-bit hashes, packed by shuffle bucket.
+those bands where larger sets may link with it. Parts travel as 48-bit digests of their bits, packed by shuffle bucket.
 
-Equal sets are one class from the start, so copies never multiply. Of the classes that share a part, those whose sketches are near enough (folded to
-the narrower one's width, which keeps the bound) are tied together; what is tied, over all parts, is a family. A common passage can give unrelated texts a part,
-but not near sketches. Families are compared exactly in blocks of bounded size, each with each other of its family; a forest that
-spans the links leaves a task, with counts, never the pairs.
+Equal sets are one class from the start, so copies never multiply. Of the classes that share a part, those whose folded sketches are near enough are tied together; what is tied, over all parts, is a
+family. A common passage can give unrelated texts a part, but not near sketches. Families are compared exactly.
+
+Both groups, sharers of a part and families, may be of any size and are connected without comparing all with all (see connected): blocks of bounded size within themselves, then one of each connected set
+of a block with those of other blocks, then only what is outside the group's largest component with the rest. A group of near copies of one text takes time and
+shuffle in proportion to its size. Only a group that holds several large unconnected sets costs their product, in blocks. The number of links of each class (n_links) does need all pairs of
+a family, block by block, and is counted only on request.
 
 Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty or blank texts have empty sets and link with nothing. Rows without an id
 get their size but no component; rows that repeat an id are one node. Extra columns are not read. An empty table gives an empty result.
@@ -21,7 +24,7 @@ get their size but no component; rows that repeat an id are one node. Extra colu
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -76,21 +79,27 @@ def bands(num: int = NUM, den: int = DEN, largest: int = 1 << 40) -> tuple[np.nd
     return np.array(low[:-1]), np.array(most)
 
 
+def flipped(members: np.ndarray) -> np.ndarray:
+    """The bits of the parity sketch that the sorted members flip, in order."""
+    return members >> np.uint64(16)
+
+
 def tokens_of(members: np.ndarray, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
     """For each band in which the set may link: its d + 1 fullest parts as words: 4 bits that are smaller for fuller parts, over 48 bits of hash."""
     low, most = bands(num, den)
-    n = len(members)
+    n, bits = len(members), flipped(members)
+    mixed = mix(bits)
     first, last = np.searchsorted(low, [n, n * den // num], "right") - 1
     out = []
     for band in range(first, last + 1):
         d = int(most[band])
         parts = d + 1 + (d + 1) // 3 + 1
-        # contiguous ranges of hashes: sorted members fall into parts in order
-        edges = np.searchsorted(members, (np.arange(parts, dtype=object) * 2**64 // parts).astype(np.uint64)) if parts < 64 else np.searchsorted(members, np.ceil(np.arange(parts) * (2.0**64 / parts)).astype(np.uint64))
+        # ranges of bits: the sorted bits fall into parts in order; bits that are flipped twice cancel in the XOR
+        edges = np.searchsorted(bits, np.ceil(np.arange(parts) * (2.0**48 / parts)).astype(np.uint64))
         counts = np.diff(np.append(edges, n))
         sums = np.zeros(parts, np.uint64)
         full = np.flatnonzero(counts)
-        sums[full] = np.bitwise_xor.reduceat(mix(members), edges[full])
+        sums[full] = np.bitwise_xor.reduceat(mixed, edges[full])
         salt = mix(np.array([band], np.uint64) + np.uint64(0xA0761D6478BD642F))[0]
         hashes = mix(mix(sums + np.arange(parts, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) ^ salt) >> np.uint64(16)
         ranked = np.sort((15 - np.minimum(counts, 15)).astype(np.uint64) << np.uint64(48) | hashes)
@@ -99,9 +108,9 @@ def tokens_of(members: np.ndarray, num: int = NUM, den: int = DEN) -> list[np.nd
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """Parity of the members at each bit."""
+    """The parity sketch, folded to a width that suits the number of members."""
     width = min(WIDEST, max(NARROWEST, 1 << (2 * len(members) - 1).bit_length())) if len(members) else NARROWEST
-    bits = np.bincount((mix(members ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    bits = np.bincount((mix(flipped(members)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -249,108 +258,186 @@ def sharers(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "g long, size long, k1 long").distinct()
 
 
-def tied(shared: DataFrame, tasks: int, num: int = NUM, den: int = DEN) -> DataFrame:
-    """shared: g, size, rep, n, sketch. Within each g, classes that are connected by near sketches, each tied to one of them: a, b."""
-    large = F.col("size") > SHARERS_A_BLOCK
-    blocks = F.when(large, F.ceil(F.col("size") / SHARERS_A_BLOCK)).otherwise(1).cast("long")
-    rows = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # a large set of sharers is compared block by block; small ones are dealt to tasks by their digest
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(F.when(large, F.col("g")).otherwise(F.pmod("g", F.lit(tasks))).alias("task"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "g", "own", "rep", "n", "sketch")
+def near(n: list[int], sketches: list[bytes], others: list[int], other_sketches: list[bytes], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Which folded sketches are near enough that their sets, of n and others members, may link: a boolean matrix."""
+    marks = folded([*sketches, *other_sketches])
+    x, y = marks[: len(n)], marks[len(n) :]
+    if len(n) * len(others) <= 64:
+        fits = [[(p ^ q).bit_count() * (num + den) <= (a + b) * (den - num) and max(a, b) * num <= min(a, b) * den for q, b in zip(y, others, strict=True)] for p, a in zip(x, n, strict=True)]
+        return np.array(fits, bool).reshape(len(n), len(others))
+    wide = (max(1, *map(int.bit_length, marks)) + 63) // 64 * 8
+    bits = np.frombuffer(b"".join(m.to_bytes(wide, "little") for m in marks), np.uint64).reshape(len(marks), -1)
+    a, b, out = np.array(n), np.array(others), np.zeros((len(n), len(others)), bool)
+    for i in range(len(n)):
+        far = np.bitwise_count(bits[i] ^ bits[len(n) :]).sum(1, dtype=np.int64)
+        out[i] = (far * (num + den) <= (a[i] + b) * (den - num)) & (a[i] * num <= b * den) & (b * num <= a[i] * den)
+    return out
 
-    def near(table: pa.Table) -> pa.Table:
-        table = table.sort_by("g")
-        g = table.column("g").to_numpy()
-        reps, sizes, own = (table.column(c).to_numpy().tolist() for c in ("rep", "n", "own"))
-        marks = table.column("sketch").to_pylist()
-        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ties: set[tuple[int, int]] = set()
-        cuts = [*np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist(), len(g)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            x = folded(marks[lo:hi])
-            root = list(range(hi - lo))
-            for i in range(hi - lo):
-                for j in range(i):
-                    if root[i] == root[j] or (first != second and own[lo + i] == own[lo + j]):
-                        continue
-                    total = sizes[lo + i] + sizes[lo + j]
-                    if (x[i] ^ x[j]).bit_count() * (num + den) <= total * (den - num) and max(sizes[lo + i], sizes[lo + j]) * num <= min(sizes[lo + i], sizes[lo + j]) * den:
-                        old, new = root[i], root[j]
-                        root = [new if r == old else r for r in root]
-            ties.update((reps[lo + r], reps[lo + i]) for i, r in enumerate(root) if reps[lo + r] != reps[lo + i])
-        return pa.table([pa.array([a for a, _ in ties], pa.int64()), pa.array([b for _, b in ties], pa.int64())], names=["a", "b"])
 
-    return rows.groupBy("task", "i", "j").applyInArrow(near, "a long, b long")
+def near_items(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Of items (n, payload: a folded sketch) which are near."""
+    return near(*(x.column(c).to_pylist() for x in (left, right) for c in ("n", "payload")))
+
+
+def linked_items(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Of items (payload: a set) which link."""
+    a, b = ([np.frombuffer(m.as_buffer(), np.uint64) for m in x.column("payload")] for x in (left, right))
+    return linked(a, a if left is right else b)
+
 
+Relation = Callable[[pa.Table, pa.Table], np.ndarray]
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs: text, rep, k1, k2 (of the class), family, blocks. Its set with family, blocks, rep, for rows whose set is the class's."""
+
+def _edges(table: pa.Table, left: np.ndarray, right: np.ndarray, relation: Relation, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that connect rows left and right of a table (index arrays, equal or disjoint) as far as relation does; apart: only rows of different `at`."""
+    reps, whole = table.column("rep").to_numpy(), left is right
+    rows = left if whole else np.concatenate([left, right])
+    one = table.take(pa.array(left))
+    links = relation(one, one if whole else table.take(pa.array(right)))
+    if apart:
+        at = table.column("at").to_numpy()
+        links &= at[left][:, None] != at[right][None, :]
+    if not whole:
+        square = np.zeros((len(rows), len(rows)), bool)
+        square[: len(left), len(left) :] = links
+        links = square | square.T
+    np.fill_diagonal(links, False)
+    least = labels(links)
+    some = np.flatnonzero(reps[rows] != reps[rows[least]])
+    return reps[rows[least[some]]], reps[rows[some]]
+
+
+def connected(items: DataFrame, with_payload: Callable[[DataFrame], DataFrame], relation: Relation, tasks: int, block: int) -> DataFrame:
+    """items: g, blocks (of bounded size, into which the group is dealt), rep. with_payload adds n and payload. relation: which items of a group are related.
+
+    Pairs a, b that connect what the relation connects within the groups. tasks: how many share the groups of one block; block: items that make a block."""
+    schema = "g long, a long, b long"
+    nothing = pa.table([pa.array([], pa.int64())] * 3, names=["g", "a", "b"])
+
+    def out(parts: list[tuple[int, tuple[np.ndarray, np.ndarray]]]) -> pa.Table:
+        made = [pa.table([pa.array(np.full(len(a), g)), pa.array(a), pa.array(b)], names=["g", "a", "b"]) for g, (a, b) in parts if len(a)]
+        return pa.concat_tables(made) if made else nothing
+
+    def inside(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("g", "ascending"), ("rep", "ascending")])
+        g = table.column("g").to_numpy()
+        cuts = [*np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist(), len(g)]
+        return out([(int(g[lo]), _edges(table, rows, rows, relation)) for lo, hi in zip(cuts, cuts[1:], strict=False) for rows in [np.arange(lo, hi)]])
+
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left = np.flatnonzero(own == i)
+        return out([(table.column("g")[0].as_py(), _edges(table, left, left if i == j else np.flatnonzero(own == j), relation))])
+
+    def rest(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        few = table.column("few").to_numpy(zero_copy_only=False)
+        return out([(table.column("g")[0].as_py(), _edges(table, np.flatnonzero(few), np.flatnonzero(~few), relation, apart=True))])
+
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    dealt = with_payload(items).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    task = F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(tasks)))
+    found = written(dealt.withColumn("task", task).withColumn("alone", F.col("blocks") == 1).groupBy("task", "alone", "own").applyInArrow(inside, schema), "inside")
+    many = items.where("blocks > 1")
+    if many.isEmpty():
+        return found
+    # of each connected set of a block its smallest stands for it
+    heads = many.join(found.select("g", F.col("b").alias("rep")).hint("merge"), ["g", "rep"], "left_anti")
+    count = small(written(heads.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("head_blocks")), "heads"))
+    heads = with_payload(heads.join(count, "g")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("head_blocks"))).withColumn("o", numbers(F.col("head_blocks")))
+    heads = heads.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
+    found = written(found.union(heads.groupBy("g", "i", "j").applyInArrow(across, schema)), "across")
+    # what no head connects: all outside the largest component meet all others of their group
+    at = components(found.select("a", "b"))
+    at = written(many.join(at.hint("merge"), F.col("rep") == F.col("node"), "left").select(*items.columns, F.coalesce("component", "rep").alias("at")), "parts")
+    size = at.groupBy("g", "at").agg(F.count("*").alias("n_at"))
+    most = size.groupBy("g").agg(F.max(F.struct("n_at", "at")).alias("most"), F.sum("n_at").alias("all"))
+    most = most.where(F.col("most.n_at") < F.col("all")).select("g", F.col("most.at").alias("main"), F.ceil((F.col("all") - F.col("most.n_at")) / block).cast("long").alias("few_blocks"))
+    left = at.join(small(written(most, "open")), "g")
+    if left.isEmpty():
+        return found
+    few = with_payload(left.where("at <> main")).withColumn("s", F.pmod(F.xxhash64("rep"), F.col("few_blocks"))).withColumn("o", numbers(F.col("blocks"))).withColumn("few", F.lit(True))
+    others = with_payload(left).withColumn("o", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("s", numbers(F.col("few_blocks"))).withColumn("few", F.lit(False))
+    return found.union(few.unionByName(others).groupBy("g", "s", "o").applyInArrow(rest, schema))
+
+
+def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """keys: rep, k1, k2 (of the class), and more. Adds n and payload, the set of the class, from the texts of docs."""
+    others = [c for c in keys.columns if c not in ("k1", "k2")]
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
             sets = sets_of(part.column(0), k)
-            keys = [_key(s) for s in sets]
-            right = pa.array([key == (a, b) for key, a, b in zip(keys, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([part.column(1), part.column(4), part.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "family", "blocks", "members"])
+            right = pa.array([_key(s) == (a, b) for s, a, b in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
+            out = pa.RecordBatch.from_arrays([*part.columns[3:], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], [*others, "n", "payload"])
             yield out.filter(right)
 
-    return docs.select("text", "rep", "k1", "k2", "family", "blocks").mapInArrow(full, "rep long, family long, blocks long, members binary")
+    texts = docs.join(small(keys, 500_000), F.col("doc_id") == F.col("rep")).select("text", "k1", "k2", *others)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.select(*others).schema)
+    return texts.mapInArrow(full, f"{kinds}, n long, payload binary")
 
 
 def block_links(sets: DataFrame) -> DataFrame:
-    """sets: rep, family, blocks, members. Compares each block of a family with itself and the others: node, other (the smallest node it is connected with there), n_links."""
+    """sets: rep, g, blocks, payload. How many others of its family each links with: node, n_links. All pairs of blocks of a family are compared."""
     own = sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tasks = own.withColumn("o", other).select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "members")
+    tasks = own.withColumn("o", other).select("g", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "payload")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rep")
         reps, own = rows.column("rep").to_numpy(), rows.column("own").to_numpy()
-        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("members")]
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("payload")]
         # a row may come twice where its id does
         once = np.concatenate([[True], [reps[x] != reps[x - 1] or len(sets[x]) != len(sets[x - 1]) or bool((sets[x] != sets[x - 1]).any()) for x in range(1, len(reps))]])
         reps, own, sets = reps[once], own[once], [s for s, x in zip(sets, once, strict=True) if x]
         i, j = key[1].as_py(), key[2].as_py()
         if i == j:
-            links = linked(sets, sets)
+            count = linked(sets, sets).sum(1)
         else:
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            links = np.zeros((len(sets), len(sets)), bool)
-            links[np.ix_(left, right)] = linked([sets[x] for x in left], [sets[x] for x in right])
-            links |= links.T
-        count, least = links.sum(1), labels(links)
+            links, count = linked([sets[x] for x in left], [sets[x] for x in right]), np.zeros(len(sets), np.int64)
+            count[left], count[right] = links.sum(1), links.sum(0)
         some = np.flatnonzero(count)
-        return pa.table([pa.array(reps[some]), pa.array(reps[least[some]]), pa.array(count[some].astype(np.int64))], names=["node", "other", "n_links"])
+        return pa.table([pa.array(reps[some]), pa.array(count[some].astype(np.int64))], names=["node", "n_links"])
 
-    return tasks.groupBy("family", "i", "j").applyInArrow(compare, "node long, other long, n_links long")
+    return tasks.groupBy("g", "i", "j").applyInArrow(compare, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), n_links (other sets that its set links with), component_id."""
+def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id; with count_links also n_links (other sets that its set links with)."""
     docs = _texts(docs, id_col, text_col)
     rows = written(members(docs, k), "members")
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-int(total * 0.6) // TOKENS_A_BUCKET))
-    shared = written(sharers(docs.where("doc_id is not null"), buckets, k), "sharers")
+    shared = sharers(docs.where("doc_id is not null"), buckets, k).withColumnRenamed("size", "blocks")
+    shared = written(shared.withColumn("blocks", F.ceil(F.col("blocks") / SHARERS_A_BLOCK).cast("long")), "sharers")
     tasks = max(LEAST_BUCKETS, -(-shared.count() // ROWS_A_TASK))
     # of classes whose k1 agrees by chance each takes part
-    ties = written(tied(shared.join(classes.select("k1", "rep", "n", "sketch").hint("merge"), "k1"), tasks), "ties")
-    family = components(ties)
-    family = written(family.union(family.select("component", "component").distinct()).toDF("rep", "family"), "families")
-    forget(shared, ties)
+    sketches = classes.select("k1", "n", F.col("sketch").alias("payload"), F.col("rep").alias("at_rep"))
+    known = written(shared.join(classes.select("k1", "rep").hint("merge"), "k1"), "known-sharers")
+    marked = lambda x: x.join(sketches.hint("merge"), (F.col("k1_") == F.col("k1")) & (F.col("rep") == F.col("at_rep"))).drop("k1", "k1_", "at_rep")
+    ties = connected(known.withColumnRenamed("k1", "k1_"), marked, near_items, tasks, SHARERS_A_BLOCK)
+    family = components(ties.select("a", "b"))
+    family = written(family.union(family.select("component", "component").distinct()).toDF("rep", "g"), "families")
+    forget(shared, known)
     known = family.join(classes.drop("sketch").hint("merge"), "rep")
-    size = known.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CLASSES_A_BLOCK), F.ceil(F.sum("n") / MEMBERS_A_BLOCK)).cast("long").alias("blocks"))
-    known = written(known.join(size.hint("merge"), "family").select("rep", "k1", "k2", "family", "blocks"), "candidates")
-    texts = docs.join(small(known, 500_000), F.col("doc_id") == F.col("rep"))
-    links = written(block_links(_sets(texts, k)), "block-links")
-    label = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    degree = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    at = classes.join(label.hint("merge"), F.col("rep") == F.col("node"), "left").drop("node").join(degree.hint("merge"), F.col("rep") == F.col("node"), "left")
-    at = at.select("n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    size = known.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CLASSES_A_BLOCK), F.ceil(F.sum("n") / MEMBERS_A_BLOCK)).cast("long").alias("blocks"))
+    large = written(size.where("blocks > 1"), "large-families")
+    known = written(known.join(small(large), "g", "left").select("rep", "k1", "k2", "g", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"), "n"), "candidates")
+    tasks = max(LEAST_BUCKETS, -(-(known.agg(F.sum("n")).first()[0] or 0) // MEMBERS_A_BLOCK))
+    known = known.drop("n")
+    links = connected(known, lambda x: _sets(docs, x, k), linked_items, tasks, CLASSES_A_BLOCK)
+    label = components(links.select("a", "b"))
+    at = classes.join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    if count_links:
+        degree = block_links(_sets(docs, known, k))
+        at = at.join(degree.hint("merge"), F.col("class_id") == F.col("node"), "left").drop("node").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     out = rows.join(at.hint("merge"), ["n", "k1", "k2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), *more, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -119,7 +119,11 @@ def test_jaccard_join(docs, empty):
         of[i].add(s)
     links = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) for x in of[ids[a]] for y in of[ids[b]] if x and y and 100 * len(x & y) >= 80 * len(x | y)]
     want = dict(zip(ids, (ids[c] for c in components(len(ids), links)), strict=True))
-    got = jaccard.join(docs).collect()
+    degree = collections.Counter(x for pair in links for x in pair)
+    distinct = {s for s in sets.values() if s}
+    linked = {s: sum(100 * len(s & o) >= 80 * len(s | o) for o in distinct if o != s) for s in distinct}
+    got = jaccard.join(docs, count_links=True).collect()
+    assert degree and all(r.n_links in {linked.get(s, 0) for s in of[r.doc_id]} for r in got if r.doc_id is not None)
     assert len(got) == len(ROWS) and len({want[i] for i in range(44, 60)}) < 16
     for r in got:
         assert r.n_shingles in {len(s) for s in of[r.doc_id]}
@@ -127,6 +131,14 @@ def test_jaccard_join(docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_groups_of_many_blocks_are_connected_whole(docs, monkeypatch):
+    whole = collections.Counter((r.doc_id, r.component_id) for r in jaccard.join(docs).collect())
+    for sharers, classes in ((2, 1024), (2048, 3), (3, 2)):
+        monkeypatch.setattr(jaccard, "SHARERS_A_BLOCK", sharers)
+        monkeypatch.setattr(jaccard, "CLASSES_A_BLOCK", classes)
+        assert collections.Counter((r.doc_id, r.component_id) for r in jaccard.join(docs).collect()) == whole
+
+
 def test_parts_never_lose_a_link():
     rng = np.random.default_rng(3)
     for n in (1, 4, 5, 9, 30, 200, 3000):
@@ -144,25 +156,47 @@ def test_parts_never_lose_a_link():
                 assert not jaccard.linked([a], [b])[0, 0]
 
 
-def test_substring_removal(docs, empty):
+def removals(rows):
     first = {}
-    for i, t, *_ in sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0]):
+    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         w = split(t)
         for j in range(len(w) - 12):
             first.setdefault(tuple(w[j : j + 13]), i)
     want = collections.Counter()
-    for i, t, *_ in ROWS:
+    for i, t, *_ in rows:
         w = split(t)
         gone = [False] * len(w)
         for j in range(len(w) - 12):
             if i is not None and first[tuple(w[j : j + 13])] < i:
                 gone[j : j + 13] = [True] * 13
         want[i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()] += 1
-    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated(docs).collect())
-    assert got == want
+    return want
+
+
+def removed(docs):
+    return collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated(docs).collect())
+
+
+def test_substring_removal(docs, empty):
+    assert removed(docs) == removals(ROWS)
     assert substrings.repeated(empty).count() == 0
 
 
+def test_substring_removal_of_repeated_ids(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(n))
+    passage, other = text(40), text(30)
+    rows = [(1, f"{text(9)} {passage}"), (5, f"{passage} {text(20)}"), (7, f"{text(5)} {passage} {other}"), (9, f"{other} {text(8)}"), (9, f"{text(3)} {passage}"), (9, text(60)), (None, passage), (12, passage), (12, passage)]
+    rows += [rows[2], rows[3], rows[1]]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    assert removed(spark.read.parquet(str(tmp_path / "d"))) == removals(rows)
+
+
+def test_the_index_decides_whatever_the_screens_let_through(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "LOW48", np.uint64(63))  # almost all hashes are shared
+    assert removed(docs) == removals(ROWS)
+
+
 def test_fm_index_matching_statistics():
     rng = np.random.default_rng(7)
     text = np.concatenate([np.append(rng.integers(1, 5, n), 0) for n in (30, 1, 50)])
@@ -208,7 +242,7 @@ def test_cached_ids_are_the_tokenizers(text):
         assert np.frombuffer(ids.text(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_token_counts(spark, docs, empty, tmp_path):
+def test_token_counts(spark, docs, empty, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -223,7 +257,8 @@ def test_token_counts(spark, docs, empty, tmp_path):
     (tmp_path / "one.bin").write_bytes(ids.tobytes())
     (tmp_path / "none.bin").write_bytes(b"")
     parts = [len(p) - 1 for p in np.split(np.append(ids, sep), np.flatnonzero(np.append(ids, sep) == sep) + 1)[:-1]]
-    for block in (1, 3, 64, 4999, 10_000):
+    for block, run in ((1, 7), (1, 1024), (3, 2), (64, 5), (4999, 1), (10_000, 1)):
+        monkeypatch.setattr(token_counts, "RUN", run)
         got = sorted((r.ordinal, r.n_tokens) for r in token_counts.scan(spark, str(tmp_path), sep, 2, block).where("file like '%one.bin'").collect())
         assert got == [(k, n) for k, n in enumerate(parts) if n or k < len(parts) - 1]
 
@@ -231,17 +266,16 @@ def test_token_counts(spark, docs, empty, tmp_path):
 def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, -0.25, 0.01, 0.3, 0.7]) for _ in range(6)]) for i in range(90)]
-    rows += [(100, rows[0][1]), (101, rows[0][1]), (120, None), (140, [0.1] * 5 + [None]), (160, [0.1] * 5 + [float("nan")]), (180, [float("inf")] * 6), (200, [0.5] * 3), (None, [0.1] * 6), (20, rows[20][1]), (220, []), (5, [1e300] * 6)]
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (120, None), (140, [0.1] * 5 + [None]), (160, [0.1] * 5 + [float("nan")]), (180, [float("inf")] * 6), (200, [0.5] * 3), (None, [0.1] * 6), (20, rows[20][1]), (220, []), (5, [1e300] * 6), (240, [-1e300, 1.5, 0.0, 0.0, 0.0, 3e5]), (300, [0.25, -3e5, 1.0, 0.0, 1e15, 0.0]), (40, [0.25] * 3), (260, [-0.75] * 3)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e5 for x in v)]
-    want = {}
-    for q, v in ok:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:20]
-            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bitslice.top_k(df, F.col("vec_id") % 20 == 0).collect()}
-    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
-    assert got == want
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = collections.Counter()
+    for q, dims in {(q, len(v)) for q, v in ok if q % 20 == 0}:
+        v = min(v for i, v in ok if i == q and len(v) == dims)
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == dims)[:20]
+        want.update((q, k + 1, i, -s if abs(s) < 2**63 else None) for k, (s, i) in enumerate(best))
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in bitslice.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == want and any(q == 240 and s is None for q, _, _, s in want)
     assert bitslice.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 

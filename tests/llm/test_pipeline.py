@@ -11,14 +11,14 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_stages(spark):
     import corpus_pipeline
-    from factloom.llm import exact_dedup, jaccard, mixing, toxicity
+    from factloom.llm import exact_dedup, jaccard, mixing, store, toxicity
 
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before = collections.Counter(r.doc_id for r in docs.collect())
-        out = corpus_pipeline.written(stage(spark, docs, SF), name)
+        out = store.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, SF), name)
         rows = out.collect()
         after = collections.Counter(r.doc_id for r in rows)
         if name != "packing":
