@@ -1,11 +1,14 @@
-"""Audits: licences of packages, secrets and personal numbers in texts, pictures outside their folder."""
+"""Audits: licences of packages, secrets and personal numbers in texts, pictures outside their folder.
+
+Null licences count as unknown, null texts hold nothing. Repeated rows give repeated findings; empty tables give none. Columns of the input that are called like a result (label, kind) give way to it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import any_of
+from factloom.functions.text import any_of, computed, free_name
 
 # Licence words, secret patterns, folders and suffixes.
 ALLOWED = (
@@ -28,7 +31,9 @@ SECRETS = (
 )
 SKIPPED_FOLDERS = (".git", ".github", "__pycache__", ".pytest_cache", ".mypy_cache", "node_modules", "dist", "build", ".venv", "venv", "dev-only", "tests", "test")
 SCANNED_SUFFIXES = (".py", ".pyi", ".txt", ".md", ".json", ".jsonl", ".csv", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".env", ".html", ".js", ".ts", ".pem", ".key", ".sh", "")
-PICTURES, CODE_FOLDERS, PICTURE_SETS = (".svg", ".png", ".jpg", ".jpeg", ".gif", ".webp"), ("factloom", "corpus", "tooling"), ("mulberry", "openmoji")
+CODE_FOLDERS, PICTURE_SETS = ("factloom", "corpus", "tooling"), ("mulberry", "openmoji")
+PICTURE, INLINED = r"(?i)\.(svg|png|jpe?g|gif|webp)$", "(?i)data:image/[a-z+.-]+;base64,"
+UNSHIPPED = r"(^|/)(\.git|__pycache__|\.pytest_cache|\.venv|venv|build|dist|[^/]*\.egg-info)/"
 
 
 def licence_finding(name: Column, licence: Column) -> Column:
@@ -48,8 +53,11 @@ def ci_licence_finding(licence: Column) -> Column:
 
 def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per document and kind of secret that it holds: the columns of docs but the text, label, kind."""
-    hits = F.array_compact(F.array(*(F.when(F.col(text_col).rlike(p), F.lit(label)) for label, p in SECRETS)))
-    out = docs.withColumn("label", F.explode(hits)).drop(text_col)
+    kept = [c for c in docs.columns if c not in (text_col, "label", "kind")]
+    text, hits = (free_name(c, docs.columns) for c in ("audit_text", "audit_hits"))
+    out = computed(docs, {text: F.col(text_col)})
+    out = computed(out, {hits: F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(label)) for label, p in SECRETS)))})
+    out = out.select(*kept, F.explode(hits).alias("label"))
     return out.withColumn("kind", F.when(F.col("label") == "korean-rrn", "pii").otherwise("secret"))
 
 
@@ -64,12 +72,12 @@ def asset_findings(files: DataFrame) -> DataFrame:
     """files: path (below the root), content. Pictures in code folders or inlined in code, active SVGs, and picture sets without a licence: kind, detail."""
     path, content = F.col("path"), F.col("content")
     top = F.substring_index(path, "/", 1)
-    picture = F.lower(path).rlike(r"\.(svg|png|jpe?g|gif|webp)$")
+    picture = path.rlike(PICTURE)
     in_code = top.isin(*CODE_FOLDERS)
     active = F.lower(path).endswith(".svg") & F.lower(content).rlike(r"<script|javascript:|\son\w+\s*=")
     kinds = F.array_compact(F.array(
         F.when(in_code & picture, F.lit("asset-in-code")),
-        F.when(in_code & ~picture & content.rlike("(?i)data:image/[a-z+.-]+;base64,"), F.lit("inlined-asset")),
+        F.when(in_code & ~picture & content.rlike(INLINED), F.lit("inlined-asset")),
         F.when(path.startswith("assets/") & active, F.lit("active-svg")),
     ))
     found = files.select(F.explode(kinds).alias("kind"), path.alias("detail"))
@@ -79,6 +87,20 @@ def asset_findings(files: DataFrame) -> DataFrame:
     return found.union(missing)
 
 
+def picture_leaks(files: DataFrame) -> DataFrame:
+    """files: path (below the root), content. Pictures outside assets/, and texts of the code, of the corpus and of the root itself that hold one written out: path, in order."""
+    path, top = F.col("path"), F.substring_index("path", "/", 1)
+    scope = top.isin(*CODE_FOLDERS[:2]) | ~path.contains("/")
+    leak = F.when(path.rlike(PICTURE), ~path.startswith("assets/")).otherwise(scope & F.coalesce(F.col("content").rlike(INLINED), F.lit(False)))
+    return files.where(leak & ~path.rlike(UNSHIPPED)).select("path").orderBy("path")
+
+
+def licence_note(name: Column, licence: Column) -> Column:
+    """What the licence gate says of a package: its finding, or that its licence is allowed or, for build tools without one, known."""
+    known = F.lower(F.trim(F.coalesce(licence, F.lit("")))).isin("", "unknown", "unknown license") & F.lower(F.trim(F.coalesce(name, F.lit("")))).isin(*SYSTEM_PACKAGES)
+    return F.coalesce(licence_finding(name, licence), F.when(known, "MIT (known)").otherwise("allowed"))
+
+
 def audit(packages: DataFrame, files: DataFrame) -> DataFrame:
     """All findings: kind, detail. packages: Name, Version, License; files: path, content."""
     licences = packages.select(licence_finding(F.col("Name"), F.col("License")).alias("kind"), F.format_string("%s %s [%s]", "Name", "Version", "License").alias("detail")).where("kind is not null")

@@ -1,4 +1,8 @@
-"""Injected distortions, and how well a gate catches them."""
+"""Injected distortions, and how well a gate catches them.
+
+A pair without a trigger gives no case of that type; null easy texts give none at all. Repeated pairs give repeated cases. An empty table has shares of 0. Columns of the input that are
+called like a result (case_id, distortion_type, is_clean) give way to it, all others pass.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import replaced_once
+from factloom.functions.text import free_name, replaced_once
 
 # Trigger and replacement of each distortion, in order.
 REWRITES = (
@@ -25,8 +29,8 @@ REWRITES = (
 INVENTED, INVENTED_SENTENCE = "국민건강보험공단", " 자세한 내용은 국민건강보험공단에 문의하세요."
 
 
-def distorted(pairs: DataFrame) -> DataFrame:
-    """One row per distortion that a pair's easy text allows, and a clean one: adds distortion_type, is_clean; easy_text is the distorted text."""
+def distorted(pairs: DataFrame, seed: int = 0) -> DataFrame:
+    """One row per distortion that a pair's easy text allows, and a clean one: adds case_id (seed and type), distortion_type, is_clean; easy_text is the distorted text."""
     easy = F.col("easy_text")
     made: dict[str, list] = {}
     for kind, old, new in REWRITES:
@@ -35,8 +39,12 @@ def distorted(pairs: DataFrame) -> DataFrame:
     cases.append(("hallucinated_entity", F.when(~easy.contains(INVENTED), F.concat(easy, F.lit(INVENTED_SENTENCE)))))
     rows = [F.struct(F.lit(k).alias("distortion_type"), F.lit(False).alias("is_clean"), v.alias("text")) for k, v in cases]
     rows.append(F.struct(F.lit("clean").alias("distortion_type"), F.lit(True).alias("is_clean"), easy.alias("text")))
-    out = pairs.withColumn("case", F.explode(F.array(*rows))).where(F.col("case.text").isNotNull() & (F.col("case.is_clean") | (F.col("case.text") != easy)))
-    return out.withColumns({"distortion_type": F.col("case.distortion_type"), "is_clean": F.col("case.is_clean"), "easy_text": F.col("case.text")}).drop("case")
+    case = free_name("case", pairs.columns)
+    kept = [F.col(c) for c in pairs.columns if c.lower() not in ("case_id", "distortion_type", "is_clean", "easy_text")]
+    out = pairs.withColumn(case, F.explode(F.array(*rows)))
+    at = F.col(case)
+    out = out.where(at["text"].isNotNull() & (at["is_clean"] | (at["text"] != easy)))
+    return out.select(*kept, F.concat(F.lit(f"{seed}-"), at["distortion_type"]).alias("case_id"), at["distortion_type"].alias("distortion_type"), at["is_clean"].alias("is_clean"), at["text"].alias("easy_text"))
 
 
 def _share(a, b):

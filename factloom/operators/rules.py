@@ -1,16 +1,21 @@
 """Readability rules over (text, tokens): each a column expression with its sub-score and violations; their mean is the score.
 
-tokens: array of struct form, tag (tags of a Korean morphological analyser), in the order of the text.
+tokens: array of struct form, tag (tags of a Korean morphological analyser), in the order of the text; tokenized() adds them by any tokenizer.
+
+Null texts count as empty ones, null tokens as none: a rule without anything to judge gives its best score, but for direct_address (70) and modifier_ttr (80).
+Rows are scored one by one, repeated ones too; an empty table gives an empty result. Columns of the input that are called like a result (the rules, violations, score,
+level_estimate) give way to it. Ties do not arise: violations come in the order of the rules, spans in the order of the text, idioms in the order of their list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import found, linear, quoted, sentences
+from factloom.functions.text import computed, found, free_name, linear, quoted, sentences, stripped
 from factloom.lexicons import EASY_WORDS, HARD_TERMS, IDIOMS
 
 # Tags, forms and thresholds that results depend on.
@@ -18,16 +23,28 @@ NOUNS = ("NNG", "NNP", "NNB", "NR", "NP")
 VERBS = ("VV", "VA", "XSV")
 PASSIVE_FORMS, PASSIVE_TAGS = ("되", "지", "받", "당하"), ("XSV", "VV", "VX")
 NEGATIVE_FORMS = ("안", "못", "없", "않", "말", "아니", "아니하", "불가", "금지", "제외")
-CJK = "[\u4e00-\u9fff\u3400-\u4db6\uf900-\ufaff\u2e80-\u2eff\u2f00-\u2fdf]"
+CJK = "[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u2e80-\u2eff\u2f00-\u2fdf]"
 ABBREVIATION = r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])"
 PERCENT, NUMBER, BIG_DIGITS = r"\d+\s*%", r"\d[\d,]*", 6
 
-VIOLATION = "array<struct<rule:string,span:string,severity:string>>"
+VIOLATION = "array<struct<rule:string,span:string,severity:string,suggestion:string>>"
+TOKENS = "array<struct<form:string,tag:string>>"
+# What to do about a violation, in our own words.
+SUGGESTIONS = {
+    "sentence_length": "문장을 둘로 나누세요.", "hard_word_ratio": "쉬운 낱말로 바꾸거나 뜻을 풀어 쓰세요.", "hanja_loanword_ratio": "한자어와 외래어를 우리말로 바꾸세요.",
+    "predicates_connectives": "이어진 문장을 끊으세요.", "passive_ratio": "누가 하는지 드러나게 쓰세요.", "negation_ratio": "긍정하는 말로 바꾸세요.",
+    "undefined_hard_term": "낱말 뒤에 괄호로 뜻을 쓰세요.", "idiom": "관용구를 뜻 그대로 쓰세요.", "abbrev_percent_bignum": "약어와 큰 수를 풀어 쓰세요.",
+    "third_person_fictional": "사람을 이름이나 '여러분'으로 부르세요.", "direct_address": "읽는 사람을 불러 주세요.", "modifier_ttr": "꾸미는 말을 줄이세요.",
+}
+
+
+def _violation(rule: str, span: Column, severity: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), span.alias("span"), severity.alias("severity"), F.lit(SUGGESTIONS[rule]).alias("suggestion"))
 
 
 def _v(rule: str, span: Column, severity: str | Column, when: Column) -> Column:
     sev = F.lit(severity) if isinstance(severity, str) else severity
-    one = F.array(F.struct(F.lit(rule).alias("rule"), span.alias("span"), sev.alias("severity"))).cast(VIOLATION)
+    one = F.array(_violation(rule, span, sev)).cast(VIOLATION)
     return F.when(F.coalesce(when, F.lit(False)), one).otherwise(F.array().cast(VIOLATION))
 
 
@@ -66,9 +83,9 @@ def sentence_tokens(text: Column, tokens: Column) -> Column:
 
 def sentence_length(text: Column, tokens: Column) -> tuple[Column, Column]:
     count = sentence_tokens(text, tokens)
-    whole = F.when(F.size(sentences(text)) == 0, F.array(text)).otherwise(sentences(text))
+    whole = F.when(F.size(sentences(text)) == 0, F.array(stripped(text))).otherwise(sentences(text))
     scores = F.transform(count, lambda c: linear(c.cast("double"), 15.0, 40.0))
-    each = F.filter(F.zip_with(whole, count, lambda s, c: F.struct(F.lit("sentence_length").alias("rule"), F.substring(s, 1, 60).alias("span"), F.when(c >= 40, "high").when(c > 15, "med").alias("severity"))), lambda v: v["severity"].isNotNull())
+    each = F.filter(F.zip_with(whole, count, lambda s, c: _violation("sentence_length", F.substring(s, 1, 60), F.when(c >= 40, "high").when(c > 15, "med"))), lambda v: v["severity"].isNotNull())
     return _sum(scores) / F.size(scores), each.cast(VIOLATION)
 
 
@@ -127,7 +144,7 @@ def undefined_hard_term(text: Column, tokens: Column) -> tuple[Column, Column]:
 def idiom(text: Column, tokens: Column) -> tuple[Column, Column]:
     """Idioms in the order of the list."""
     hits = F.filter(F.array(*map(F.lit, IDIOMS)), lambda i: F.contains(text, i))
-    each = F.transform(F.slice(hits, 1, 5), lambda h: F.struct(F.lit("idiom").alias("rule"), h.alias("span"), F.lit("med").alias("severity")))
+    each = F.transform(F.slice(hits, 1, 5), lambda h: _violation("idiom", h, F.lit("med")))
     return F.greatest(F.lit(0.0), 100 - F.size(hits) * 20.0), each.cast(VIOLATION)
 
 
@@ -139,7 +156,7 @@ def abbreviations_and_numbers(text: Column) -> Column:
 
 def abbrev_percent_bignum(text: Column, tokens: Column) -> tuple[Column, Column]:
     hits = abbreviations_and_numbers(text)
-    each = F.transform(F.slice(hits, 1, 5), lambda h: F.struct(F.lit("abbrev_percent_bignum").alias("rule"), h.alias("span"), F.lit("med").alias("severity")))
+    each = F.transform(F.slice(hits, 1, 5), lambda h: _violation("abbrev_percent_bignum", h, F.lit("med")))
     return F.greatest(F.lit(0.0), 100 - F.size(hits) * 10.0), each.cast(VIOLATION)
 
 
@@ -167,15 +184,29 @@ RULES: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {
 
 
 def scored(docs: DataFrame, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
-    """Adds a column per rule, score (their mean), level_estimate (1 from 80, 2 from 60, else 3) and violations."""
-    text, tokens = F.coalesce(F.col(text_col), F.lit("")), F.col(tokens_col)
-    made = {name: rule(text, tokens) for name, rule in RULES.items()}
-    out = docs.withColumns({k: v[0].cast("double") for k, v in made.items()} | {"violations": F.concat(*(v[1] for v in made.values()))})
-    score = sum((F.col(k) for k in made), F.lit(0.0)) / len(made)
-    out = out.withColumn("score", score)
+    """Adds a column per rule, score (their mean), level_estimate (1 from 80, 2 from 60, else 3) and violations (rule, span, severity, suggestion)."""
+    results = (*RULES, "violations", "score", "level_estimate")
+    kept = [c for c in docs.columns if c.lower() not in results]
+    text, tokens, result = (free_name(c, docs.columns) for c in ("rules_text", "rules_tokens", "rules_result"))
+    out = computed(docs, {text: F.coalesce(F.col(text_col).cast("string"), F.lit("")), tokens: F.coalesce(F.col(tokens_col), F.array().cast(TOKENS))})
+    made = {name: rule(F.col(text), F.col(tokens)) for name, rule in RULES.items()}
+    out = computed(out, {result: F.struct(*(v[0].cast("double").alias(k) for k, v in made.items()), F.concat(*(v[1] for v in made.values())).alias("violations"))})
+    score = sum((F.col(result)[k] for k in made), F.lit(0.0)) / len(made)
+    out = out.select(*kept, *(F.col(result)[k].alias(k) for k in (*made, "violations")), score.alias("score"))
     return out.withColumn("level_estimate", F.when(F.col("score") >= 80, 1).when(F.col("score") >= 60, 2).otherwise(3))
 
 
+def tokenized(docs: DataFrame, tokenize: Callable[[str], list[tuple[str, str]]], text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
+    """Adds tokens by a morphological analyser: tokenize gives form and tag of each token of a text and is made ready once in each worker, if it keeps state. Null texts have none."""
+
+    @F.pandas_udf(TOKENS)
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(lambda t: [{"form": f, "tag": g} for f, g in tokenize(t)] if t else [])
+
+    return docs.withColumn(tokens_col, of(F.col(text_col)))
+
+
 def evaluation(pairs: DataFrame) -> DataFrame:
     """pairs: score_before, score_after, violations_before, violations_after. One row of means, 0 without pairs."""
     mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))

@@ -56,3 +56,38 @@ def pairs(orders: DataFrame, case: int | None = None) -> DataFrame:
     )
     # the texts are put together once a row, however often they are used
     return computed(f, {"source_text": source, "easy_text": easy}).select("o_orderkey", "case", "source_text", "easy_text", F.lit(REF_DATE).cast("date").alias("ref_date"))
+
+
+CHUNKS = ((10**16, "경"), (10**12, "조"), (10**8, "억"), (10**4, "만"), (1, ""))
+
+
+def spelled(number: Column) -> Column:
+    """A whole number above 0 in Korean numerals."""
+    digits = F.array(*(F.lit(d) for d in " 일이삼사오육칠팔구"))
+
+    def part(chunk: Column) -> Column:
+        places = ((1000, "천"), (100, "백"), (10, "십"), (1, ""))
+        return F.concat(*(F.when(d > 0, F.concat(F.get(digits, d.cast("int")), F.lit(unit))).otherwise("") for size, unit in places for d in [F.floor(chunk / size) % 10]))
+
+    whole = number.cast("decimal(38,0)")
+    pieces = [(F.floor(whole / size).cast("decimal(38,0)") % 10000, unit) for size, unit in CHUNKS]
+    return F.concat(*(F.when(c > 0, F.concat(part(c.cast("long")), F.lit(unit))).otherwise("") for c, unit in pieces))
+
+
+def spelled_pairs(orders: DataFrame) -> DataFrame:
+    """o_orderkey, amount, source_text, easy_text, ref_date: amounts of about 10^11 in Korean numerals; of odd keys the easy text names another one."""
+    f = orders.select("o_orderkey", (F.floor("o_totalprice").cast("long") * 1000003 + F.col("o_custkey")).alias("amount"))
+    other = F.when(F.col("o_orderkey") % 2 == 1, F.col("amount") + 10**9).otherwise(F.col("amount"))
+    texts = {"source_text": F.concat(F.lit("보증금 "), spelled(F.col("amount")), F.lit("원을 내야 합니다.")), "easy_text": F.concat(F.lit("돈 "), spelled(other), F.lit("원을 내요."))}
+    return computed(f, texts).withColumn("ref_date", F.lit(REF_DATE).cast("date"))
+
+
+def wide_pairs(orders: DataFrame) -> DataFrame:
+    """o_orderkey, source_text, easy_text, ref_date: dates, amounts and counts in full-width digits, in both texts or in the source alone; of keys divisible by 3 the easy text has another date."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    wide = lambda c: F.translate(c, "0123456789", "０１２３４５６７８９")
+    date = lambda d: F.concat(_s(F.year(d)), F.lit("년 "), _s(F.month(d)), F.lit("월 "), _s(F.dayofmonth(d)), F.lit("일까지 "))
+    tail = F.concat(_s(F.floor("o_totalprice").cast("long")), F.lit("원을 내고 "), _s(F.col("o_custkey") % 900 + 5), F.lit("명이 와요."))
+    easy = F.concat(date(F.when(key % 3 == 0, F.date_add(day, 40)).otherwise(day)), tail)
+    texts = {"source_text": wide(F.concat(date(day), tail)), "easy_text": F.when(key % 2 == 0, wide(easy)).otherwise(easy)}
+    return computed(orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_custkey"), texts).select("o_orderkey", "source_text", "easy_text", F.lit(REF_DATE).cast("date").alias("ref_date"))

@@ -115,43 +115,67 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def annotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = annotation.annotated(_judged(spark, sf_dir))
-    return out.select("o_orderkey", *annotation.CATEGORIES, F.col("exact_fail_count").cast("long").alias("exact_fail_count"), F.array_join("failed_categories", ",").alias("failed_categories"))
+def spelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in Korean numerals of twenty characters and more must be read, and must survive."""
+    out = gate.verified(notices.spelled_pairs(table(spark, sf_dir, "orders")))
+    return out.select("o_orderkey", "verdict", F.array_join(F.transform("slots", lambda s: s["value"]), ",").alias("facts"), F.array_join(F.transform("failed", lambda s: s["type"]), ",").alias("failed"))
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distort.distorted(_pairs(spark, sf_dir).where(F.col("case") == 0))
+def wide_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, amounts and counts in full-width digits are the same facts."""
+    out = gate.verified(notices.wide_pairs(table(spark, sf_dir, "orders")))
+    return out.select("o_orderkey", "verdict", F.array_join(F.transform("slots", lambda s: s["value"]), ",").alias("facts"), F.array_join(F.transform("failed", lambda s: s["type"]), ",").alias("failed"))
 
 
-def distortion_bench_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distort.by_type(_cases(spark, sf_dir), gate.verified)
+def drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where(F.size("drift_flags") > 0).select("o_orderkey", F.array_join("drift_flags", "|").alias("flags"))
 
 
-def distortion_bench_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = distort.overall(_cases(spark, sf_dir), gate.verified)
-    return out.withColumns({c: F.round(c, 9) for c in ("clean_fp_rate", "pass_residual_distortion_rate", "precision", "recall", "f1")})
+def ambiguous_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month-days that a notice names in two years: of keys divisible by 3 it repeats its day a year later."""
+    day = F.to_date("o_orderdate")
+    line = lambda y: F.concat(y.cast("string"), F.lit("년 "), F.month(day).cast("string"), F.lit("월 "), F.dayofmonth(day).cast("string"), F.lit("일까지. "))
+    text = F.concat(line(F.year(day)), F.when(F.col("o_orderkey") % 3 == 0, line(F.year(day) + 4)).otherwise(""), F.lit("2001년 1월 2일."))
+    out = computed(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), {"facts": gate.slots(F.col("text"), F.lit(None).cast("date"), kinds=("date",))})
+    return out.select("o_orderkey", F.array_join(gate.ambiguous_days(F.col("facts")), ",").alias("days"), F.size("facts").cast("long").alias("n_dates"))
+
 
+def picture_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of files named after the parts: pictures outside assets/, and pictures written out in texts of the code, of the corpus or of the root."""
+    k = F.col("p_partkey")
+    folder = F.get(F.array(*map(F.lit, PICTURE_FOLDERS)), (k % len(PICTURE_FOLDERS)).cast("int"))
+    path = F.concat(folder, k.cast("string"), F.when(k % 3 == 0, ".PNG").otherwise(".md"))
+    content = F.when(k % 2 == 0, F.concat(F.lit("x data:image/PNG;base64,"), F.col("p_name"))).otherwise(F.col("p_name"))
+    return audit.picture_leaks(table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content")))
 
-def _all_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+PICTURE_FOLDERS = ("assets/", "factloom/", "corpus/x/", "", "docs/", "build/")
+
+
+def annotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = annotation.annotated(_judged(spark, sf_dir))
+    return out.select("o_orderkey", *annotation.CATEGORIES, F.col("exact_fail_count").cast("long").alias("exact_fail_count"), F.array_join("failed_categories", ",").alias("failed_categories"))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every order, with the undistorted easy text."""
     return distort.distorted(notices.pairs(table(spark, sf_dir, "orders"), case=0))
 
 
-def distortion_bench_by_type_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distort.by_type(_all_cases(spark, sf_dir), gate.verified)
+def distortion_bench_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distort.by_type(_cases(spark, sf_dir), gate.verified)
 
 
-def distortion_bench_overall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = distort.overall(_all_cases(spark, sf_dir), gate.verified)
+def distortion_bench_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = distort.overall(_cases(spark, sf_dir), gate.verified)
     return out.withColumns({c: F.round(c, 9) for c in ("clean_fp_rate", "pass_residual_distortion_rate", "precision", "recall", "f1")})
 
 
 def pictogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     tails = F.array(*map(F.lit, PICTOGRAM_TAILS))
     text = F.concat("easy_text", F.lit(" "), F.element_at(tails, (F.col("o_orderkey") % len(PICTOGRAM_TAILS) + 1).cast("int")))
-    glyphs = F.array_join(F.transform(pictograms.matched(text), lambda p: p["glyph_id"]), ",")
-    return _pairs(spark, sf_dir).select("o_orderkey", glyphs.alias("glyphs"))
+    out = pictograms.with_pictograms(_pairs(spark, sf_dir).select("o_orderkey", text.alias("text")))
+    return out.select("o_orderkey", F.array_join(F.transform("pictograms", lambda p: p["glyph_id"]), ",").alias("glyphs"))
 
 
 PICTOGRAM_TAILS = ("계약 약을 드세요", "예약 안내", "약 드세요", "요약 건강보험")
@@ -170,17 +194,23 @@ def revise_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "verdict", F.col("revisions").cast("long").alias("revisions"))
 
 
+def _violations() -> Column:
+    """Two violations of readability rules."""
+    made = (("abbrev_percent_bignum", F.concat(F.lit("<"), F.col("o_orderkey").cast("string"), F.lit("> & 'x'")), "med"), ("direct_address", F.lit("(없음)"), "low"))
+    return F.array(*(F.struct(F.lit(r).alias("rule"), s.alias("span"), F.lit(v).alias("severity"), F.lit(rules.SUGGESTIONS[r]).alias("suggestion")) for r, s, v in made))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(spark, sf_dir)
-    first, again = revision.generate_prompt(F.col("source_text")), revision.revise_prompt(F.col("source_text"), F.col("easy_text"), F.col("failed"))
+    first, again = revision.generate_prompt(F.col("source_text")), revision.revise_prompt(F.col("source_text"), F.col("easy_text"), F.col("failed"), violations=_violations())
     return j.select("o_orderkey", F.md5(first.cast("binary")).alias("generate_md5"), F.md5(again.cast("binary")).alias("revise_md5"))
 
 
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(spark, sf_dir)
-    spans = F.array(F.lit("<납부> & 'x'"))
-    pictures = F.array(F.struct(F.lit("openmoji/pay.svg").alias("glyph_id"), F.lit("돈을 내요").alias("caption")))
-    html = page(F.col("source_text"), F.concat(F.lit('"<b>" '), F.col("easy_text")), (F.col("o_orderkey") % 200) / 2, F.col("verdict"), spans, pictures)
+    violations = F.when(F.col("o_orderkey") % 2 == 0, _violations())
+    pictures = F.array(*(F.struct(F.lit(g).alias("glyph_id"), F.lit(c).alias("caption")) for g, c in (("openmoji/pay.svg", "돈을 내요"), ("https://x.example/a.svg", "멀리"), ("data:image/png;base64,AA", "없음"))))
+    html = page(F.col("source_text"), F.concat(F.lit('"<b>" '), F.col("easy_text")), (F.col("o_orderkey") % 200) / 2, F.col("verdict"), violations, pictures)
     return j.select("o_orderkey", html.alias("html"))
 
 
@@ -216,11 +246,15 @@ def readability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readability_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _scored(spark, sf_dir).select("s_suppkey", F.inline("violations"))
-    return out.where(F.col("rule") != "sentence_length").groupBy("s_suppkey", "rule", "severity").agg(F.count("*").alias("n"))
+    return out.groupBy("s_suppkey", "rule", "span", "severity").agg(F.count("*").alias("n"))
 
 
 def readability_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir).select(F.col("score").alias("score_before"), (F.lit(50.0) + F.col("score") / 2).alias("score_after"), F.lit(5).alias("violations_before"), (F.col("s_suppkey") % 4).alias("violations_after"))
+    """Each supplier's text before, and the text of the next key after."""
+    after = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).alias("s_suppkey"))
+    of = lambda scored, side: scored.select("s_suppkey", F.col("score").alias(f"score_{side}"), F.size("violations").alias(f"violations_{side}"))
+    before = of(_scored(spark, sf_dir), "before")
+    s = before.join(of(rules.scored(token_fixture(after)), "after").withColumn("s_suppkey", F.col("s_suppkey") - 1), "s_suppkey")
     out = rules.evaluation(s)
     return out.select("n_pairs", *(F.round(c, 6).alias(c) for c in out.columns if c != "n_pairs"))
 
@@ -299,6 +333,27 @@ FROM ({_EACH})
 _SCORE = f"SELECT s_suppkey, ({' + '.join(rules.RULES)}) / 12 AS score FROM ({_RULES_D})"
 
 
+_PLAIN = """'사람이 납부' || CASE WHEN odd = 1 THEN '(돈을 내는 것)' ELSE '' END || '합니다' || CASE WHEN k % 5 = 0 THEN ' 그림의 떡' ELSE '' END || CASE WHEN k % 3 = 0 THEN ' KTX' ELSE '' END || CASE WHEN k % 4 = 1 THEN ' 5%' ELSE '' END || '.'"""
+_VIOLATIONS = f"""
+  WITH r AS (SELECT *, {_PLAIN} AS line, CASE WHEN k % 3 = 0 THEN s ELSE 0 END AS ktx, CASE WHEN k % 4 = 1 THEN s ELSE 0 END AS pct FROM ({_EACH})), x AS (SELECT *, substr(repeat(line || ' ', CAST(s AS INTEGER)), 1, CAST(least(60, (len(line) + 1) * s - 1) AS INTEGER)) AS start FROM r)
+  SELECT s_suppkey, 'sentence_length' AS rule, line AS span, CASE WHEN part >= 40 THEN 'high' ELSE 'med' END AS severity, CASE WHEN part > 15 THEN s - 1 ELSE 0 END AS n FROM x
+  UNION ALL SELECT s_suppkey, 'sentence_length', line, CASE WHEN t - (s - 1) * part >= 40 THEN 'high' ELSE 'med' END, CASE WHEN t - (s - 1) * part > 15 THEN 1 ELSE 0 END FROM x
+  UNION ALL SELECT s_suppkey, 'hard_word_ratio', array_to_string(list_concat(list_resize([]::VARCHAR[], hard, '납부'), list_resize([]::VARCHAR[], odd, '그')), ', '), 'med', CASE WHEN (hard + odd) * 1.0 / nouns >= 0.3 THEN 1 ELSE 0 END FROM x
+  UNION ALL SELECT s_suppkey, 'hanja_loanword_ratio', array_to_string(list_resize([]::VARCHAR[], hard, '납부'), ', '), 'med', CASE WHEN hard * 1.0 / nouns >= 0.4 THEN 1 ELSE 0 END FROM x
+  UNION ALL SELECT s_suppkey, 'predicates_connectives', start, 'med', CASE WHEN ec > s THEN 1 ELSE 0 END FROM x UNION ALL SELECT s_suppkey, 'passive_ratio', '납부', 'med', CASE WHEN hard > 0 THEN 1 ELSE 0 END FROM x
+  UNION ALL SELECT s_suppkey, 'negation_ratio', '안', 'med', odd FROM x UNION ALL SELECT s_suppkey, 'undefined_hard_term', array_to_string(list_resize([]::VARCHAR[], hard, '납부'), ', '), 'high', CASE WHEN hard > 0 AND odd = 0 THEN 1 ELSE 0 END FROM x
+  UNION ALL SELECT s_suppkey, 'idiom', '그림의 떡', 'med', CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END FROM x
+  UNION ALL SELECT s_suppkey, 'abbrev_percent_bignum', 'KTX', 'med', ktx FROM x UNION ALL SELECT s_suppkey, 'abbrev_percent_bignum', '5%', 'med', least(5 - ktx, pct) FROM x
+  UNION ALL SELECT s_suppkey, 'third_person_fictional', '그', 'low', odd FROM x UNION ALL SELECT s_suppkey, 'direct_address', '(없음)', 'low', 1 - you FROM x
+  UNION ALL SELECT s_suppkey, 'modifier_ttr', start, 'low', CASE WHEN mods > 0 AND kinds * 1.0 / mods > 0.7 THEN 1 ELSE 0 END FROM x
+"""
+
+
+def _next(sql: str) -> str:
+    """The same for keys larger by one."""
+    return sql.replace("FROM supplier", "FROM (SELECT s_suppkey + 1 AS s_suppkey FROM supplier)")
+
+
 def _cast_rules() -> str:
     return "SELECT s_suppkey, " + ", ".join(f"round(CAST({r} AS DOUBLE), 6) AS {r}" for r in rules.RULES) + f" FROM ({_RULES_D})"
 
@@ -351,19 +406,18 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _sql()
+    return found | {f"{k}_all": found[k] for k in ("distortion_bench_by_type", "distortion_bench_overall")}
+
+
+def _sql() -> dict[str, str]:
     won = "format('{{:,}}', {0}) || '원'"
     numbers = " ".join(f"WHEN {i} THEN {v if v is not None else 'NULL'}" for i, (_, v) in enumerate(NUMBERS))
     quoted = lambda x: "NULL" if x is None else f"'{x}'"
     j = "SELECT * FROM (" + _TEXT + ")"
     good = "c IN (0, 8, 11)"
-    bench = f"""
-      WITH t AS (SELECT * FROM ({_TEXT}) WHERE c = 0), x AS (
-        SELECT 'number_swap' AS distortion_type, easy_text LIKE '%30,000%' AS has FROM t UNION ALL SELECT 'digit_drop', easy_text LIKE '%1,295,400%' FROM t UNION ALL SELECT 'krw_unit_error', easy_text LIKE '%3억%' FROM t
-        UNION ALL SELECT 'date_shift', easy_text LIKE '%7월 17일%' FROM t UNION ALL SELECT unnest(['inclusivity_flip', 'negation_drop', 'condition_flip', 'range_weaken', 'entity_swap', 'hallucinated_entity']), true FROM t
-      ), n AS (SELECT distortion_type, count(*) AS n_cases, CASE WHEN distortion_type = 'hallucinated_entity' THEN 0 ELSE count(*) END AS n_caught FROM x WHERE has GROUP BY distortion_type)
-    """
     # an amount that the order names twice survives if one of the two is swapped
-    bench_all = f"""
+    bench = f"""
       WITH t AS (SELECT * FROM ({_TEXT.replace("CAST(o_orderkey % 12 AS INTEGER) AS c", "0 AS c")})), x AS (
         SELECT 'number_swap' AS distortion_type, easy_text LIKE '%30,000%' AS has, amount <> wage AS caught FROM t UNION ALL SELECT 'digit_drop', easy_text LIKE '%1,295,400%', true FROM t UNION ALL SELECT 'krw_unit_error', easy_text LIKE '%3억%', true FROM t
         UNION ALL SELECT 'date_shift', easy_text LIKE '%7월 17일%', true FROM t UNION ALL SELECT unnest(['inclusivity_flip', 'negation_drop', 'condition_flip', 'range_weaken', 'entity_swap']), true, true FROM t UNION ALL SELECT 'hallucinated_entity', true, false FROM t
@@ -372,7 +426,7 @@ def oracle_sql() -> dict[str, str]:
     lexicon = ", ".join(f"({i}, '{w}', '{g}')" for i, (w, g, _) in enumerate(pictograms.LEXICON))
     tails = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(PICTOGRAM_TAILS))
     guard = "CASE o_orderkey % 4 WHEN 0 THEN len(easy_text) + 5 WHEN 2 THEN len(easy_text) + 2 ELSE 0 END"
-    from factloom.functions.html import BADGES, DISCLAIMER
+    from factloom.functions.html import BADGES, DISCLAIMER, NO_VIOLATIONS, UNPROVEN
 
     badge = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BADGES.items())
     r = revision
@@ -381,7 +435,15 @@ def oracle_sql() -> dict[str, str]:
     wrapped = lambda c: f"{nl(r.OPEN)} || {c} || {nl(r.CLOSE)}"
     raw = f"CASE c WHEN 1 THEN {won.format('amount')} WHEN 2 THEN y || '년 ' || m || '월 ' || d || '일까지' WHEN 4 THEN '제외됩니다' WHEN 7 THEN '강서구청' WHEN 9 THEN n || '명' WHEN 10 THEN phone END"
     slot_lines = f"CASE WHEN c IN (1, 2, 4, 7, 9, 10) THEN {nl(r.SLOT_HEAD)} || '- ''' || {raw} || {lit(r.SLOT_LINE)} || chr(10) || chr(10) ELSE '' END"
+    marks = "'<' || o_orderkey || '> & ''x'''"
+    first, second = (rules.SUGGESTIONS[k].replace("'", "''") for k in ("abbrev_percent_bignum", "direct_address"))
+    viol_lines = f"{nl(r.VIOLATION_HEAD)} || '- [med] abbrev_percent_bignum: ''' || {marks} || ''' → {first}' || chr(10) || '- [low] direct_address: ''(없음)'' → {second}' || chr(10) || chr(10)"
     fix = "o_orderkey % 5"
+    flags = (
+        "CASE c WHEN 3 THEN '기한 ''' || y || '년 ' || m || '월 ' || d || '일까지'' 약해짐' WHEN 4 THEN '부정 ''제외'' 없음 (긍정하는 말이 있음)' WHEN 5 THEN '조건 ''' || age || '세 이상'' 바뀜' ELSE '조건 ''' || "
+        + won.format("wage")
+        + " || ' 미만'' 바뀜' END"
+    )
     return {
         "blocks_segment": _BLOCKS,
         "sentence_stats": f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n_sentences, CAST(coalesce(list_sum(list_transform(x, lambda y: len(y))), 0) AS BIGINT) AS n_chars, CAST(coalesce(list_max(list_transform(x, lambda y: len(y))), 0) AS BIGINT) AS longest FROM (SELECT doc_id, {_SENTENCES} AS x FROM documents)",
@@ -406,11 +468,6 @@ def oracle_sql() -> dict[str, str]:
             CASE c WHEN 1 THEN 'amounts' WHEN 2 THEN 'dates' WHEN 4 THEN 'eligibility' WHEN 7 THEN 'entities' WHEN 9 THEN 'numbers' WHEN 10 THEN 'entities' ELSE '' END AS failed_categories FROM ({_F})""",
         "distortion_bench_by_type": bench + "SELECT distortion_type, n_cases, CAST(n_caught AS BIGINT) AS n_caught, CAST(n_caught AS DOUBLE) / n_cases AS recall FROM n",
         "distortion_bench_overall": bench
-        + """, a AS (SELECT CAST(sum(n_cases) AS BIGINT) AS cases, CAST(sum(n_caught) AS BIGINT) AS tp FROM n), c AS (SELECT count(*) AS n_clean FROM t)
-          SELECT cases + n_clean AS n_cases, n_clean, tp, cases - tp AS fn, CAST(0 AS BIGINT) AS fp, n_clean AS tn, CAST(0 AS DOUBLE) AS clean_fp_rate, round(CAST(cases - tp AS DOUBLE) / cases, 9) AS pass_residual_distortion_rate,
-            CAST(1 AS DOUBLE) AS precision, round(CAST(tp AS DOUBLE) / cases, 9) AS recall, round(2 * (CAST(tp AS DOUBLE) / cases) / (1 + CAST(tp AS DOUBLE) / cases), 9) AS f1 FROM a, c""",
-        "distortion_bench_by_type_all": bench_all + "SELECT distortion_type, n_cases, CAST(n_caught AS BIGINT) AS n_caught, CAST(n_caught AS DOUBLE) / n_cases AS recall FROM n",
-        "distortion_bench_overall_all": bench_all
         + """, a AS (SELECT CAST(sum(n_cases) AS BIGINT) AS cases, CAST(sum(n_caught) AS BIGINT) AS tp FROM n), c AS (SELECT count(*) AS n_clean FROM t)
           SELECT cases + n_clean AS n_cases, n_clean, tp, cases - tp AS fn, CAST(0 AS BIGINT) AS fp, n_clean AS tn, CAST(0 AS DOUBLE) AS clean_fp_rate, round(CAST(cases - tp AS DOUBLE) / cases, 9) AS pass_residual_distortion_rate,
             CAST(1 AS DOUBLE) AS precision, round(CAST(tp AS DOUBLE) / cases, 9) AS recall, round(2 * (CAST(tp AS DOUBLE) / cases) / (1 + CAST(tp AS DOUBLE) / cases), 9) AS f1 FROM a, c""",
@@ -420,21 +477,26 @@ def oracle_sql() -> dict[str, str]:
         "revise_loop": f"""SELECT o_orderkey, CASE WHEN verdict = 'revise' THEN CASE WHEN {fix} + 1 <= 3 THEN 'pass' ELSE 'human_review' END ELSE verdict END AS verdict,
           CAST(CASE WHEN verdict = 'revise' THEN least(3, {fix} + 1) ELSE 0 END AS BIGINT) AS revisions FROM ({j})""",
         "prompts": f"""SELECT o_orderkey, md5({nl(r.GENERATE_HEAD % r.LEVELS["easy"])} || {wrapped("source_text")} || {nl(r.GENERATE_RULES)}) AS generate_md5,
-          md5({nl(r.REVISE_HEAD % r.LEVELS["easy"])} || {wrapped("source_text")} || {nl(r.REVISE_PREVIOUS)} || {wrapped("easy_text")} || chr(10) || chr(10) || {slot_lines} || {nl(r.REVISE_END)}) AS revise_md5 FROM ({j})""",
+          md5({nl(r.REVISE_HEAD % r.LEVELS["easy"])} || {wrapped("source_text")} || {nl(r.REVISE_PREVIOUS)} || {wrapped("easy_text")} || chr(10) || chr(10) || {slot_lines} || {viol_lines} || {nl(r.REVISE_END)}) AS revise_md5 FROM ({j})""",
         "render_html": f"""SELECT o_orderkey, '<!doctype html><html lang="ko"><meta charset="utf-8"><main><section class="source">' || {_esc("source_text")} || '</section><section class="easy">' || '&#34;&lt;b&gt;&#34; ' || {_esc("easy_text")}
-          || '</section><p class="score">' || CAST(round_even((o_orderkey % 200) / 2.0, 0) AS INTEGER) || '</p><p class="verdict">' || CASE verdict {badge} END || '</p><ul><li>&lt;납부&gt; &amp; &#39;x&#39;</li></ul>'
-          || '<img src="assets/pictograms/openmoji/pay.svg" alt="돈을 내요"><p class="note">{DISCLAIMER}</p></main></html>' AS html FROM ({j})""",
+          || '</section><p class="score">' || CAST(round_even((o_orderkey % 200) / 2.0, 0) AS INTEGER) || '</p><p class="level">쉬운 글</p><p class="verdict">' || CASE verdict {badge} END || '</p>' || CASE WHEN o_orderkey % 2 = 0 THEN
+            '<ul><li><span class="sev-med">[med]</span> <strong>abbrev_percent_bignum</strong>: &lt;' || o_orderkey || '&gt; &amp; &#39;x&#39; → {rules.SUGGESTIONS["abbrev_percent_bignum"]}</li><li><span class="sev-low">[low]</span> <strong>direct_address</strong>: (없음) → {rules.SUGGESTIONS["direct_address"]}</li></ul>'
+            ELSE '{NO_VIOLATIONS}' END || '<figure><img src="assets/pictograms/openmoji/pay.svg" alt="돈을 내요"><figcaption>돈을 내요</figcaption></figure><figure><img src="https://x.example/a.svg" alt="멀리"><figcaption>멀리</figcaption></figure>'
+          || '<p class="note">{UNPROVEN}</p><p class="note">{DISCLAIMER}</p></main></html>' AS html FROM ({j})""",
         "readability_rules": _cast_rules(),
         "readability_score": f"SELECT s_suppkey, round(CAST(score AS DOUBLE), 6) AS score, CAST(CASE WHEN score >= 80 THEN 1 WHEN score >= 60 THEN 2 ELSE 3 END AS BIGINT) AS level_estimate FROM ({_SCORE})",
-        "readability_violations": f"""WITH r AS ({_RULES_D}), v AS (
-            SELECT s_suppkey, 'hard_word_ratio' AS rule, 'med' AS severity, CASE WHEN (hard + odd) * 1.0 / nouns >= 0.3 THEN 1 ELSE 0 END AS n FROM r UNION ALL SELECT s_suppkey, 'hanja_loanword_ratio', 'med', CASE WHEN hard * 1.0 / nouns >= 0.4 THEN 1 ELSE 0 END FROM r
-            UNION ALL SELECT s_suppkey, 'predicates_connectives', 'med', CASE WHEN ec > s THEN 1 ELSE 0 END FROM r UNION ALL SELECT s_suppkey, 'passive_ratio', 'med', CASE WHEN hard > 0 THEN 1 ELSE 0 END FROM r
-            UNION ALL SELECT s_suppkey, 'negation_ratio', 'med', odd FROM r UNION ALL SELECT s_suppkey, 'undefined_hard_term', 'high', CASE WHEN hard > 0 AND odd = 0 THEN 1 ELSE 0 END FROM r
-            UNION ALL SELECT s_suppkey, 'idiom', 'med', CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END FROM r UNION ALL SELECT s_suppkey, 'abbrev_percent_bignum', 'med', least(5, marks) FROM r
-            UNION ALL SELECT s_suppkey, 'third_person_fictional', 'low', odd FROM r UNION ALL SELECT s_suppkey, 'direct_address', 'low', 1 - you FROM r UNION ALL SELECT s_suppkey, 'modifier_ttr', 'low', CASE WHEN mods > 0 AND kinds * 1.0 / mods > 0.7 THEN 1 ELSE 0 END FROM r)
-          SELECT s_suppkey, rule, severity, CAST(n AS BIGINT) AS n FROM v WHERE n > 0""",
-        "readability_evaluation": f"""SELECT count(*) AS n_pairs, round(CAST(avg(score) AS DOUBLE), 6) AS mean_before, round(CAST(avg(50 + score / 2) AS DOUBLE), 6) AS mean_after, round(CAST(avg(50 - score / 2) AS DOUBLE), 6) AS mean_delta,
-          round(CAST(avg(5 - s_suppkey % 4) AS DOUBLE), 6) AS mean_violation_reduction FROM ({_SCORE})""",
+        "readability_violations": f"SELECT s_suppkey, rule, span, severity, CAST(sum(n) AS BIGINT) AS n FROM ({_VIOLATIONS}) WHERE n > 0 GROUP BY ALL",
+        "readability_evaluation": f"""WITH b AS (SELECT s_suppkey, score, (SELECT sum(n) FROM ({_VIOLATIONS}) v WHERE v.s_suppkey = x.s_suppkey AND n > 0) AS n FROM ({_SCORE}) x),
+          a AS (SELECT s_suppkey - 1 AS s_suppkey, score, (SELECT sum(n) FROM ({_next(_VIOLATIONS)}) v WHERE v.s_suppkey = x.s_suppkey AND n > 0) AS n FROM ({_next(_SCORE)}) x)
+          SELECT count(*) AS n_pairs, round(CAST(avg(b.score) AS DOUBLE), 6) AS mean_before, round(CAST(avg(a.score) AS DOUBLE), 6) AS mean_after, round(CAST(avg(a.score - b.score) AS DOUBLE), 6) AS mean_delta,
+            round(CAST(avg(coalesce(b.n, 0) - coalesce(a.n, 0)) AS DOUBLE), 6) AS mean_violation_reduction FROM b JOIN a USING (s_suppkey)""",
+        "spelled_amounts": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'revise' ELSE 'pass' END AS verdict, CAST(CAST(floor(o_totalprice) AS BIGINT) * 1000003 + o_custkey AS VARCHAR) AS facts, CASE WHEN o_orderkey % 2 = 1 THEN 'money' ELSE '' END AS failed FROM orders",
+        "wide_digits": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'revise' ELSE 'pass' END AS verdict,
+          CAST(floor(o_totalprice) AS BIGINT) || ',' || strftime(o_orderdate, '%Y-%m-%d') || '|inclusive,' || (o_custkey % 900 + 5) || '명' AS facts, CASE WHEN o_orderkey % 3 = 0 THEN 'date' ELSE '' END AS failed FROM orders""",
+        "drift_flags": f"SELECT o_orderkey, {flags} AS flags FROM ({_F}) WHERE c IN (3, 4, 5, 6)",
+        "ambiguous_days": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR (strftime(o_orderdate, '%m-%d') = '01-02' AND year(o_orderdate) <> 2001) THEN strftime(o_orderdate, '%m-%d') ELSE '' END AS days, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_dates FROM orders",
+        "picture_leaks": f"""WITH f AS (SELECT ({list(PICTURE_FOLDERS)})[p_partkey % {len(PICTURE_FOLDERS)} + 1] AS folder, p_partkey AS k FROM part)
+          SELECT folder || k || CASE WHEN k % 3 = 0 THEN '.PNG' ELSE '.md' END AS path FROM f WHERE folder <> 'build/' AND CASE WHEN k % 3 = 0 THEN folder <> 'assets/' ELSE k % 2 = 0 AND folder IN ('factloom/', 'corpus/x/', '') END""",
         "license_gates": "SELECT p_partkey, CASE p_partkey % {0} {1} END AS finding, CASE p_partkey % {0} {2} END AS ci_finding FROM part".format(
             len(LICENCES), " ".join(f"WHEN {i} THEN {quoted(a)}" for i, (_, a, _) in enumerate(LICENCES)), " ".join(f"WHEN {i} THEN {quoted(b)}" for i, (_, _, b) in enumerate(LICENCES))
         ),
@@ -444,7 +506,9 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, distortion_bench_by_type, distortion_bench_overall, distortion_bench_by_type_all, distortion_bench_overall_all, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
-    return out | {f.__name__: f for f in plain}
+    # the names under which the benches over every order were first registered
+    again = {"distortion_bench_by_type_all": distortion_bench_by_type, "distortion_bench_overall_all": distortion_bench_overall}
+    return out | {f.__name__: f for f in plain} | again

@@ -1,8 +1,12 @@
-"""Readers: text, markdown, PDF and HWPX files, paired corpora, word lists, package lists and file trees. Bad files become rows with parse_error."""
+"""Readers: text, markdown, PDF and HWPX files, paired corpora, word lists, package lists and file trees. Bad files become rows with parse_error.
+
+Empty files are errors (empty document), empty folders and lists give no rows. Files are read one by one, so equal ones give a row each.
+"""
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -11,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
+from factloom.operators.audit import PICTURE
 from factloom.operators.segment import BLOCK, blocks
 
 # Kinds of files, and how sure their text is.
@@ -38,7 +44,8 @@ def hwpx_text(content: bytes) -> str:
     """Paragraphs of the sections of a HWPX archive (zipped XML), one a line."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = sorted(x for x in z.namelist() if x.startswith("Contents/section") and x.endswith(".xml"))
+            found = [(re.fullmatch(r"Contents/section(\d+)\.xml", x), x) for x in z.namelist()]
+            names = [x for _, x in sorted((int(m[1]), x) for m, x in found if m)]  # section10 comes after section9
             lines = [
                 "".join(t.text or "" for t in p.iter() if t.tag.rpartition("}")[2] == "t")
                 for name in names
@@ -119,7 +126,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """Distinct lines, without blanks and # comments."""
-    line = F.trim("value")
+    line = stripped(F.col("value"))
     return spark.read.text(path).select(line.alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
 
 
@@ -129,7 +136,8 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """All files below path: path (relative), content (as text)."""
+    """All files below path: path (relative), content (as text; bytes that are no UTF-8 are replaced; null for pictures)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.removeprefix("file:").rstrip("/") + "/"
-    return files.select(F.expr(f"substring(path, locate('{root}', path) + {len(root)})").alias("path"), F.decode("content", "utf-8").alias("content"))
+    below = F.substring(F.col("path"), F.locate(root, F.col("path")) + len(root), F.length("path"))
+    return files.select(below.alias("path"), F.when(~F.col("path").rlike(PICTURE), F.make_valid_utf8(F.col("content").cast("string"))).alias("content"))
