@@ -25,7 +25,7 @@ MONEY = f"(?U)(?:{_AMOUNT})"
 HEDGED_MONEY = rf"(?U)(?:약\s*)?(?:{_AMOUNT})"
 DATE = r"(?U)\d{4}\s*[년.\-/]\s*\d{1,2}\s*[월.\-/]\s*\d{1,2}\s*일?(?:\s*(?:전\s*)?까지)?|D\s*-\s*\d+|(?:\G|(?<!\d))\d+\s*일\s*(?:후|뒤|이내)"
 CONTACT = r"(?U)\(?\d{2,4}\)?[\s\-]?\d{3,4}[\s\-]?\d{4}"
-SCOPE = r"(?U)(?:\d{1,3}(?:,\d{3})++[^\s,]*|(?:\G|(?<![^\s,]))[^\s,]*)\s*(?:이상|초과|이하|미만|까지|부터)"
+SCOPE = r"(?U)(?:\d{1,3}(?:,\d{3})++[^\s,]*\s*+|(?:\G|(?<![^\s,]))[^\s,]+\s*+|(?:\G|^|(?<=,))\s*+)(?:이상|초과|이하|미만|까지|부터)"
 NEGATION = r"(?U)(?<![^\s,.])[^\s,.]*(?:제외|불가|금지|아니|없|지\s*않)[^\s,.]*"
 AGENCY = (
     "(?<![가-힣])[가-힣]+(?:구청|시청|군청|도청|주민센터|행정복지센터|복지센터|복지관|보건소|공단|세무서|우체국|경찰서|소방서|교육청|지원센터|위원회|재단|협회)"
