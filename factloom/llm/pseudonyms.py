@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "change this key"
 ROUNDS = 8
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -165,15 +164,17 @@ def _kind(m: Column) -> Column:
     return out.when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), "date").when(m.contains("."), "ip").otherwise("card")
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """Of one value that a pattern found: a struct kind, new; new is null if the value is not valid."""
     kind = _kind(m)
     new = F.when(kind == "email", _email(key, m)).when(kind == "phone", _phone(key, m)).when(kind == "ssn", _ssn(key, m)).when(kind == "date", _date(key, m)).when(kind == "ip", _ip(key, m)).otherwise(_card(key, m))
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with pseudonyms, n_found, and n_<kind> for each kind."""
+def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text with pseudonyms, n_found, and n_<kind> for each kind. key: a secret; who has it can undo all pseudonyms but those of e-mail addresses."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # \d\d and @ are looked for first: most texts hold neither
     rows = rows.withColumn("values", F.when(F.col("text").rlike(r"\d\d|@"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and further columns."""
 
 import collections
+import datetime
 import hashlib
 import itertools
 import math
@@ -311,8 +312,8 @@ def luhn(s):
 
 def test_pseudonyms(spark, empty):
     texts = ["card 4539578763621486 and 4539-5787-6362-1486, wrong 4539578763621487", "on 2024-02-29 or 29.02.2024, never 2023-02-29; 12/31/1999", "+1 (212) 555-0187 ssn 123-45-6789 not 000-45-6789 at 10.0.0.1 or 999.1.1.1", "mail.me42@x.example.com", "again 4539578763621486 2024-02-29", None, "", "plain 12"]
-    rows = [r.text for r in pseudonyms.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert rows[5:] == [None, "", "plain 12"] and pseudonyms.pseudonymised(empty).count() == 0
+    rows = [r.text for r in pseudonyms.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert rows[5:] == [None, "", "plain 12"] and pseudonyms.pseudonymised(empty, "k").count() == 0
     a, b, wrong = re.search(r"card (\d{16}) and ([\d-]{19}), wrong (\d{16})", rows[0]).groups()
     assert luhn(a) and a != "4539578763621486" and b.replace("-", "") == a and wrong == "4539578763621487"
     assert f"again {a} " in rows[4] and "2023-02-29" in rows[1] and "2024-02-29" not in rows[1]
@@ -411,7 +412,7 @@ def test_pseudonyms_of_other_forms(spark):
     values = ["(212) 555-0187", "212-555-0187", "010-1234-5678", "01012345678", "+82 10-1234-5678", "02-123-4567", "(031) 123-4567", "+44 20 7946 0958", "3782-822463-10005", "1799-12-31", "12/31/2200", "01.03.0004", "9999-12-31", "+1 212 555 0187"]
     kept = ["12-34-5678-9", "2023-02-29", "order 212-555-01877", "3782-822463-10006", "version 1.2.3", "10-12"]
     rows = spark.createDataFrame(list(enumerate(f"x {v} y" for v in values + kept)), "doc_id long, text string")
-    got = [r.text[2:-2] for r in pseudonyms.pseudonymised(rows).orderBy("doc_id").collect()]
+    got = [r.text[2:-2] for r in pseudonyms.pseudonymised(rows, "k").orderBy("doc_id").collect()]
     new, digits = got[: len(values)], lambda t: re.sub(r"\D", "", t)
     assert got[len(values) :] == kept and all(a != b and re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) for a, b in zip(values, new, strict=True))
     assert digits(new[0]) == digits(new[1]) == digits(new[13])[1:] and digits(new[2]) == digits(new[3]) and digits(new[2])[3:] == digits(new[4])[4:]
@@ -420,4 +421,123 @@ def test_pseudonyms_of_other_forms(spark):
 
 def test_pseudonyms_of_other_dates_differ(spark):
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1798-01-01").cast("date"), (F.col("id") + F.when(F.col("id") >= 730, 146097).otherwise(0)).cast("int")), "yyyy-MM-dd").alias("m"))
-    assert days.select(pseudonyms.pseudonym(F.col("m"))["new"].alias("new")).where("new < '1800' OR new >= '2200'").distinct().count() == 3000
+    assert days.select(pseudonyms.pseudonym(F.col("m"), "k")["new"].alias("new")).where("new < '1800' OR new >= '2200'").distinct().count() == 3000
+
+
+def test_pseudonyms_against_a_network_of_our_own(spark):
+    def drawn(*parts):
+        return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+    def network(kind, l, r, a, b):
+        for i in range(8):
+            if i % 2:
+                r = (r + drawn("k", kind, i, a, b, l)) % b
+            else:
+                l = (l + drawn("k", kind, i, a, b, r)) % a
+        return l, r
+
+    def digits(kind, d):
+        n = len(d) // 2
+        l, r = network(kind, int(d[:n]), int(d[n:]), 10**n, 10 ** (len(d) - n))
+        return f"{l:0{n}d}{r:0{len(d) - n}d}"
+
+    def card(d):
+        p = digits("card", d[:-1])
+        return next(p + c for c in "0123456789" if luhn(p + c))
+
+    def day(y, m, d):
+        n = (datetime.date(y, m, d) - datetime.date(1800, 1, 1)).days
+        l, r = network("date", n // 773, n % 773, 189, 773)
+        return (datetime.date(1800, 1, 1) + datetime.timedelta(l * 773 + r)).isoformat()
+
+    def address(a, b, c, d):
+        l, r = network("ip", a * 256 + b, c * 256 + d, 65536, 65536)
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+
+    rng = random.Random(8)
+    cards = [p + next(c for c in "0123456789" if luhn(p + c)) for p in ("".join(rng.choices("0123456789", k=15)) for _ in range(20))]
+    days = [(rng.randint(1800, 2199), rng.randint(1, 12), rng.randint(1, 28)) for _ in range(20)]
+    hosts = [tuple(rng.randint(0, 255) for _ in range(4)) for _ in range(20)]
+    phones = ["".join(rng.choices("23456789", k=10)) for _ in range(20)]
+    rows = [(i, f"a {c} b {y:04d}-{m:02d}-{d:02d} c {'.'.join(map(str, h))} d +1 {p[:3]} {p[3:6]} {p[6:]} e") for i, (c, (y, m, d), h, p) in enumerate(zip(cards, days, hosts, phones, strict=True))]
+    want = []
+    for c, date, h, p in zip(cards, days, hosts, phones, strict=True):
+        q = digits("phone", p)
+        want.append(f"a {card(c)} b {day(*date)} c {address(*h)} d +1 {q[:3]} {q[3:6]} {q[6:]} e")
+    got = [r.text for r in pseudonyms.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got == want
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "")
+
+
+def test_mixing_breaks_ties_and_takes_no_column_name(spark, tmp_path):
+    rows = [(None, "a b c", "s", i, i, i, i) for i in range(100)] + [(7, "a b c", "s", i, i, i, i) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, row int, times int, turn int, _row int").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = mixing.mix(df).collect()
+    assert sum(r.taken for r in got) == got[0].target == 900 and {r.times for r in got} == {1, 2}
+    mixture = mixing.mixture(df).collect()
+    assert len(mixture) == 300 and {r.row for r in mixture} == set(range(100)) and all(r.row == r.times == r.turn == r._row for r in mixture)
+
+
+def test_snapshots_are_written_once_and_opened_again(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, None), (None, "x y")], "doc_id long, text string").coalesce(1)
+    exact_dedup.take(exact_dedup.digests(old), str(tmp_path / "s"))
+    held = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*")}
+    for texts in (["a b", "c"], ["", "x\ty", "z"]):
+        new = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").coalesce(1)
+        again = exact_dedup.opened(spark, str(tmp_path / "s"))
+        out = exact_dedup.against(exact_dedup.grouped(exact_dedup.digests(new)), new, again, old)
+        known = {r.text_sha256 for r in out.where("proved").collect()}
+        assert known == {hashlib.sha256(re.sub(r"\s+", " ", t).encode()).hexdigest() for t in texts if t in ("a b", "", "x\ty")}
+    assert held == {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*")}
+    clash = old.select("*", *(F.lit(5).alias(c) for c in ("row", "_row", "old", "digest")))
+    kept = exact_dedup.deduplicated(clash).collect()
+    assert len(kept) == 3 and {(r.row, r._row, r.old, r.digest) for r in kept} == {(5, 5, 5, 5)}
+
+
+def test_language_model_scores_by_definition(spark, docs):
+    import pyarrow as pa
+
+    held = language_model.held_out(F.col("doc_id"))
+    model, counts = language_model.trained(docs.where(~held))
+    again, _ = language_model.trained(docs.where(~held).repartition(7))
+    assert np.array_equal(model.weights, again.weights)  # however the table is partitioned
+    c = {r.h % 2**64: r.c for r in counts.collect()}
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    batch = lambda t: language_model.Batch(pa.array([t], pa.string()), model.frequent)
+    after = collections.defaultdict(collections.Counter)
+    for i, t, *_ in ROWS:
+        if not out(i):
+            b = batch(t)
+            for h, kind, before in zip(b.h.tolist(), b.target.tolist(), b.before.tolist(), strict=True):
+                after[before, kind][h] += 1
+    want = []
+    for i, t, *_ in ROWS:
+        b, total = batch(t), 0.0
+        for n, (h, kind, before) in enumerate(zip(b.h.tolist(), b.target.tolist(), b.before.tolist(), strict=True)):
+            s = model.weights[b.features[:, n]].astype(float).sum(0) + model.weights[-1]
+            p = math.exp(s[kind] - s.max()) / np.exp(s - s.max()).sum()
+            share = (c.get(h, 0) + 1) / model.denominator[kind]
+            seen = after[before, kind]
+            if kind >= language_model.OWN and seen:
+                share = (share * len(seen) + seen[h]) / (sum(seen.values()) + len(seen))
+            total += math.log10(p * share)
+        want.append((i is None, i or 0, round(total / len(b.h), 3)))
+    rows = language_model.scored(docs, model, counts, held).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score / r.n_tokens) for r in rows)
+    assert all(g[:2] == w[:2] and math.isclose(g[2], w[2], abs_tol=2e-3) for g, w in zip(got, sorted(want), strict=True))
+
+
+def test_shared_folder_is_needed_beyond_one_machine(spark):
+    from factloom.llm import store
+
+    class Away:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        store.shared_folder(Away())
+    before = set(store._made)
+    out = store.settled(spark, lambda: store.written(spark.range(5), "inner").where("id > 1"), "outer")
+    assert out.count() == 3 and len(set(store._made) - before) == 1
