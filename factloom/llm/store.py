@@ -46,6 +46,8 @@ def _delete(spark: SparkSession, folders: list[str]) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _made.remove(folder)
+    # shuffle files that nothing refers to any more go with the driver's garbage
+    spark._jvm.System.gc()
 
 
 def forget(*tables: DataFrame) -> None:

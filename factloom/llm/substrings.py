@@ -247,13 +247,17 @@ def repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
 
     whole = docs.where("doc_id is not null").withColumn("allowed", F.lit(None))
     by_anchor = written(shared_values(whole, buckets, window), "anchors")
-    # one row of each class; digests that agree by chance only let more windows through
-    reps = by_anchor.join(classes.hint("merge"), "k").select("row", "k", F.col("values").alias("allowed"))
-    some = rows_with(docs, reps.select("row"), "row")
-    some = written(some.join(reps.hint("merge"), "row"), "screened")
-    by_window = shared_values(some, buckets, window)
-    left = written(some.select("row", "doc_id", "text", "k").join(by_window.withColumnRenamed("values", "windows").hint("merge"), "k"), "left")
-    forget(by_anchor, some)
+    # one row of each class; digests that agree by chance only let more windows through. Texts are read again rather than kept
+    of_class = classes.select("k", "row").hint("merge")
+    allowed = written(by_anchor.join(of_class, "k").select("row", F.col("values").alias("allowed")), "allowed")
+    forget(by_anchor)
+    some = rows_with(docs, allowed.select("row"), "row").join(allowed.hint("merge"), "row")
+    by_window = written(shared_values(some, buckets, window), "windows")
+    forget(allowed)
+    windows = written(by_window.join(of_class, "k").select("row", F.col("values").alias("windows")), "screened")
+    forget(by_window)
+    left = written(rows_with(docs, windows.select("row"), "row").join(windows.hint("merge"), "row"), "left")
+    forget(windows)
 
     cut = segments(left, window)
     cut = written(cut.withColumn("key", F.xxhash64("anchor", "body")).withColumn("key2", F.xxhash64("body", F.lit(1))), "segments")
@@ -264,8 +268,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     known = earliest(distinct, window)
     hits = cut.select("row", "doc_id", "start", "key", "key2").join(known.hint("merge"), ["key", "key2"])
     hits = hits.where(F.exists("least", lambda x: x < F.col("doc_id"))).select("row", F.struct("start", "least").alias("hit"))
-    found = hits.groupBy("row").agg(F.collect_list("hit").alias("found"))
-    changed = _removed(left.select("row", "doc_id", "text").join(found.hint("merge"), "row"), window)
+    found = written(hits.groupBy("row").agg(F.collect_list("hit").alias("found")), "hits")
+    forget(cut)
+    changed = _removed(rows_with(left.select("row", "doc_id", "text"), found.select("row"), "row").join(found.hint("merge"), "row"), window)
 
     # results of a class hold for all its rows with the smallest id; rows with other ids are copies, which lose all
     results = classes.select("sha", "rep", "row").join(changed.hint("merge"), "row", "left").drop("row")
