@@ -21,7 +21,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One of fewer files than cores (a file may be a single row group) is spread over them, since the projections that follow cost far more than to move its rows; larger ones stay as they are read."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
