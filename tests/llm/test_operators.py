@@ -140,6 +140,18 @@ def test_groups_of_many_blocks_are_connected_whole(docs, monkeypatch):
         assert collections.Counter((r.doc_id, r.component_id) for r in jaccard.join(docs).collect()) == whole
 
 
+@pytest.mark.parametrize("hub", [1, 5, 1000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from factloom.llm import components as stars
+
+    monkeypatch.setattr(stars, "HUB", hub)
+    rng = random.Random(hub)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(50, i) for i in range(200, 260)] + [(i, i + 1) for i in range(400, 420)]
+    at = components(421, links)
+    got = {r.node: r.component for r in stars.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: c for i, c in enumerate(at) if c != i}
+
+
 def test_parts_never_lose_a_link():
     rng = np.random.default_rng(3)
     for n in (1, 4, 5, 9, 30, 200, 3000):
