@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bitslice, exact_dedup, jaccard, language_model, mixing, packing, pseudonyms, substrings, token_counts, toxicity
+from factloom.llm import bitslice, exact_dedup, jaccard, language_model, merkle, mixing, packing, pseudonyms, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs, exact_dedup.earlier_half(docs)).drop("row")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(docs, merkle.newlines_deleted(docs))
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, len(embedding) AS dims, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -124,9 +129,51 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+MERKLE_LEVELS = 14  # the SQL's trees have up to 3^14 leaves
+
+
+def _merkle_tree(name: str, base: str) -> str:
+    """CTEs over base (g, i, n, h): the levels of its trees, their runs, and of each leaf the siblings and the root of its tree."""
+    out = [f"{name}0 AS (SELECT g, i, n, h FROM {base})"]
+    for k in range(MERKLE_LEVELS):
+        out.append(f"{name}r{k} AS (SELECT g, i // 3 AS p, list(h ORDER BY i) AS hs FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 3 AS i, (n + 2) // 3 AS n, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY g, i // 3, n)")
+    return ", ".join(out)
+
+
+def _merkle_walk(name: str, tree: str, start: str) -> str:
+    """CTEs from start (row, g, i, proof, f): level by level the siblings are appended to proof, and f is folded."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(MERKLE_LEVELS):
+        at = f"(i // {3**k}) % 3"
+        left, right = f"array_to_string(hs[1:{at}], '')", f"array_to_string(hs[{at} + 2:], '')"
+        out.append(f"""{name}{k + 1} AS (SELECT row, w.g, i, CASE WHEN hs IS NULL THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN hs IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f
+          FROM {name}{k} w LEFT JOIN {tree}r{k} r ON w.g = r.g AND i // {3 ** (k + 1)} = p)""")
+    return ", ".join(out)
+
+
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_CRC_EVEN = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) % 2 = 1"""
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)")) + " || " + _FIELD + ")"
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, doc_id, {_LEAF.format("text")} AS h,
+    {_LEAF.format("CASE WHEN " + _CRC_EVEN + " THEN replace(text, chr(10), '') ELSE text END")} AS altered FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d
+), {_merkle_tree("t", "l")}, s AS (
+  SELECT 0 AS g, g AS i, count(*) OVER () AS n, h FROM t{MERKLE_LEVELS}
+), {_merkle_tree("u", "s")}, {_merkle_walk("a", "t", "SELECT row, g, i, '' AS proof, altered AS f FROM l")},
+{_merkle_walk("b", "u", f"SELECT row, 0 AS g, g AS i, proof, f FROM a{MERKLE_LEVELS}")}
+SELECT doc_id, l.h AS leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u.h AS verified
+FROM l JOIN b{MERKLE_LEVELS} b USING (row) JOIN t{MERKLE_LEVELS} t ON l.g = t.g, u{MERKLE_LEVELS} u
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bit_sliced_top_k": OP5_SQL, "op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_bit_sliced_top_k": OP5_SQL, "op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
