@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bitslice, exact_dedup, jaccard, language_model, merkle, mixing, packing, pseudonyms, substrings, token_counts, toxicity
+from factloom.llm import bitslice, exact_dedup, jaccard, language_model, licences, merkle, mixing, packing, pseudonyms, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs, exact_dedup.earlier_half(docs)).drop("row")
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.verified(docs, merkle.newlines_deleted(docs))
@@ -172,7 +176,7 @@ FROM l JOIN b{MERKLE_LEVELS} b USING (row) JOIN t{MERKLE_LEVELS} t ON l.g = t.g,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup, op12_license_scans, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,14 +62,14 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
 
 
 class Words:
-    """Words of some rows: start, end (bytes in data), row, hash; row r has words first[r] to first[r + 1]."""
+    """Words of some rows: start, end (bytes in data), row, hash; row r has words first[r] to first[r + 1]. space: whether each byte (lower-cased, if lower) stands between words."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = _SPACE):
         data, offsets = strings(column)
         self.rows = len(offsets) - 1
         if lower:
             data = _LOWER[data]
-        inside = ~_SPACE[data]
+        inside = ~space[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
         before = inside.copy()
