@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bitslice, exact_dedup, jaccard, language_model, licences, merkle, mixing, packing, pseudonyms, substrings, token_counts, toxicity
+from factloom.llm import bitslice, exact_dedup, jaccard, language_model, licences, lloyd, merkle, mixing, packing, pseudonyms, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs, exact_dedup.earlier_half(docs)).drop("row")
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -133,6 +137,37 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+_SQUARE = "CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+_ROUND = f"""
+a{{0}} AS MATERIALIZED (
+  SELECT v.row, min({_SQUARE} * 64 + c.cluster) AS best FROM v, c{{0}} c GROUP BY v.row
+), p{{0}} AS (
+  SELECT best % 64 AS cluster, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM a{{0}} JOIN v USING (row)
+), s{{0}} AS (
+  SELECT cluster, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM p{{0}} GROUP BY ALL
+), m{{0}} AS (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS q FROM s{{0}} GROUP BY cluster
+), c{{1}} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.q, c.q) AS q FROM c{{0}} c LEFT JOIN m{{0}} m USING (cluster)
+)"""
+OP11_SQL = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT row, vec_id, e, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS q FROM k
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS cluster, q FROM v QUALIFY cluster < 40
+), {", ".join(_ROUND.format(i, i + 1) for i in range(5))},
+f AS (
+  SELECT v.row, v.vec_id, min({_SQUARE} * 64 + c.cluster) AS best FROM v, c5 c GROUP BY ALL
+), g AS (
+  SELECT vec_id, CAST(best % 64 AS INTEGER) AS cluster, best // 64 AS distance FROM f
+)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM g JOIN c5 USING (cluster)
+"""
+
 MERKLE_LEVELS = 14  # the SQL's trees have up to 3^14 leaves
 
 
@@ -176,8 +211,8 @@ FROM l JOIN b{MERKLE_LEVELS} b USING (row) JOIN t{MERKLE_LEVELS} t ON l.g = t.g,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup, op12_license_scans, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_packing, op4_token_counts, op5_bit_sliced_top_k, op6_parity_jaccard, op7_mixing, op8_feistel_pseudonyms, op9_language_model, op10_exact_dedup, op11_dual_tree_lloyd, op12_license_scans, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bit_sliced_top_k": OP5_SQL, "op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op5_bit_sliced_top_k": OP5_SQL, "op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_dual_tree_lloyd": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
