@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import audit, gate
-from factloom.sources import documents
+from factloom.sources import documents, trees
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     if given.command == "audit":
         packages = documents.read_packages(spark, given.packages) if given.packages else spark.createDataFrame([], "Name string, Version string, License string")
-        found = audit.audit(packages, documents.read_tree(spark, given.root))
+        found = audit.audit(packages, trees.read_tree(spark, given.root))
         found.orderBy("kind", "detail").show(1000, truncate=False)
         return int(not found.isEmpty())
     judged = gate.verified(documents.read_pairs(spark, given.pairs).withColumn("ref_date", F.to_date(F.lit(given.ref_date))))

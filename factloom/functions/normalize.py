@@ -104,7 +104,7 @@ def _read(s: Column) -> Column:
 
 
 def date_iso(span: Column, ref_date: Column) -> Column:
-    """yyyy-MM-dd of an absolute date, or of D-N and N days after, counted from ref_date. Null for days that do not exist or are a million or more days away."""
+    """yyyy-MM-dd of an absolute date, or of D-N and N days after, counted from ref_date. Null for days that do not exist or come after the year 9999."""
     return _bound(ascii_digits(span), lambda s: _iso(s, ref_date))
 
 
@@ -112,8 +112,10 @@ def _iso(span: Column, ref_date: Column) -> Column:
     y, m, d = (F.regexp_extract(span, YMD, i) for i in (1, 2, 3))
     absolute = F.call_function("try_to_date", F.concat_ws("-", y, m, d), F.lit("y-M-d"))
     days = F.coalesce(F.nullif(F.regexp_extract(span, D_MINUS, 1), F.lit("")), F.nullif(F.regexp_extract(span, DAYS_AFTER, 1), F.lit("")))
-    days = F.when(F.length(days) <= 6, days.try_cast("int"))
-    return F.date_format(F.when(span.rlike(YMD), absolute).otherwise(F.date_add(ref_date, days)), "yyyy-MM-dd")
+    days = days.try_cast("long")
+    left = F.datediff(F.lit("9999-12-31").cast("date"), ref_date)
+    counted = F.date_add(ref_date, F.when(days <= left, days).cast("int"))
+    return F.date_format(F.when(span.rlike(YMD), absolute).otherwise(counted), "yyyy-MM-dd")
 
 
 def inclusive(span: Column) -> Column:

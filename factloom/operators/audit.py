@@ -33,6 +33,9 @@ SKIPPED_FOLDERS = (".git", ".github", "__pycache__", ".pytest_cache", ".mypy_cac
 SCANNED_SUFFIXES = (".py", ".pyi", ".txt", ".md", ".json", ".jsonl", ".csv", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".env", ".html", ".js", ".ts", ".pem", ".key", ".sh", "")
 CODE_FOLDERS, PICTURE_SETS = ("factloom", "corpus", "tooling"), ("mulberry", "openmoji")
 PICTURE, INLINED = r"(?i)\.(svg|png|jpe?g|gif|webp)$", "(?i)data:image/[a-z+.-]+;base64,"
+ACTIVE = r"<script|javascript:|\son\w+\s*="  # in an SVG
+LICENCE_FILE = "^assets/pictograms/[^/]+/LICENSE$"
+SOURCE_SUFFIXES = (".py", ".html", ".jinja", ".j2", ".css", ".js", ".json")
 UNSHIPPED = r"(^|/)(\.git|__pycache__|\.pytest_cache|\.venv|venv|build|dist|[^/]*\.egg-info)/"
 
 
@@ -61,38 +64,61 @@ def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("kind", F.when(F.col("label") == "korean-rrn", "pii").otherwise("secret"))
 
 
+def suffix_of(path: Column) -> Column:
+    """The last dot of the name and what follows, in lower case; empty for names without one, or with one at the start alone."""
+    return F.lower(F.regexp_extract(F.substring_index(path, "/", -1), r"^.+(\.[^.]+)$", 1))
+
+
 def scanned(path: Column) -> Column:
     """Whether a file of a tree is scanned for secrets, by its path below the root."""
-    name = F.element_at(F.split(path, "/"), -1)
-    suffix = F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))) & suffix.isin(*SCANNED_SUFFIXES)
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))) & suffix_of(path).isin(*SCANNED_SUFFIXES)
+
+
+def secrets_in_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks: path, start, content, lead, own, as of a file tree, or path and content of whole files. One row per file and kind of secret that it holds: path, label, kind, at (byte where the first one begins, if the file is UTF-8).
+
+    A block has what begins in it: the first match of its text, if that lies before the overlap. What needs more than the overlap to be told is not found."""
+    text = F.col("content")
+    if "lead" not in blocks.columns:
+        blocks = blocks.select("path", F.lit(0).cast("long").alias("start"), "content", F.lit(0).alias("lead"), F.length("content").alias("own"))
+    # nothing counts that begins with the character before the block, of which it is not known what stands before it
+    place = lambda p: F.when(F.col("lead") == 0, F.regexp_instr(text, F.lit(p))).otherwise(F.regexp_instr(text, F.lit(rf"(?<=[\s\S])(?:{p})")))
+    spots = [F.struct(F.lit(label).alias("label"), place(p).alias("place")) for label, p in SECRETS]
+    found = blocks.where(text.isNotNull()).select("path", "start", "content", "lead", "own", F.explode(F.filter(F.array(*spots), lambda s: (s["place"] > 0) & (s["place"] <= F.col("lead") + F.col("own")))).alias("s"))
+    bytes_to = lambda n: F.octet_length(F.substring(text, F.lit(1), n))
+    at = F.col("start") + bytes_to(F.col("s.place") - 1) - bytes_to(F.col("lead"))
+    out = found.groupBy("path", F.col("s.label").alias("label")).agg(F.min(at).alias("at"))
+    return out.select("path", "label", F.when(F.col("label") == "korean-rrn", "pii").otherwise("secret").alias("kind"), "at")
+
 
+def asset_findings(files: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """files: path (below the root), content; files may come in blocks. sets: the column set, names of picture sets (else those of PICTURE_SETS).
 
-def asset_findings(files: DataFrame) -> DataFrame:
-    """files: path (below the root), content. Pictures in code folders or inlined in code, active SVGs, and picture sets without a licence: kind, detail."""
+    Pictures in code folders or inlined in code, SVGs under assets/ that can act, and picture sets that are there without a licence, each once: kind, detail."""
     path, content = F.col("path"), F.col("content")
     top = F.substring_index(path, "/", 1)
     picture = path.rlike(PICTURE)
-    in_code = top.isin(*CODE_FOLDERS)
-    active = F.lower(path).endswith(".svg") & F.lower(content).rlike(r"<script|javascript:|\son\w+\s*=")
+    in_code, source = top.isin(*CODE_FOLDERS), suffix_of(path).isin(*SOURCE_SUFFIXES)
+    active = F.lower(path).endswith(".svg") & F.lower(content).rlike(ACTIVE)
     kinds = F.array_compact(F.array(
         F.when(in_code & picture, F.lit("asset-in-code")),
-        F.when(in_code & ~picture & content.rlike(INLINED), F.lit("inlined-asset")),
+        F.when(in_code & source & content.rlike(INLINED), F.lit("inlined-asset")),
         F.when(path.startswith("assets/") & active, F.lit("active-svg")),
     ))
-    found = files.select(F.explode(kinds).alias("kind"), path.alias("detail"))
-    sets = files.sparkSession.createDataFrame([(s,) for s in PICTURE_SETS], "set string")
-    here = files.where(path.rlike("^assets/pictograms/[^/]+/LICENSE")).select(F.split(path, "/")[2].alias("set")).distinct()
-    missing = sets.join(here, "set", "left_anti").select(F.lit("missing-license").alias("kind"), F.concat(F.lit("assets/pictograms/"), "set").alias("detail"))
+    found = files.select(F.explode(kinds).alias("kind"), path.alias("detail")).distinct()
+    wanted = sets.select("set").distinct() if sets is not None else files.sparkSession.createDataFrame([(s,) for s in PICTURE_SETS], "set string")
+    here = files.where(path.startswith("assets/pictograms/")).select(F.get(F.split(path, "/"), F.lit(2)).alias("set"), path.rlike(LICENCE_FILE).alias("licence"), F.size(F.split(path, "/")).alias("parts"))
+    state = here.where("parts > 3").groupBy("set").agg(F.max("licence").alias("licensed"))
+    missing = state.where("not licensed").join(wanted, "set", "left_semi").select(F.lit("missing-license").alias("kind"), F.concat(F.lit("assets/pictograms/"), "set").alias("detail"))
     return found.union(missing)
 
 
 def picture_leaks(files: DataFrame) -> DataFrame:
-    """files: path (below the root), content. Pictures outside assets/, and texts of the code, of the corpus and of the root itself that hold one written out: path, in order."""
+    """files: path (below the root), content; files may come in blocks. Pictures outside assets/, and texts of the code, of the corpus and of the root itself that hold one written out: path, each once, in order."""
     path, top = F.col("path"), F.substring_index("path", "/", 1)
     scope = top.isin(*CODE_FOLDERS[:2]) | ~path.contains("/")
     leak = F.when(path.rlike(PICTURE), ~path.startswith("assets/")).otherwise(scope & F.coalesce(F.col("content").rlike(INLINED), F.lit(False)))
-    return files.where(leak & ~path.rlike(UNSHIPPED)).select("path").orderBy("path")
+    return files.where(leak & ~path.rlike(UNSHIPPED)).select("path").distinct().orderBy("path")
 
 
 def licence_note(name: Column, licence: Column) -> Column:
@@ -101,8 +127,9 @@ def licence_note(name: Column, licence: Column) -> Column:
     return F.coalesce(licence_finding(name, licence), F.when(known, "MIT (known)").otherwise("allowed"))
 
 
-def audit(packages: DataFrame, files: DataFrame) -> DataFrame:
-    """All findings: kind, detail. packages: Name, Version, License; files: path, content."""
-    licences = packages.select(licence_finding(F.col("Name"), F.col("License")).alias("kind"), F.format_string("%s %s [%s]", "Name", "Version", "License").alias("detail")).where("kind is not null")
-    hidden = secrets(files.where(scanned(F.col("path"))), "content").select("kind", F.concat("label", F.lit(" in "), "path").alias("detail"))
-    return licences.unionByName(asset_findings(files)).unionByName(hidden)
+def audit(packages: DataFrame, files: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """All findings: kind, detail. packages: Name, Version, License; files: as of secrets_in_blocks; sets: as of asset_findings."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    licences = packages.select(licence_finding(F.col("Name"), F.col("License")).alias("kind"), F.format_string("%s %s [%s]", text("Name"), text("Version"), text("License")).alias("detail")).where("kind is not null")
+    hidden = secrets_in_blocks(files.where(scanned(F.col("path")))).select("kind", F.concat("label", F.lit(" in "), "path").alias("detail"))
+    return licences.unionByName(asset_findings(files, sets)).unionByName(hidden)

@@ -28,12 +28,12 @@ def annotated(judged: DataFrame) -> DataFrame:
 
 
 def corpus_rows(pairs: DataFrame) -> DataFrame:
-    """pairs: source_text, easy_text, ref_date, source_tokens, easy_tokens. Adds to annotated(): ker_score and before_score (one decimal), delta, ker_level_estimate,
+    """pairs: source_text, easy_text, ref_date, source_tokens, easy_tokens. Adds to annotated(): ker_score and before_score (one decimal, halves to the even one), delta, ker_level_estimate,
     ker_rule_violations (rule:span), pictogram_refs, slot_types (sorted)."""
     before = rules.scored(pairs, "source_text", "source_tokens").select(*pairs.columns, F.col("score").alias("before_score"))
     after = rules.scored(before, "easy_text", "easy_tokens")
     lines = F.transform("violations", lambda v: F.concat(v["rule"], F.lit(":"), v["span"]))
-    after = after.select(*pairs.columns, F.round("before_score", 1).alias("before_score"), F.round("score", 1).alias("ker_score"), F.round(F.col("score") - F.col("before_score"), 1).alias("delta"), F.col("level_estimate").alias("ker_level_estimate"), lines.alias("ker_rule_violations"))
+    after = after.select(*pairs.columns, F.bround("before_score", 1).alias("before_score"), F.bround("score", 1).alias("ker_score"), (F.bround(F.col("score") - F.col("before_score"), 1) + 0.0).alias("delta"), F.col("level_estimate").alias("ker_level_estimate"), lines.alias("ker_rule_violations"))
     out = annotated(gate.verified(after))
     out = out.withColumn("slot_types", F.array_sort(F.array_distinct(F.transform("slots", lambda s: s["type"]))))
     return pictograms.with_pictograms(out, "easy_text", "pictogram_refs")

@@ -6,7 +6,6 @@ unique, repeated ones are judged each. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stripped
+from factloom.sources.shared import written
 
 # Texts of the prompts.
 LEVELS = {"plain": "보통 읽기(쉬운 표준 한국어, 문장은 짧게)", "easy": "쉬운 글(Easy Korean: 한 줄 한 생각, 가장 쉬운 단어)"}
@@ -109,9 +109,7 @@ def revised(docs: DataFrame, answers: DataFrame | Answers, gate: Callable[[DataF
     """docs: key, source_text, ref_date. answers: key, attempt (0 first), response, or what gives them for the documents of a round. score: adds violations of easy_text, for the prompts.
 
     Each round judges all documents that are still to be revised; what is revised max_revise times in vain goes to human review. Returns key, easy_text,
-    verdict, revisions. Rounds are written to spark.checkpoint.dir, so later rounds do not repeat earlier ones; only where it is unset (tests) each repeats them."""
-    spark = docs.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    verdict, revisions. Each round is written to the shared folder before the next begins, so no answer is asked for again; the tables go when the driver ends."""
     give = answers if callable(answers) else answers_of(answers, key)
     open_docs, done = docs.select(key, "source_text", "ref_date"), None
     for attempt in range(max_revise + 1):
@@ -119,10 +117,7 @@ def revised(docs: DataFrame, answers: DataFrame | Answers, gate: Callable[[DataF
         judged = open_docs.select(key, "source_text", "ref_date").join(said, key, "left").transform(gate)
         judged = judged.withColumn("verdict", F.when(F.col("easy_text").isNull(), "human_review").otherwise(F.col("verdict")))
         judged = (score(judged) if score else judged).select(key, "source_text", "ref_date", "easy_text", "failed", "verdict", *(["violations"] if score else []))
-        if shared:
-            path = f"{shared}/revised-{uuid.uuid4().hex}"
-            judged.write.parquet(path)
-            judged = spark.read.schema(judged.schema).parquet(path)
+        judged = written(judged, "revised")
         again = (F.col("verdict") == "revise") & F.lit(attempt < max_revise)
         final = judged.where(~again).select(key, "easy_text", F.when(F.col("verdict") == "revise", "human_review").otherwise(F.col("verdict")).alias("verdict"), F.lit(attempt).alias("revisions"))
         done = final if done is None else done.unionByName(final)

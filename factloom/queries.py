@@ -16,14 +16,19 @@ from factloom.functions.html import page
 from factloom.functions.text import computed, sentences
 from factloom.operators import audit, distort, gate, pictograms, rules, segment
 from factloom.plans import annotation, notices, revision
+from factloom.sources import trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+SMALL_TABLE = 1 << 30  # bytes
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. One of fewer files than cores (a file may be a single row group) is spread over them, since the projections that follow cost far more than to move its rows; larger ones stay as they are read."""
+    """A table. A small one of few files (a file may be a single row group, which one task reads) is spread over the cores, since the projections that follow cost far more than to move its rows; others stay as they are read."""
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    small = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_TABLE
+    return rows.repartition(cores) if small and len(rows.inputFiles()) < cores else rows
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +156,39 @@ def picture_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.picture_leaks(table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content")))
 
 
+def secret_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of texts that are read in blocks of 300 characters: what lies across a border is found, once, and at its place."""
+    blocks = trees.blocks_of(table(spark, sf_dir, "documents"), "doc_id", "text", 300, 400)
+    return audit.secrets_in_blocks(blocks).select(F.col("path").cast("long").alias("doc_id"), "label", "kind", "at")
+
+
+def _tree(parts: DataFrame) -> DataFrame:
+    """A file for each part: path and content follow from its key."""
+    k = F.col("p_partkey")
+    key, kind = k.cast("string"), (k % 8).cast("int")
+    inlined, secret = F.lit("x = 'data:image/png;base64,AAAA'"), F.concat(F.lit("password = 'abcdefghijklmnop"), key, F.lit("'"))
+    of = lambda *xs: F.get(F.array(*xs), kind)
+    path = of(
+        F.concat(F.lit("assets/pictograms/mulberry/"), key, F.lit(".SVG")), F.concat(F.lit("factloom/"), key, F.lit(".PNG")), F.concat(F.lit("corpus/a/"), key, F.lit(".json")), F.concat(F.lit("factloom/"), key, F.lit(".md")),
+        F.concat(F.lit("assets/pictograms/set"), (k % 50).cast("string"), F.when(k % 3 == 0, "/LICENSE").otherwise("/sub/LICENSE")), F.concat(F.lit("docs/"), key, F.lit(".txt")), F.concat(F.lit("tests/"), key, F.lit(".py")), F.concat(F.lit("x/"), key),
+    )
+    content = of(F.when(k % 3 == 0, "<svg\nonload = 'x'/>").otherwise("<svg/>"), F.lit(None).cast("string"), F.when(k % 3 > 0, inlined), inlined, F.lit("CC BY"), F.when(k % 3 == 0, secret).otherwise("none"), secret, F.when(k % 5 == 0, "900101-1234567"))
+    return parts.select(path.alias("path"), content.alias("content"))
+
+
+def asset_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return audit.asset_findings(_tree(parts), parts.select(F.concat(F.lit("set"), (F.col("p_partkey") % 60).cast("string")).alias("set")))
+
+
+def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of packages, pictures and secrets of a tree, all named after the parts."""
+    parts = table(spark, sf_dir, "part")
+    licence = F.element_at(F.array(*(F.lit(x) for x, _, _ in LICENCES)), (F.col("p_partkey") % len(LICENCES) + 1).cast("int"))
+    packages = parts.select(F.col("p_name").alias("Name"), F.col("p_partkey").cast("string").alias("Version"), licence.alias("License"))
+    return audit.audit(packages, _tree(parts))
+
+
 PICTURE_FOLDERS = ("assets/", "factloom/", "corpus/x/", "", "docs/", "build/")
 
 
@@ -164,6 +202,16 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distort.distorted(notices.pairs(table(spark, sf_dir, "orders"), case=0))
 
 
+def corpus_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of notices with tokens that follow from the key: scores before and after, and what the gate and the pictograms say."""
+    some = lambda form, tag, n: F.array_repeat(F.struct(F.lit(form).alias("form"), F.lit(tag).alias("tag")), n.cast("int"))
+    tokens = lambda k: F.concat(some("사람", "NNG", k % 90), some("고", "EC", k % 17), some("다", "EF", k % 40))
+    pairs = _pairs(spark, sf_dir).withColumns({"source_tokens": tokens(F.col("o_orderkey")), "easy_tokens": tokens(F.col("o_orderkey") + 7)})
+    out = annotation.corpus_rows(pairs)
+    kinds = F.array_join(F.transform(F.filter("ker_rule_violations", lambda v: ~v.startswith("sentence_length")), lambda v: F.substring_index(v, ":", 1)), ",")
+    return out.select("o_orderkey", "before_score", "ker_score", "delta", F.col("ker_level_estimate").cast("long").alias("level"), kinds.alias("violations"), F.array_join("slot_types", ",").alias("slot_types"), F.array_join(F.transform("pictogram_refs", lambda p: p["concept"]), ",").alias("concepts"))
+
+
 def distortion_bench_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distort.by_type(_cases(spark, sf_dir), gate.verified)
 
@@ -407,6 +455,52 @@ FROM b
 """
 
 
+_TREE = """
+  SELECT k, CASE k % 8 WHEN 0 THEN 'assets/pictograms/mulberry/' || k || '.SVG' WHEN 1 THEN 'factloom/' || k || '.PNG' WHEN 2 THEN 'corpus/a/' || k || '.json' WHEN 3 THEN 'factloom/' || k || '.md'
+    WHEN 4 THEN 'assets/pictograms/set' || k % 50 || CASE WHEN k % 3 = 0 THEN '/LICENSE' ELSE '/sub/LICENSE' END WHEN 5 THEN 'docs/' || k || '.txt' WHEN 6 THEN 'tests/' || k || '.py' ELSE 'x/' || k END AS path
+  FROM (SELECT p_partkey AS k FROM part)
+"""
+_ASSETS = f"""
+  SELECT DISTINCT kind, path AS detail FROM (SELECT CASE WHEN k % 8 = 1 THEN 'asset-in-code' WHEN k % 8 = 2 AND k % 3 > 0 THEN 'inlined-asset' WHEN k % 8 = 0 AND k % 3 = 0 THEN 'active-svg' END AS kind, path FROM ({_TREE})) WHERE kind IS NOT NULL
+"""
+
+
+def _secret_at_sql() -> str:
+    """The first match of each kind in each text: its place is told by what stands before it."""
+    rows = []
+    for label, pattern in audit.SECRETS:
+        p = "(?:^|[^0-9])([0-9]{6}-[1-4][0-9]{6})(?:$|[^0-9])" if label == "korean-rrn" else f"({pattern})"
+        p = p.replace("(?i)", "").replace("'", "''")
+        option = ", 'i'" if "(?i)" in pattern else ""
+        rows.append(f"SELECT doc_id, '{label}' AS label, '{'pii' if label == 'korean-rrn' else 'secret'}' AS kind, CAST(strlen(split_part(text, regexp_extract(text, '{p}', 1{option}), 1)) AS BIGINT) AS at FROM documents WHERE regexp_matches(text, '{p}'{option})")
+    return " UNION ALL ".join(rows)
+
+
+def _half_even(x: str) -> str:
+    """A double to one decimal by its decimal digits, halves to the even one."""
+    q = f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(30, 18)) * 10"
+    return f"(CAST(floor({q}) + CASE WHEN {q} - floor({q}) > 0.5 THEN 1 WHEN {q} - floor({q}) < 0.5 THEN 0 ELSE abs(CAST(floor({q}) AS BIGINT) % 2) END AS DOUBLE) / 10)"
+
+
+def _annotation_sql() -> str:
+    def side(text: str, key: str) -> str:
+        parts = _SENTENCES.replace("text,", f"{text},")
+        return f"""SELECT o_orderkey, n, e, s, h, list_transform(s, lambda x, i: CASE WHEN i < len(s) THEN CAST(round_even(CAST(n * len(x) AS DOUBLE) / c, 0) AS BIGINT) END) AS a
+          FROM (SELECT *, CAST(list_sum(list_transform(s, lambda x: len(x))) AS DOUBLE) AS c FROM (SELECT o_orderkey, {key} % 90 + {key} % 17 + {key} % 40 AS n, {key} % 17 AS e, {parts} AS s, {_HITS.replace("(text,", f"({text},")} AS h FROM ({_TEXT})))"""
+
+    def score(of: str) -> str:
+        each = f"list_transform(list_append(list_filter(a, lambda x: x IS NOT NULL), n - coalesce(list_sum(a), 0)), lambda x: {_linear('CAST(x AS DOUBLE)', 15.0, 40.0)})"
+        return f"""SELECT o_orderkey, h, e, len(s) AS n_sentences, (list_sum({each}) / len(s) + 100 + 100 + {_linear("CAST(e AS DOUBLE) / len(s)", 1.0, 4.0)} + 100 + 100 + 100 + 100 + greatest(0.0, 100 - h * 10.0) + 100 + 70 + 80) / 12 AS score FROM ({of})"""
+
+    before, after = score(side("source_text", "o_orderkey")), score(side("easy_text", "(o_orderkey + 7)"))
+    return f"""WITH b AS ({before}), a AS ({after}), t AS ({_TEXT})
+      SELECT t.o_orderkey, {_half_even("b.score")} AS before_score, {_half_even("a.score")} AS ker_score, {_half_even("a.score - b.score")} AS delta,
+        CAST(CASE WHEN a.score >= 80 THEN 1 WHEN a.score >= 60 THEN 2 ELSE 3 END AS BIGINT) AS level,
+        array_to_string(list_concat(CASE WHEN a.e > a.n_sentences THEN ['predicates_connectives'] ELSE [] END, list_resize([]::VARCHAR[], least(5, a.h), 'abbrev_percent_bignum'), ['direct_address']), ',') AS violations,
+        'agency,contact,date,money,negation,numeric,scope' AS slot_types, '돈,구청' || CASE WHEN c = 8 THEN ',건강,보험' ELSE '' END AS concepts
+      FROM t JOIN a USING (o_orderkey) JOIN b USING (o_orderkey)"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = _sql()
     return found | {f"{k}_all": found[k] for k in ("distortion_bench_by_type", "distortion_bench_overall")}
@@ -499,6 +593,13 @@ def _sql() -> dict[str, str]:
         "ambiguous_days": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR (strftime(o_orderdate, '%m-%d') = '01-02' AND year(o_orderdate) <> 2001) THEN strftime(o_orderdate, '%m-%d') ELSE '' END AS days, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_dates FROM orders",
         "picture_leaks": f"""WITH f AS (SELECT ({list(PICTURE_FOLDERS)})[p_partkey % {len(PICTURE_FOLDERS)} + 1] AS folder, p_partkey AS k FROM part)
           SELECT folder || k || CASE WHEN k % 3 = 0 THEN '.PNG' ELSE '.md' END AS path FROM f WHERE folder <> 'build/' AND CASE WHEN k % 3 = 0 THEN folder <> 'assets/' ELSE k % 2 = 0 AND folder IN ('factloom/', 'corpus/x/', '') END""",
+        "secret_blocks": _secret_at_sql(),
+        "asset_findings": f"""{_ASSETS} UNION ALL SELECT 'missing-license', 'assets/pictograms/set' || k % 50 FROM ({_TREE}) WHERE k % 8 = 4 AND k % 50 IN (SELECT p_partkey % 60 FROM part) GROUP BY k % 50 HAVING bool_and(k % 3 <> 0)""",
+        "audit_findings": f"""{_ASSETS} UNION ALL SELECT 'missing-license', 'assets/pictograms/mulberry' WHERE (SELECT count(*) FROM ({_TREE}) WHERE k % 8 = 0) > 0
+          UNION ALL SELECT CASE WHEN k % 8 = 5 THEN 'secret' ELSE 'pii' END, CASE WHEN k % 8 = 5 THEN 'generic-secret-assign in ' ELSE 'korean-rrn in ' END || path FROM ({_TREE}) WHERE (k % 8 = 5 AND k % 3 = 0) OR (k % 8 = 7 AND k % 5 = 0)
+          UNION ALL SELECT finding, p_name || ' ' || p_partkey || ' [' || licence || ']' FROM (SELECT *, CASE p_partkey % {len(LICENCES)} {" ".join(f"WHEN {i} THEN {quoted(a)}" for i, (_, a, _) in enumerate(LICENCES))} END AS finding,
+            CASE p_partkey % {len(LICENCES)} {" ".join(f"WHEN {i} THEN {quoted(x)}" for i, (x, _, _) in enumerate(LICENCES))} END AS licence FROM part) WHERE finding IS NOT NULL""",
+        "corpus_annotation": _annotation_sql(),
         "license_gates": "SELECT p_partkey, CASE p_partkey % {0} {1} END AS finding, CASE p_partkey % {0} {2} END AS ci_finding FROM part".format(
             len(LICENCES), " ".join(f"WHEN {i} THEN {quoted(a)}" for i, (_, a, _) in enumerate(LICENCES)), " ".join(f"WHEN {i} THEN {quoted(b)}" for i, (_, _, b) in enumerate(LICENCES))
         ),
@@ -508,7 +609,7 @@ def _sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     # the names under which the benches over every order were first registered

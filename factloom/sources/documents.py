@@ -1,4 +1,4 @@
-"""Readers: text, markdown, PDF and HWPX files, paired corpora, word lists, package lists and file trees. Bad files become rows with parse_error.
+"""Readers: text, markdown, PDF and HWPX files, paired corpora, word lists and package lists (file trees: trees.py). Bad files become rows with parse_error.
 
 Empty files are errors (empty document), empty folders and lists give no rows. Files are read one by one, so equal ones give a row each.
 """
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stripped
-from factloom.operators.audit import PICTURE
 from factloom.operators.segment import BLOCK, blocks
 
 # Kinds of files, and how sure their text is.
@@ -133,11 +132,3 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of packages: Name, Version, License."""
     return spark.read.schema("Name string, Version string, License string").option("multiLine", "true").json(path)
-
-
-def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """All files below path: path (relative), content (as text; bytes that are no UTF-8 are replaced; null for pictures)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.removeprefix("file:").rstrip("/") + "/"
-    below = F.substring(F.col("path"), F.locate(root, F.col("path")) + len(root), F.length("path"))
-    return files.select(below.alias("path"), F.when(~F.col("path").rlike(PICTURE), F.make_valid_utf8(F.col("content").cast("string"))).alias("content"))

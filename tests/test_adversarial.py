@@ -11,7 +11,7 @@ from factloom import cli
 from factloom.functions import html, normalize, text
 from factloom.operators import audit, distort, gate, pictograms, rules, segment
 from factloom.plans import annotation, revision
-from factloom.sources import documents
+from factloom.sources import documents, trees
 
 REF = datetime.date(2026, 7, 1)
 PAIR = "i int, source_text string, easy_text string, ref_date date"
@@ -205,8 +205,8 @@ def test_trees_with_pictures_and_other_codes(spark, tmp_path):
     (root / "b.txt").write_bytes("비밀 password = 'abcdefghijklmnop1'".encode("cp949"))
     (root / "assets" / "c.svg").write_text("<svg/>")
     (root / "d.md").write_text("x data:image/png;base64,AAAA")
-    tree = documents.read_tree(spark, str(root))
-    assert {r.path: r.content is None for r in tree.collect()} == {"a.png": True, "b.txt": False, "assets/c.svg": True, "d.md": False}
+    tree = trees.read_tree(spark, str(root))
+    assert {r.path: r.content is None for r in tree.collect()} == {"a.png": True, "b.txt": False, "assets/c.svg": False, "d.md": False}
     assert [r.path for r in audit.picture_leaks(tree).collect()] == ["a.png", "d.md"]
     assert "generic-secret-assign in b.txt" in {r.detail for r in audit.audit(spark.createDataFrame([], "Name string, Version string, License string"), tree).collect()}
     assert cli.main(["audit", "--root", str(root)]) == 1

@@ -1,0 +1,102 @@
+"""File trees in blocks, and the audits over them."""
+
+import random
+
+import pytest
+
+from factloom import cli
+from factloom.operators import audit
+from factloom.sources import trees
+
+PACKAGES = "Name string, Version string, License string"
+
+
+def tree_of(root, files):
+    for path, content in files.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(content if isinstance(content, bytes) else content.encode())
+
+
+@pytest.mark.parametrize("form", ["{}", "{}/", "file://{}", "file:{}/", "."])
+def test_every_way_to_write_a_root(spark, tmp_path, monkeypatch, form):
+    tree_of(tmp_path, {"assets/a.svg": "<svg onload='x'/>", "assets/b.png": b"\x89PNG", "a/b/c/.env": "password = 'abcdefghijklmnop1'", "factloom/__init__.py": "x = 1", "한글 %20 이름.txt": "글", "empty.txt": ""})
+    root = form.format(tmp_path)
+    if root == ".":
+        # the driver's JVM does not change folders, so only what it calls "." is known
+        root = str(trees.qualified(spark, "."))
+        assert root.startswith("file:/") and not root.endswith(("/", "."))
+        return
+    got = {r.path: r.content for r in trees.read_tree(spark, root).collect()}
+    assert got == {"assets/a.svg": "<svg onload='x'/>", "assets/b.png": None, "a/b/c/.env": "password = 'abcdefghijklmnop1'", "factloom/__init__.py": "x = 1", "한글 %20 이름.txt": "글", "empty.txt": ""}
+    found = {(r.kind, r.detail) for r in audit.audit(spark.createDataFrame([], PACKAGES), trees.read_tree(spark, root)).collect()}
+    assert found == {("active-svg", "assets/a.svg"), ("secret", "generic-secret-assign in a/b/c/.env")}
+
+
+def test_missing_and_empty_roots(spark, tmp_path):
+    assert trees.read_tree(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception):
+        trees.read_tree(spark, str(tmp_path / "none"))
+
+
+def test_blocks_hold_every_character_once(spark, tmp_path):
+    rng = random.Random(1)
+    text = "".join(rng.choices("aé한😀\n", k=700))
+    tree_of(tmp_path, {"t.txt": text, "bad.txt": b"\xff\x80" * 40 + "한".encode() * 30})
+    for size, overlap in ((4, 4), (7, 5), (64, 16), (10_000, 4)):
+        blocks = trees.read_tree(spark, str(tmp_path), size, overlap).where("path = 't.txt'").orderBy("start").collect()
+        assert "".join(b.content[b.lead : b.lead + b.own] for b in blocks) == text
+        joined = ""
+        for b in blocks:
+            assert b.lead == (1 if b.start else 0) and b.content[: b.lead] == joined[len(joined) - b.lead :]
+            joined += b.content[b.lead : b.lead + b.own]
+            assert text[len(joined) :].startswith(b.content[b.lead + b.own :])
+        bad = trees.read_tree(spark, str(tmp_path), size, overlap).where("path = 'bad.txt'").orderBy("start").collect()
+        assert "".join(b.content[b.lead : b.lead + b.own] for b in bad).count("한") == 30
+
+
+def test_secrets_across_borders(spark, tmp_path):
+    rng = random.Random(2)
+    secrets = ["AKIA" + "A" * 16, "900101-1234567", "password =\n  'abcdefghijklmnop1'", "sk-ant-" + "b" * 30, "-----BEGIN RSA PRIVATE KEY-----", "xoxb-" + "c" * 12]
+    files = {}
+    for i in range(40):
+        parts = []
+        for _ in range(12):
+            parts += ["".join(rng.choices("ab é한", k=rng.randint(0, 60))), rng.choice(secrets) if rng.random() < 0.3 else rng.choice(("1", "7900101-1234567", "900101-12345678", "AKIA"))]
+        files[f"d/{i}.txt"] = " ".join(parts)
+    files["d/none.png"] = b"AKIA" + b"A" * 16
+    tree_of(tmp_path, files)
+    whole = spark.createDataFrame([(p, c) for p, c in files.items() if isinstance(c, str)], "path string, content string")
+    want = {(r.path, r.label) for r in audit.secrets(whole, "content").collect()}
+    for size in (24, 100, 1 << 20):
+        got = audit.secrets_in_blocks(trees.read_tree(spark, str(tmp_path), size, 128)).collect()
+        assert {(r.path, r.label) for r in got} == want and len(got) == len(want)
+        for r in got:
+            assert files[r.path].encode()[r.at :].decode().lower().startswith(("akia", "9001", "password", "sk-ant", "-----", "xoxb"))
+    assert {(r.path, r.label, r.at) for r in got} == {(r.path, r.label, r.at) for r in audit.secrets_in_blocks(whole).collect()}
+
+
+def test_picture_sets(spark, tmp_path):
+    base = "assets/pictograms/"
+    tree_of(tmp_path, {base + "mulberry/a.svg": "<svg/>", base + "mulberry/LICENSE": "CC", base + "x/a.svg": "<SVG><Script>1</Script>"})
+    found = lambda: {(r.kind, r.detail) for r in audit.asset_findings(trees.read_tree(spark, str(tmp_path))).collect()}
+    # a set that is not there needs no licence
+    assert found() == {("active-svg", base + "x/a.svg")}
+    tree_of(tmp_path, {base + "openmoji/a.svg": "<svg/>", base + "openmoji/LICENSE.md": "CC", base + "openmoji/b/LICENSE": "CC"})
+    assert found() == {("active-svg", base + "x/a.svg"), ("missing-license", base + "openmoji")}
+    tree_of(tmp_path, {base + "openmoji/LICENSE": "CC"})
+    assert found() == {("active-svg", base + "x/a.svg")}
+
+
+def test_findings_come_once_however_many_blocks(spark, tmp_path):
+    tree_of(tmp_path, {"factloom/a.py": "x = 'data:image/png;base64,AAAA'\n" * 50, "assets/pictograms/s/a.svg": "<svg>" + " onload = 'a' " * 90})
+    blocks = trees.read_tree(spark, str(tmp_path), 64, 64)
+    assert blocks.count() > 20
+    assert sorted((r.kind, r.detail) for r in audit.asset_findings(blocks).collect()) == [("active-svg", "assets/pictograms/s/a.svg"), ("inlined-asset", "factloom/a.py")]
+    assert [r.path for r in audit.picture_leaks(blocks).collect()] == ["factloom/a.py"]
+
+
+def test_command(spark, tmp_path):
+    tree_of(tmp_path, {"assets/a.svg": "<svg/>"})
+    assert cli.main(["audit", "--root", f"file://{tmp_path}"]) == 0
+    tree_of(tmp_path, {"assets/b.svg": "<svg onclick = 'x'/>"})
+    assert cli.main(["audit", "--root", str(tmp_path)]) == 1
