@@ -28,20 +28,23 @@ LARGE = float(1 << 24)  # vectors with such components have blocks of their own
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, dims, values (scaled components, whose floors count), large, of the vectors that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double") * scale).alias("values"))
+    """vec_id, dims, values (components, whose scaled floors count), large, of the vectors that take part."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("values"))
     finite = F.forall("values", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("values").isNotNull()).where(finite)
-    return rows.select("vec_id", F.size("values").alias("dims"), "values", F.exists("values", lambda x: F.abs(x) >= LARGE).alias("large"))
+    return rows.select("vec_id", F.size("values").alias("dims"), "values", F.exists("values", lambda x: F.abs(x) >= LARGE / scale).alias("large"))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Whole numbers, a row for each vector: as int64 or, where they are large, as Python's."""
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int, scale: int) -> np.ndarray:
+    """Scaled floors, a row for each vector: as int64 or, where they are large, as Python's whole numbers."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    floors = np.floor(column.flatten().to_numpy().reshape(len(column), dims))
+    values = column.flatten().to_numpy().reshape(len(column), dims)
+    with np.errstate(over="ignore"):
+        floors = np.floor(values * scale)
     if np.abs(floors).max(initial=0) <= LARGE:
         return floors.astype(np.int64)
-    return np.array([[int(x) for x in row] for row in floors], object).reshape(len(column), dims)
+    # what a double cannot hold once it is scaled is a whole number before
+    return np.array([[int(f) if np.isfinite(f) else int(x) * scale for x, f in zip(*both, strict=True)] for both in zip(values, floors, strict=True)], object).reshape(len(column), dims)
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> int:
@@ -166,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
 
     def index(block: pa.Table) -> pa.Table:
         dims = block.column("dims")[0].as_py()
-        parts = sliced(block.column("vec_id").to_numpy(), _matrix(block.column("values"), dims))
+        parts = sliced(block.column("vec_id").to_numpy(), _matrix(block.column("values"), dims, scale))
         kinds = (pa.binary(), pa.string(), pa.binary(), pa.binary())
         head = [block.column(c).slice(0, 1) for c in ("dims", "large", "block", "q_blocks")]
         return pa.table([*head, *(pa.array([x], t) for x, t in zip(parts, kinds, strict=True))], names=["dims", "large", "block", "q_blocks", "ids", "low", "depth", "bits"])
@@ -184,7 +187,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         if block.num_rows and queries.num_rows:
             slices = Sliced(*(block.column(c)[0].as_py() for c in ("ids", "low", "depth", "bits")))
             dims = len(slices.depth)
-            for own, query in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("values"), dims), strict=True):
+            for own, query in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("values"), dims, scale), strict=True):
                 at, scores = slices.best(query, own, k)
                 out += [(own, dims, i, s if -(2**63) <= s < 2**63 else None, sort_key(s)) for i, s in zip(slices.ids[at].tolist(), scores, strict=True)]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())

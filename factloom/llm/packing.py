@@ -22,6 +22,9 @@ from factloom.llm.tokens import word_ids
 from factloom.llm.words import portions
 
 
+MOST = 1 << 15  # tokens of a sequence
+
+
 def lengths(n: int, capacity: int) -> list[int]:
     """Whole blocks, then the binary digits of the rest."""
     return [capacity] * (n // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if (n % capacity) >> b & 1]
@@ -29,7 +32,8 @@ def lengths(n: int, capacity: int) -> list[int]:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, bucket (log2 of length), sequence_id, offset (always 0)."""
-    assert capacity & (capacity - 1) == 0, "the capacity is a power of two"
+    if capacity < 1 or capacity & (capacity - 1) or capacity > MOST:
+        raise ValueError(f"the capacity is a power of two up to {MOST}: the class of a length takes four binary digits of a sequence id")
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "bucket"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]

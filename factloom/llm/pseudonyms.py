@@ -13,7 +13,7 @@ stay different:
 * email: letters and digits of the part before @ are replaced by a keyed digest of it (one way)
 
 What is not valid (a wrong check digit, 31 February) stays as it is. Null texts stay null, empty ones empty; null ids,
-repeated rows and extra columns pass. No row moves between tasks.
+and repeated rows pass, further columns are not part of the result. No row moves between tasks.
 """
 
 from __future__ import annotations

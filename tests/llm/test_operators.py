@@ -234,6 +234,11 @@ def test_packing(docs, empty):
     got = packing.pack(docs).collect()
     assert len({r.sequence_id for r in got}) == len(got) and packing.pack(empty).count() == 0
     assert all(r.length & (r.length - 1) == 0 and r.length <= 4096 and len(r.ids) == 4 * r.length and 1 << r.bucket == r.length for r in got)
+    for capacity in (0, 3, 1 << 16, 1 << 17):
+        with pytest.raises(ValueError):
+            packing.pack(docs, capacity=capacity)
+    wide = packing.pack(docs, capacity=1 << 15).select("sequence_id", "bucket").collect()
+    assert [r.bucket for r in sorted(wide, key=lambda r: r.sequence_id)] == sorted(r.bucket for r in wide) and min(r.sequence_id for r in wide) >= 0
     by_doc = collections.defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
@@ -279,9 +284,9 @@ def test_token_counts(spark, docs, empty, tmp_path, monkeypatch):
 def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, -0.25, 0.01, 0.3, 0.7]) for _ in range(6)]) for i in range(90)]
-    rows += [(100, rows[0][1]), (101, rows[0][1]), (120, None), (140, [0.1] * 5 + [None]), (160, [0.1] * 5 + [float("nan")]), (180, [float("inf")] * 6), (200, [0.5] * 3), (None, [0.1] * 6), (20, rows[20][1]), (220, []), (5, [1e300] * 6), (240, [-1e300, 1.5, 0.0, 0.0, 0.0, 3e5]), (300, [0.25, -3e5, 1.0, 0.0, 1e15, 0.0]), (40, [0.25] * 3), (260, [-0.75] * 3)]
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (120, None), (140, [0.1] * 5 + [None]), (160, [0.1] * 5 + [float("nan")]), (180, [float("inf")] * 6), (200, [0.5] * 3), (None, [0.1] * 6), (20, rows[20][1]), (220, []), (5, [1e300] * 6), (240, [-1e300, 1.5, 0.0, 0.0, 0.0, 3e5]), (300, [0.25, -3e5, 1.0, 0.0, 1e15, 0.0]), (40, [0.25] * 3), (260, [-0.75] * 3), (280, [3e306, 1.0]), (7, [-3e306, 2.5]), (9, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(64 * x) if abs(x) < 1e290 else int(x) * 64 for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = collections.Counter()
     for q, dims in {(q, len(v)) for q, v in ok if q % 20 == 0}:
         v = min(v for i, v in ok if i == q and len(v) == dims)
