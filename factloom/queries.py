@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import normalize
 from factloom.functions.html import page
 from factloom.functions.text import computed, sentences
-from factloom.operators import audit, distort, gate, pictograms, rules, segment
+from factloom.operators import audit, distort, gate, patterns, pictograms, rules, segment
 from factloom.plans import annotation, notices, revision
 from factloom.sources import trees
 
@@ -73,6 +73,34 @@ def pattern_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(found, normalize.phone)).alias("value"))
 
 
+PHRASE_LENGTHS = (9, 14, 20)
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strings of some lengths that the benchmark's texts hold."""
+    text = F.col("text")
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    each = [F.transform(starts(n), lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"))) for n in PHRASE_LENGTHS]
+    found = table(spark, sf_dir, "benchmark").select(text.alias("text"), F.explode(F.concat(*each)).alias("s"))
+    found = found.select(F.substring(text, F.col("s.i"), F.col("s.n")).alias("pattern"))
+    return found.where(F.length("pattern").isin(*PHRASE_LENGTHS))
+
+
+def _phrase_hits(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    hits = patterns.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), _phrases(spark, sf_dir), **options)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.countDistinct("pattern").alias("n_patterns"), F.min("at").alias("first_at"), F.max(F.length("pattern")).cast("long").alias("longest"))
+
+
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of the benchmark in the documents, by an automaton."""
+    return _phrase_hits(spark, sf_dir)
+
+
+def phrase_hits_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, as for a list that is too large for an automaton."""
+    return _phrase_hits(spark, sf_dir, most_chars=0)
+
+
 # facts of notices
 
 
@@ -476,6 +504,18 @@ def _secret_at_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
+_PHRASES = f"""
+WITH n AS (SELECT unnest({list(PHRASE_LENGTHS)}) AS n), p AS (
+  SELECT DISTINCT substr(text, i, n) AS pattern FROM (SELECT text, n, unnest(range(1, len(text) - n + 2)) AS i FROM benchmark, n)
+), c AS (
+  SELECT doc_id, len(text) AS size, c, substr(text, c + 1, 256 + {max(PHRASE_LENGTHS)}) AS chunk FROM (SELECT doc_id, text, unnest(range(0, len(text), 256)) AS c FROM documents)
+), w AS (
+  SELECT doc_id, c + i - 1 AS pos, substr(chunk, i, n) AS pattern FROM (SELECT doc_id, size, c, chunk, n, unnest(range(1, 257)) AS i FROM c, n) WHERE c + i - 1 + n <= size
+)
+SELECT doc_id, count(*) AS n_hits, count(DISTINCT pattern) AS n_patterns, min(pos) AS first_at, CAST(max(len(pattern)) AS BIGINT) AS longest FROM w SEMI JOIN p USING (pattern) GROUP BY doc_id
+"""
+
+
 def _half_even(x: str) -> str:
     """A double to one decimal by its decimal digits, halves to the even one."""
     q = f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(30, 18)) * 10"
@@ -594,6 +634,8 @@ def _sql() -> dict[str, str]:
         "picture_leaks": f"""WITH f AS (SELECT ({list(PICTURE_FOLDERS)})[p_partkey % {len(PICTURE_FOLDERS)} + 1] AS folder, p_partkey AS k FROM part)
           SELECT folder || k || CASE WHEN k % 3 = 0 THEN '.PNG' ELSE '.md' END AS path FROM f WHERE folder <> 'build/' AND CASE WHEN k % 3 = 0 THEN folder <> 'assets/' ELSE k % 2 = 0 AND folder IN ('factloom/', 'corpus/x/', '') END""",
         "secret_blocks": _secret_at_sql(),
+        "phrase_hits": _PHRASES,
+        "phrase_hits_joined": _PHRASES,
         "asset_findings": f"""{_ASSETS} UNION ALL SELECT 'missing-license', 'assets/pictograms/set' || k % 50 FROM ({_TREE}) WHERE k % 8 = 4 AND k % 50 IN (SELECT p_partkey % 60 FROM part) GROUP BY k % 50 HAVING bool_and(k % 3 <> 0)""",
         "audit_findings": f"""{_ASSETS} UNION ALL SELECT 'missing-license', 'assets/pictograms/mulberry' WHERE (SELECT count(*) FROM ({_TREE}) WHERE k % 8 = 0) > 0
           UNION ALL SELECT CASE WHEN k % 8 = 5 THEN 'secret' ELSE 'pii' END, CASE WHEN k % 8 = 5 THEN 'generic-secret-assign in ' ELSE 'korean-rrn in ' END || path FROM ({_TREE}) WHERE (k % 8 = 5 AND k % 3 = 0) OR (k % 8 = 7 AND k % 5 = 0)
@@ -609,7 +651,7 @@ def _sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     # the names under which the benches over every order were first registered
