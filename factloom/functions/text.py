@@ -63,6 +63,11 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it, also within functions of arrays."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:

@@ -10,13 +10,16 @@ level_estimate) give way to it. Ties do not arise: violations come in the order
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import computed, found, free_name, linear, quoted, sentences, stripped
+from factloom.functions.text import bound, computed, found, free_name, linear, quoted, sentences, stripped
 from factloom.lexicons import EASY_WORDS, HARD_TERMS, IDIOMS
+from factloom.operators import patterns
+from factloom.sources.shared import few, written
 
 # Tags, forms and thresholds that results depend on.
 NOUNS = ("NNG", "NNP", "NNB", "NR", "NP")
@@ -72,33 +75,67 @@ def _n_sentences(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(sentences(text)))
 
 
+@dataclass
+class Listed:
+    """What word lists say of a text: nouns that are not easy, nouns that are hard terms or written in Chinese or Latin letters, tokens that are hard terms, and idioms."""
+
+    hard: Column
+    foreign: Column
+    terms: Column
+    idioms: Column
+
+
+def _foreign(form: Column) -> Column:
+    return form.rlike(CJK) | form.rlike("[A-Za-z]")
+
+
+def own_lists(text: Column, tokens: Column) -> Listed:
+    """By the short lists of this package."""
+    nouns, hard = _nouns(tokens), lambda t: t["form"].isin(*HARD_TERMS)
+    return Listed(F.filter(nouns, lambda t: ~t["form"].isin(*EASY_WORDS)), F.filter(nouns, lambda t: hard(t) | _foreign(t["form"])), F.filter(tokens, hard), F.filter(F.array(*map(F.lit, IDIOMS)), lambda i: F.contains(text, i)))
+
+
+def at_places(tokens: Column, easy: Column, hard: Column, idioms: Column) -> Listed:
+    """By the places (from 0) of tokens that stand in lists: arrays are matched as sets, in time that grows with the tokens."""
+    every = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda p: p < F.size(tokens))
+    of = lambda places: F.transform(places, lambda p: F.get(tokens, p))
+    foreign = F.filter(every, lambda p: _foreign(F.get(tokens, p)["form"]))
+    return Listed(_nouns(of(F.array_except(every, easy))), _nouns(of(F.array_sort(F.array_union(hard, foreign)))), of(F.array_sort(hard)), idioms)
+
+
 def sentence_tokens(text: Column, tokens: Column) -> Column:
     """Tokens of each sentence, shared by its characters, rounded half to even; the last takes the rest."""
-    parts, n = sentences(text), F.size(tokens)
-    chars = _sum(F.transform(parts, lambda s: F.length(s).cast("double")))
-    shares = F.transform(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), lambda s: F.bround(n * F.length(s) / chars, 0).cast("int"))
-    rest = n - F.aggregate(shares, F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(parts) == 0, F.array(n)).otherwise(F.concat(shares, F.array(rest)))
+    return F.transform(_shared(text, tokens), lambda x: x["c"])
+
+
+def _shared(text: Column, tokens: Column) -> Column:
+    """Sentences s (the whole text, if it has none) with the tokens c of each."""
+    n = F.size(tokens)
+
+    def counts(parts: Column) -> Column:
+        chars = _sum(F.transform(parts, lambda s: F.length(s).cast("double")))
+        shares = bound(chars, lambda all_: F.transform(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), lambda s: F.bround(n * F.length(s) / all_, 0).cast("int")))
+        return bound(shares, lambda x: F.concat(x, F.array(n - F.aggregate(x, F.lit(0), lambda a, y: a + y))))
+
+    whole = lambda parts: F.when(F.size(parts) == 0, F.array(stripped(text))).otherwise(parts)
+    return bound(sentences(text), lambda parts: F.zip_with(whole(parts), F.when(F.size(parts) == 0, F.array(n)).otherwise(counts(parts)), lambda s, c: F.struct(s.alias("s"), c.alias("c"))))
 
 
 def sentence_length(text: Column, tokens: Column) -> tuple[Column, Column]:
-    count = sentence_tokens(text, tokens)
-    whole = F.when(F.size(sentences(text)) == 0, F.array(stripped(text))).otherwise(sentences(text))
-    scores = F.transform(count, lambda c: linear(c.cast("double"), 15.0, 40.0))
-    each = F.filter(F.zip_with(whole, count, lambda s, c: _violation("sentence_length", F.substring(s, 1, 60), F.when(c >= 40, "high").when(c > 15, "med"))), lambda v: v["severity"].isNotNull())
-    return _sum(scores) / F.size(scores), each.cast(VIOLATION)
+    shared = _shared(text, tokens)
+    score = bound(F.transform(shared, lambda x: linear(x["c"].cast("double"), 15.0, 40.0)), lambda scores: _sum(scores) / F.size(scores))
+    long = F.filter(F.transform(shared, lambda x: _violation("sentence_length", F.substring(x["s"], 1, 60), F.when(x["c"] >= 40, "high").when(x["c"] > 15, "med"))), lambda v: v["severity"].isNotNull())
+    return score, long.cast(VIOLATION)
 
 
-def hard_word_ratio(text: Column, tokens: Column) -> tuple[Column, Column]:
-    nouns = _nouns(tokens)
-    hard = F.filter(nouns, lambda t: ~t["form"].isin(*EASY_WORDS))
+def hard_word_ratio(text: Column, tokens: Column, listed: Listed | None = None) -> tuple[Column, Column]:
+    nouns, hard = _nouns(tokens), (listed or own_lists(text, tokens)).hard
     r = F.when(F.size(nouns) > 0, _ratio(hard, nouns))
     return F.when(r.isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - r * 200)), _v("hard_word_ratio", _sample(hard, 5), "med", r >= 0.3)
 
 
-def hanja_loanword_ratio(text: Column, tokens: Column) -> tuple[Column, Column]:
-    nouns = _nouns(tokens)
-    marked = F.filter(nouns, lambda t: t["form"].isin(*HARD_TERMS) | t["form"].rlike(CJK) | t["form"].rlike("[A-Za-z]"))
+def hanja_loanword_ratio(text: Column, tokens: Column, listed: Listed | None = None) -> tuple[Column, Column]:
+    nouns, marked = _nouns(tokens), (listed or own_lists(text, tokens)).foreign
     r = F.when(F.size(nouns) > 0, _ratio(marked, nouns))
     return F.when(r.isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - r * 200)), _v("hanja_loanword_ratio", _sample(marked, 5), "med", r >= 0.4)
 
@@ -122,9 +159,9 @@ def negation_ratio(text: Column, tokens: Column) -> tuple[Column, Column]:
     return linear(F.size(hits).cast("double") / _n_sentences(text), 0.5, 2.0), _v("negation_ratio", _sample(hits, 3), "med", F.size(hits) > 0)
 
 
-def undefined_hard_term(text: Column, tokens: Column) -> tuple[Column, Column]:
+def undefined_hard_term(text: Column, tokens: Column, listed: Listed | None = None) -> tuple[Column, Column]:
     """The k-th token of a term stands at the term's k-th place in the text; from its first gloss, `term (`, on it is explained."""
-    hard = F.filter(tokens, lambda t: t["form"].isin(*HARD_TERMS))
+    hard = (listed or own_lists(text, tokens)).terms
     turn = F.transform(hard, lambda t, i: F.struct(t["form"].alias("form"), F.size(F.filter(F.slice(hard, F.lit(1), i + 1), lambda u: u["form"] == t["form"])).alias("k")))
 
     def open_term(t: Column) -> Column:
@@ -141,9 +178,9 @@ def undefined_hard_term(text: Column, tokens: Column) -> tuple[Column, Column]:
     return linear(r, 0.0, 0.3), _v("undefined_hard_term", _sample(hits, 5), "high", F.size(hits) > 0)
 
 
-def idiom(text: Column, tokens: Column) -> tuple[Column, Column]:
+def idiom(text: Column, tokens: Column, listed: Listed | None = None) -> tuple[Column, Column]:
     """Idioms in the order of the list."""
-    hits = F.filter(F.array(*map(F.lit, IDIOMS)), lambda i: F.contains(text, i))
+    hits = (listed or own_lists(text, tokens)).idioms
     each = F.transform(F.slice(hits, 1, 5), lambda h: _violation("idiom", h, F.lit("med")))
     return F.greatest(F.lit(0.0), 100 - F.size(hits) * 20.0), each.cast(VIOLATION)
 
@@ -177,19 +214,67 @@ def modifier_ttr(text: Column, tokens: Column) -> tuple[Column, Column]:
     return s, _v("modifier_ttr", F.substring(text, 1, 60), "low", ttr > 0.7)
 
 
-RULES: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {
+BY_LISTS = ("hard_word_ratio", "hanja_loanword_ratio", "undefined_hard_term", "idiom")
+RULES: dict[str, Callable[..., tuple[Column, Column]]] = {
     f.__name__: f
     for f in (sentence_length, hard_word_ratio, hanja_loanword_ratio, predicates_connectives, passive_ratio, negation_ratio, undefined_hard_term, idiom, abbrev_percent_bignum, third_person_fictional, direct_address, modifier_ttr)
 }
 
 
-def scored(docs: DataFrame, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
-    """Adds a column per rule, score (their mean), level_estimate (1 from 80, 2 from 60, else 3) and violations (rule, span, severity, suggestion)."""
+MOST_BROADCAST = 200_000  # words that all texts have in common with the lists
+
+
+def with_lists(docs: DataFrame, text_col: str, tokens_col: str, easy: DataFrame, hard: DataFrame, idioms: DataFrame, names: dict[str, str]) -> DataFrame:
+    """docs with three arrays, called names["easy"], ["hard"] and ["idioms"]: places of tokens in the list easy, in hard, and the idioms in the text, in order. Lists have a column term, and
+    idioms may have ord (else they are in the order of their characters).
+
+    The words that texts and lists have in common are found first, from forms that are combined before they are shuffled; if they are few, they go to all tasks, else the places of each form of a text
+    meet them by a merge join, of which Spark splits what very many texts share. Only places of listed tokens are gathered by text again."""
+    row = free_name("row", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "scored-rows")
+    forms = rows.select(F.explode(F.transform(tokens_col, lambda t: t["form"])).alias("form"))
+    places = rows.select(row, F.posexplode(F.transform(tokens_col, lambda t: t["form"])).alias("place", "form"))
+    lists = easy.select(F.col("term").alias("form"), F.lit(True).alias("is_easy"), F.lit(False).alias("is_hard")).unionByName(hard.select(F.col("term").alias("form"), F.lit(False).alias("is_easy"), F.lit(True).alias("is_hard")))
+    lists = lists.groupBy("form").agg(F.max("is_easy").alias("is_easy"), F.max("is_hard").alias("is_hard"))
+    common = written(lists.join(forms.select("form").distinct(), "form"), "scored-words")
+    if few(common, MOST_BROADCAST):
+        met = places.join(F.broadcast(common), "form").withColumn("places", F.array("place"))
+    else:
+        met = places.groupBy(row, "form").agg(F.collect_list("place").alias("places")).join(common.hint("merge"), "form")
+    in_list = lambda c: F.flatten(F.collect_list(F.when(F.col(c), F.col("places"))))
+    words = met.groupBy(row).agg(in_list("is_easy").alias(names["easy"]), in_list("is_hard").alias(names["hard"]))
+    turn = (F.col("ord") if "ord" in idioms.columns else F.lit(0)).alias("ord")
+    listed = idioms.select(F.col("term").alias("pattern"), turn).groupBy("pattern").agg(F.min("ord").alias("ord"))
+    hits = patterns.occurrences(rows.select(row, F.col(text_col).alias("text")), listed).select(row, "pattern").distinct()
+    hits = hits.join(listed, "pattern").groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pattern"))), lambda x: x["pattern"]).alias(names["idioms"]))
+    out = rows.join(words, row, "left").join(hits, row, "left")
+    kinds = {"easy": "array<int>", "hard": "array<int>", "idioms": "array<string>"}
+    return out.select(*docs.columns, *(F.coalesce(F.col(names[k]), F.array().cast(v)).alias(names[k]) for k, v in kinds.items()))
+
+
+def scored(docs: DataFrame, text_col: str = "text", tokens_col: str = "tokens", easy: DataFrame | None = None, hard: DataFrame | None = None, idioms: DataFrame | None = None) -> DataFrame:
+    """Adds a column per rule, score (their mean), level_estimate (1 from 80, 2 from 60, else 3) and violations (rule, span, severity, suggestion).
+
+    easy, hard, idioms: tables of words of any size (column term), for the short lists of this package; what is not given stays as it is there."""
+    lists = {"easy": easy, "hard": hard, "idioms": idioms}
+    given = any(x is not None for x in lists.values())
+    names = {k: free_name(f"rules_{k}", docs.columns) for k in lists}
     results = (*RULES, "violations", "score", "level_estimate")
     kept = [c for c in docs.columns if c.lower() not in results]
     text, tokens, result = (free_name(c, docs.columns) for c in ("rules_text", "rules_tokens", "rules_result"))
+    if given:
+        own = {"easy": EASY_WORDS, "hard": HARD_TERMS, "idioms": IDIOMS}
+        table = lambda k: docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(own[k])], "term string, ord int") if lists[k] is None else lists[k]
+        docs = with_lists(docs, text_col, tokens_col, *(table(k) for k in lists), names)
     out = computed(docs, {text: F.coalesce(F.col(text_col).cast("string"), F.lit("")), tokens: F.coalesce(F.col(tokens_col), F.array().cast(TOKENS))})
-    made = {name: rule(F.col(text), F.col(tokens)) for name, rule in RULES.items()}
+    t, k = F.col(text), F.col(tokens)
+    listed = own_lists(t, k)
+    if given:
+        found = at_places(k, *(F.col(names[x]) for x in ("easy", "hard", "idioms")))
+        words = free_name("rules_listed", out.columns)
+        out = computed(out, {words: F.struct(*(v.alias(x) for x, v in vars(found).items()))})
+        listed = Listed(*(F.col(words)[x] for x in vars(found)))
+    made = {name: rule(t, k, listed) if name in BY_LISTS else rule(t, k) for name, rule in RULES.items()}
     out = computed(out, {result: F.struct(*(v[0].cast("double").alias(k) for k, v in made.items()), F.concat(*(v[1] for v in made.values())).alias("violations"))})
     score = sum((F.col(result)[k] for k in made), F.lit(0.0)) / len(made)
     out = out.select(*kept, *(F.col(result)[k].alias(k) for k in (*made, "violations")), score.alias("score"))

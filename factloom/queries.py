@@ -337,6 +337,22 @@ def readability_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_pairs", *(F.round(c, 6).alias(c) for c in out.columns if c != "n_pairs"))
 
 
+def _words(rows: DataFrame, text: str) -> DataFrame:
+    return rows.select(F.explode(F.split(text, "[ \n]+")).alias("term")).where("term <> ''").distinct()
+
+
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by lists that come as tables: easy are the benchmark's words, hard one in 256 of them, idioms the first characters of its texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = F.transform(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), lambda w: F.struct(w.alias("form"), F.lit("NNG").alias("tag")))
+    benchmark = table(spark, sf_dir, "benchmark")
+    easy = _words(benchmark, "text")
+    hard = easy.where(F.substring(F.md5("term"), 1, 2) == "00")
+    idioms = benchmark.select(F.substring("text", 1, 12).alias("term"))
+    out = rules.scored(docs.withColumn("tokens", tokens), easy=easy, hard=hard, idioms=idioms)
+    return out.select("doc_id", F.round("hard_word_ratio", 6).alias("hard_word_ratio"), F.round("hanja_loanword_ratio", 6).alias("hanja_loanword_ratio"), F.round("idiom", 6).alias("idiom"))
+
+
 # licences
 
 LICENCES = (
@@ -516,6 +532,24 @@ SELECT doc_id, count(*) AS n_hits, count(DISTINCT pattern) AS n_patterns, min(po
 """
 
 
+_WORD_LISTS = r"""
+WITH e AS (
+  SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS term FROM benchmark) WHERE term <> ''
+), w AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS term FROM documents
+), m AS (
+  SELECT doc_id, count(*) AS nouns, count(*) FILTER (WHERE e.term IS NULL) AS hard,
+    count(*) FILTER (WHERE substr(md5(e.term), 1, 2) = '00' OR regexp_matches(w.term, '[A-Za-z\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{2e80}-\x{2eff}\x{2f00}-\x{2fdf}]')) AS foreign_
+  FROM w LEFT JOIN e USING (term) WHERE w.term <> '' GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n FROM documents, (SELECT DISTINCT substr(text, 1, 12) AS term FROM benchmark) WHERE term <> '' AND contains(text, term) GROUP BY doc_id
+)
+SELECT d.doc_id, round(CAST(coalesce(greatest(0, 100 - CAST(hard AS DOUBLE) / nouns * 200), 100) AS DOUBLE), 6) AS hard_word_ratio,
+  round(CAST(coalesce(greatest(0, 100 - CAST(foreign_ AS DOUBLE) / nouns * 200), 100) AS DOUBLE), 6) AS hanja_loanword_ratio, CAST(greatest(0, 100 - 20 * coalesce(i.n, 0)) AS DOUBLE) AS idiom
+FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
 def _half_even(x: str) -> str:
     """A double to one decimal by its decimal digits, halves to the even one."""
     q = f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(30, 18)) * 10"
@@ -634,6 +668,7 @@ def _sql() -> dict[str, str]:
         "picture_leaks": f"""WITH f AS (SELECT ({list(PICTURE_FOLDERS)})[p_partkey % {len(PICTURE_FOLDERS)} + 1] AS folder, p_partkey AS k FROM part)
           SELECT folder || k || CASE WHEN k % 3 = 0 THEN '.PNG' ELSE '.md' END AS path FROM f WHERE folder <> 'build/' AND CASE WHEN k % 3 = 0 THEN folder <> 'assets/' ELSE k % 2 = 0 AND folder IN ('factloom/', 'corpus/x/', '') END""",
         "secret_blocks": _secret_at_sql(),
+        "word_lists": _WORD_LISTS,
         "phrase_hits": _PHRASES,
         "phrase_hits_joined": _PHRASES,
         "asset_findings": f"""{_ASSETS} UNION ALL SELECT 'missing-license', 'assets/pictograms/set' || k % 50 FROM ({_TREE}) WHERE k % 8 = 4 AND k % 50 IN (SELECT p_partkey % 60 FROM part) GROUP BY k % 50 HAVING bool_and(k % 3 <> 0)""",
@@ -651,7 +686,7 @@ def _sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     # the names under which the benches over every order were first registered
