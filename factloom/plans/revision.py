@@ -95,12 +95,18 @@ def answers_of(answers: DataFrame, key: str) -> Answers:
     return lambda docs, attempt: docs.select(key).join(answers.where(F.col("attempt") == attempt).select(key, "response"), key)
 
 
+def prompts_of(docs: DataFrame, attempt: int, key: str, level: str = "easy") -> tuple[DataFrame, str]:
+    """key and prompt of a round, and what the model is told beside it: the source is rewritten first, then the last text with what failed."""
+    prompt = generate_prompt(F.col("source_text"), level) if attempt == 0 else revise_prompt(F.col("source_text"), F.col("easy_text"), F.col("failed"), level, F.col("violations") if "violations" in docs.columns else None)
+    return docs.select(key, prompt.alias("prompt")), GENERATE_SYSTEM if attempt == 0 else REVISE_SYSTEM
+
+
 def answers_by(provider: Callable[[], Provider], key: str, level: str = "easy") -> Answers:
     """Answers of a language model to the prompts: of the source first, then of the last text with what failed."""
 
     def of(docs: DataFrame, attempt: int) -> DataFrame:
-        prompt = generate_prompt(F.col("source_text"), level) if attempt == 0 else revise_prompt(F.col("source_text"), F.col("easy_text"), F.col("failed"), level, F.col("violations") if "violations" in docs.columns else None)
-        return asked(docs.select(key, prompt.alias("prompt")), provider, system=GENERATE_SYSTEM if attempt == 0 else REVISE_SYSTEM).select(key, "response")
+        prompts, system = prompts_of(docs, attempt, key, level)
+        return asked(prompts, provider, system=system).select(key, "response")
 
     return of
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from factloom.functions import normalize
 from factloom.functions.html import page
 from factloom.functions.text import computed, sentences
-from factloom.operators import audit, distort, gate, patterns, pictograms, rules, segment
-from factloom.plans import annotation, notices, revision
+from factloom.operators import audit, distort, gate, patterns, pictograms, rules, segment, temporal
+from factloom.plans import annotation, notices, revision, revision_stream
 from factloom.sources import trees
+from factloom.sources.shared import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,8 +260,8 @@ def pictogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 PICTOGRAM_TAILS = ("계약 약을 드세요", "예약 안내", "약 드세요", "요약 건강보험")
 
 
-def revise_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first answer is the distorted text; the correct one comes after as many revisions as the order's key modulo 5 says."""
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and answers to them: the first is the distorted text; the correct one comes after as many revisions as the order's key modulo 5 says."""
     p = _pairs(spark, sf_dir)
     good = notices.pairs(table(spark, sf_dir, "orders").withColumn("o_orderkey", F.col("o_orderkey") * notices.CASES)).select((F.col("o_orderkey") / notices.CASES).cast("long").alias("o_orderkey"), F.col("easy_text").alias("good"))
     said = p.select("o_orderkey", "easy_text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
@@ -268,10 +269,59 @@ def revise_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the texts of `good` are those of other keys: their telephone is put right
     said = said.join(good, "o_orderkey").withColumn("good", F.regexp_replace("good", r"031-\d{4}-", phone))
     answers = said.select("o_orderkey", "attempt", F.when(F.col("attempt") > F.col("o_orderkey") % 5, F.col("good")).otherwise(F.col("easy_text")).alias("response"))
-    out = revision.revised(p, answers, gate.verified, "o_orderkey")
+    return p, answers
+
+
+def revise_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revision.revised(*_answers(spark, sf_dir), gate.verified, "o_orderkey")
     return out.select("o_orderkey", "verdict", F.col("revisions").cast("long").alias("revisions"))
 
 
+def revise_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the revision loop, from answers that come as a stream of files, last attempts first."""
+    p, answers = _answers(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1704067200) - F.col("attempt") * 60)
+    rows = answers.join(p.select("o_orderkey", "source_text", "ref_date"), "o_orderkey").withColumn("at", at)
+    rows = written(rows.select("o_orderkey", "source_text", "ref_date", "attempt", "response", "at"), "revise-answers")
+    source, out = rows.inputFiles()[0].rpartition("/")[0], new_folder(spark, "revise-stream")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, revision_stream.ROCKSDB)
+    try:
+        stream = revision_stream.revised_stream(spark.readStream.schema(rows.schema).parquet(source), gate.verified, "o_orderkey")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "revise-state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    done = spark.read.schema(stream.schema).parquet(out)
+    return done.select("o_orderkey", "verdict", F.col("revisions").cast("long").alias("revisions"))
+
+
+# times
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders at moments that follow from their keys, and events; key 0 has about half of both."""
+    some = lambda c: F.when(c % 2 == 0, F.lit(0).cast("long")).otherwise(c % 19)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", some(F.col("o_custkey")).alias("k"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, o_orderkey * 37 % 3000000)").alias("t"))
+    return orders, table(spark, sf_dir, "events").select("event_id", some(F.col("user_id")).alias("k"), "ts", "value")
+
+
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order the latest event of its key, -1 where there is none."""
+    orders, events = _moments(spark, sf_dir)
+    return temporal.asof_join(orders, events, ["k"], "t", "ts").select("o_orderkey", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+def overlapping_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order: how many events' periods its own overlaps, and which; both have many short and few long ones."""
+    orders, events = _moments(spark, sf_dir)
+    orders = orders.withColumn("until", F.expr("t + make_dt_interval(0, 0, 0, pow(o_orderkey % 11, 3) * if(o_orderkey % 997 = 0, 2000, 1))"))
+    events = events.drop("value").withColumn("end", F.expr("ts + make_dt_interval(0, 0, 0, event_id % 60 * if(event_id % 991 = 0, 3000, 1))"))
+    pairs = temporal.overlaps(orders, events, ["k"], ("t", "until"), ("ts", "end"))
+    return pairs.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"), F.min("event_id").alias("first_event"))
+
+
 def _violations() -> Column:
     """Two violations of readability rules."""
     made = (("abbrev_percent_bignum", F.concat(F.lit("<"), F.col("o_orderkey").cast("string"), F.lit("> & 'x'")), "med"), ("direct_address", F.lit("(없음)"), "low"))
@@ -575,8 +625,18 @@ def _annotation_sql() -> str:
       FROM t JOIN a USING (o_orderkey) JOIN b USING (o_orderkey)"""
 
 
+_MOMENTS = """
+WITH o AS (
+  SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_custkey % 19 END AS k, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 37 % 3000000) AS t FROM orders
+), e AS (
+  SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id % 19 END AS k, ts, value FROM events
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = _sql()
+    found["revise_stream"] = found["revise_loop"]
     return found | {f"{k}_all": found[k] for k in ("distortion_bench_by_type", "distortion_bench_overall")}
 
 
@@ -668,6 +728,11 @@ def _sql() -> dict[str, str]:
         "picture_leaks": f"""WITH f AS (SELECT ({list(PICTURE_FOLDERS)})[p_partkey % {len(PICTURE_FOLDERS)} + 1] AS folder, p_partkey AS k FROM part)
           SELECT folder || k || CASE WHEN k % 3 = 0 THEN '.PNG' ELSE '.md' END AS path FROM f WHERE folder <> 'build/' AND CASE WHEN k % 3 = 0 THEN folder <> 'assets/' ELSE k % 2 = 0 AND folder IN ('factloom/', 'corpus/x/', '') END""",
         "secret_blocks": _secret_at_sql(),
+        "asof_events": _MOMENTS + "SELECT o_orderkey, coalesce(event_id, -1) AS event_id, coalesce(value, -1) AS value FROM o ASOF LEFT JOIN e ON o.k = e.k AND o.t >= e.ts",
+        "overlapping_periods": _MOMENTS
+        + """, p AS (SELECT o_orderkey, k, t, t + to_seconds(CAST(pow(o_orderkey % 11, 3) AS BIGINT) * CASE WHEN o_orderkey % 997 = 0 THEN 2000 ELSE 1 END) AS until FROM o),
+          q AS (SELECT event_id, k, ts, ts + to_seconds(event_id % 60 * CASE WHEN event_id % 991 = 0 THEN 3000 ELSE 1 END) AS stop FROM e)
+          SELECT o_orderkey, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, min(event_id) AS first_event FROM p JOIN q ON p.k = q.k AND t <= stop AND ts <= until GROUP BY o_orderkey""",
         "word_lists": _WORD_LISTS,
         "phrase_hits": _PHRASES,
         "phrase_hits_joined": _PHRASES,
@@ -686,7 +751,7 @@ def _sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, revise_stream, asof_events, overlapping_periods, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     # the names under which the benches over every order were first registered
