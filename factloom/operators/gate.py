@@ -138,18 +138,27 @@ def negation_flags(source: Column, easy: Column) -> Column:
     return F.when(source.rlike("(?U)" + "|".join(NEGATIONS)), out).otherwise(F.array().cast("array<string>"))
 
 
-def verified(pairs: DataFrame, rounding_allowed: tuple[str, ...] = (), criticality: Mapping[str, str] | None = None) -> DataFrame:
-    """pairs: source_text, easy_text, ref_date, and optionally confidence (lowest of the source's blocks).
+def with_facts(sources: DataFrame, name: str = "source_slots", criticality: Mapping[str, str] | None = None) -> DataFrame:
+    """sources (source_text, ref_date) with their facts, for verified(facts=name): a source with many easy texts is read for them once, before its rows are multiplied."""
+    text, day = (free_name(c, sources.columns) for c in ("facts_source", "facts_ref"))
+    kept = [c for c in sources.columns if c != name]
+    out = computed(sources, {text: F.coalesce(F.col("source_text").cast("string"), F.lit("")), day: F.col("ref_date").cast("date")})
+    return computed(out, {free_name("facts_found", out.columns): F.struct(slots(F.col(text), F.col(day), criticality=criticality).alias("x"))}).select(*kept, F.col(free_name("facts_found", out.columns))["x"].alias(name))
+
+
+def verified(pairs: DataFrame, rounding_allowed: tuple[str, ...] = (), criticality: Mapping[str, str] | None = None, facts: str | None = None) -> DataFrame:
+    """pairs: source_text, easy_text, ref_date, and optionally confidence (lowest of the source's blocks). facts: a column of with_facts, if the sources have one; it is not part of the result.
 
     Adds slots, failed (slots that did not survive), drift_flags (a text for each change of meaning), date_flips, scope_flips and negation_flips (their numbers),
     verdict. The texts are computed once, whatever expressions they come from."""
-    kept = [c for c in pairs.columns if c.lower() not in RESULTS]
+    kept = [c for c in pairs.columns if c.lower() not in RESULTS and c != facts]
+    found_before = [] if facts is None else [facts]
     names = {k: free_name(f"gate_{k}", pairs.columns) for k in ("source", "easy", "ref", "facts", "doubt")}
     source, easy, ref, e = (F.col(names[k]) for k in ("source", "easy", "ref", "facts"))
     doubt = F.coalesce(F.col("confidence") < 0.5, F.lit(False)) if "confidence" in pairs.columns else F.lit(False)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    out = computed(pairs.select(*kept, *(F.col(c) for c in ("source_text", "easy_text", "ref_date") if c not in kept)), {names["source"]: text("source_text"), names["easy"]: text("easy_text"), names["ref"]: F.col("ref_date").cast("date"), names["doubt"]: doubt})
-    out = computed(out, {"slots": slots(source, ref, criticality=criticality)})
+    out = computed(pairs.select(*kept, *found_before, *(F.col(c) for c in ("source_text", "easy_text", "ref_date") if c not in kept)), {names["source"]: text("source_text"), names["easy"]: text("easy_text"), names["ref"]: F.col("ref_date").cast("date"), names["doubt"]: doubt})
+    out = computed(out, {"slots": slots(source, ref, criticality=criticality)}) if facts is None else out.withColumnRenamed(facts, "slots")
     high = F.filter("slots", lambda s: s["criticality"] == "high")
     dates = F.transform(F.filter("slots", lambda s: s["type"] == "date"), lambda s: F.substring_index(s["value"], "|", 1))
     flex = F.arrays_zip(*(found(easy, DATE_FLEX, i).alias(c) for i, c in ((1, "y"), (2, "m"), (3, "d"), (4, "q"))))
