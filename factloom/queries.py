@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import normalize
 from factloom.functions.html import page
 from factloom.functions.text import computed, sentences
-from factloom.operators import audit, distort, gate, patterns, pictograms, rules, segment, temporal
+from factloom.operators import audit, distort, gate, patterns, pictograms, rules, segment, sessions, summaries, temporal
 from factloom.plans import annotation, notices, revision, revision_stream
 from factloom.sources import trees
 from factloom.sources.shared import new_folder, written
@@ -326,6 +326,23 @@ def overlapping_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"), F.min("event_id").alias("first_event"))
 
 
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users, with pauses of at most six hours."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions.sessions(events, "user_id", "ts", "6 hours", {"errors": F.count_if(F.col("event_type") == "error"), "total": F.round(F.sum("value"), 2)})
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("finish").cast("timestamp_ntz").alias("finish"), "n_events", "errors", "total")
+
+
+def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of notices by verdict, year and month, with all subtotals; whether each median has a rank near the middle."""
+    judged = _judged(spark, sf_dir).select("o_orderkey", "verdict")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("amount"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    by = ["verdict", "year", "month"]
+    out = summaries.quantiles(summaries.totals(summaries.cells(judged.join(rows, "o_orderkey"), by, "amount"), by), {"median": 0.5})
+    near = (F.col("median") >= F.col("least")) & (F.col("median") <= F.col("most"))
+    return out.select(*(F.coalesce(F.col(c).cast("string"), F.lit("*")).alias(c) for c in by), "level", "n", F.col("total").cast("long").alias("total"), "least", "most", near.alias("median_within"))
+
+
 def _violations() -> Column:
     """Two violations of readability rules."""
     made = (("abbrev_percent_bignum", F.concat(F.lit("<"), F.col("o_orderkey").cast("string"), F.lit("> & 'x'")), "med"), ("direct_address", F.lit("(없음)"), "low"))
@@ -737,6 +754,11 @@ def _sql() -> dict[str, str]:
         + """, p AS (SELECT o_orderkey, k, t, t + to_seconds(CAST(pow(o_orderkey % 11, 3) AS BIGINT) * CASE WHEN o_orderkey % 997 = 0 THEN 2000 ELSE 1 END) AS until FROM o),
           q AS (SELECT event_id, k, ts, ts + to_seconds(event_id % 60 * CASE WHEN event_id % 991 = 0 THEN 3000 ELSE 1 END) AS stop FROM e)
           SELECT o_orderkey, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, min(event_id) AS first_event FROM p JOIN q ON p.k = q.k AND t <= stop AND ts <= until GROUP BY o_orderkey""",
+        "event_sessions": """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+          s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
+          SELECT user_id, min(ts) AS start, max(ts) AS finish, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 2) AS total FROM s GROUP BY user_id, session""",
+        "verdict_summary": f"""SELECT coalesce(verdict, '*') AS verdict, coalesce(CAST(y AS VARCHAR), '*') AS year, coalesce(CAST(m AS VARCHAR), '*') AS month, CAST(grouping_id(verdict, y, m) AS INTEGER) AS level, count(*) AS n,
+          CAST(sum(amount) AS BIGINT) AS total, CAST(min(amount) AS DOUBLE) AS least, CAST(max(amount) AS DOUBLE) AS most, true AS median_within FROM ({j}) GROUP BY CUBE (verdict, y, m)""",
         "word_lists": _WORD_LISTS,
         "phrase_hits": _PHRASES,
         "phrase_hits_joined": _PHRASES,
@@ -755,7 +777,7 @@ def _sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
-        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, revise_stream, asof_events, overlapping_periods, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, revise_stream, asof_events, overlapping_periods, event_sessions, verdict_summary, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     # the names under which the benches over every order were first registered
