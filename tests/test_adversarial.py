@@ -230,3 +230,10 @@ def test_notes_of_licences(spark):
 def test_strings(spark):
     row = spark.range(1).select(text.stripped(F.lit("　\t가 나 \n")).alias("s"), text.ascii_digits(F.lit("７٣x9")).alias("d"), text.matches(F.lit("a1bb22a1"), "[ab]+\\d").alias("m")).first()
     assert (row.s, row.d, [(m.at, m.span) for m in row.m]) == ("가 나", "73x9", [(0, "a1"), (2, "bb2"), (6, "a1")])
+
+
+def test_days_far_ahead(spark):
+    day = datetime.date(2026, 7, 1)
+    spans = ["0000007일 후", "2912000일 이내", "9999999일 후", "99999999999999999999일 후", "D-10"]
+    got = [r.x for r in spark.createDataFrame([(s, day) for s in spans], "s string, d date").select(normalize.date_iso(F.col("s"), F.col("d")).alias("x")).collect()]
+    assert got == ["2026-07-08", str(day + datetime.timedelta(days=2912000)), None, None, "2026-07-11"]
