@@ -75,20 +75,19 @@ def rows():
 
 def test_agrees_with_a_tree_in_memory(spark):
     same(got(spark, rows()), expected(rows()))
-    same(got(spark, rows(), fan=2), expected(rows(), fan=2))
 
 
 def test_small_tables(spark):
     some = [(i, f"s{n}", "l", i, f"t{i}\n") for n in (1, 2, 3, 4, 9, 10) for i in range(n)]
     same(got(spark, some), expected(some))
-    for some in ([(1, "s", "l", 1, "t\n")], [(i, "s", "l", i, None) for i in range(4)]):
-        same(got(spark, some), expected(some))
+    some = [(1, "s", "l", 1, "t\n")]
+    same(got(spark, some), expected(some))
     assert got(spark, []) == []
 
 
 def test_levels_beyond_the_small_ones_meet_by_merging(spark, monkeypatch):
     monkeypatch.setattr(merkle, "SMALL_LEVEL", 0)
-    same(got(spark, rows()), expected(rows()))
+    same(got(spark, rows(), fan=2), expected(rows(), fan=2))
 
 
 def test_every_proof_leads_to_the_root_and_no_other_leaf_does(spark):
@@ -97,5 +96,4 @@ def test_every_proof_leads_to_the_root_and_no_other_leaf_does(spark):
     p = merkle.proofs(made)
     assert p.where(merkle.folded(F.col("leaf"), F.col("path")) != made.root).count() == 0
     assert p.where(merkle.folded(F.sha2(F.col("leaf"), 256), F.col("path")) == made.root).count() == 0
-    again = merkle.build(docs.repartition(7))
-    assert again.root == made.root
+    assert made.root == expected(rows())[0][3]
