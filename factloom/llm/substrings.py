@@ -10,8 +10,9 @@ in a document with a smaller id; windows are judged on the input.
    settles nothing. Values that classes of one portion of a task share are known there: their owners go on at once, and the value's bucket gets one owner a portion, so a
    passage that all documents have is no large bucket.
 3. Runs of windows that are left and have the same smallest shingle are segments; the shingle picks the shard, so equal windows meet. Of equal
-   segments one is indexed, with its smallest id, so a passage with equal neighbours counts once however many have it. Each shard builds an FM-index (wavelet matrix) and streams its segments
-   through backward search. Matching statistics decide: where they reach n, the suffix interval holds all places of the window in the shard, and the smallest id of the interval is reported.
+   segments one goes on, with its smallest id, so a passage with equal neighbours counts once however many have it. Within a shard, segments of earlier documents are indexed (an FM-index over a wavelet
+   matrix) and those of later ones stream through it, in as many rounds as the largest group of one shingle needs to be halved (see rounds); no segment meets itself. Matching statistics decide:
+   where they reach n, the suffix interval holds all places of the window in the index, and the smallest id of the interval is reported; where they stop short, the round finds nothing.
 4. Segments go back to their documents and become intervals of words.
 
 Words `[^\\x20\\x09-\\x0D]+`, unchanged. Null, empty or short texts lose nothing. Rows without an id lose nothing and count for no other;
@@ -179,31 +180,72 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("row", "doc_id", "text", "windows").mapInArrow(cut, "anchor long, row long, doc_id long, start long, body string")
 
 
+def _laid(words: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the rows `of`: their places in words, where they stand in a text in which a place follows each row, and where each row's first one is (and one past the last word)."""
+    count = words.count[of]
+    first = np.concatenate([[0], np.cumsum(count)])
+    row = np.repeat(np.arange(len(of)), count)
+    return np.arange(first[-1]) - first[row] + words.first[of][row], np.arange(first[-1]) + row, first
+
+
+def rounds(anchor: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which segments are indexed and which are streamed, round by round.
+
+    Segments of one anchor are ranked by id. In the round of a bit, blocks of ranks that agree in all higher bits are halved: the lower half (the bit is 0) is indexed, the upper one streamed. Of two
+    ranks the larger is streamed, once, while the smaller is indexed: at the highest bit in which they differ. A segment is never streamed through an index that holds it."""
+    order = np.lexsort((doc, anchor))
+    new = np.append(True, anchor[order][1:] != anchor[order][:-1])[: len(order)]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(order)))
+    rank, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank[order], size[order] = np.arange(len(order)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    for bit in range(int(sizes.max(initial=1) - 1).bit_length()):
+        upper = (rank >> bit & 1).astype(bool)
+        yield np.flatnonzero(~upper & ((rank >> bit | 1) << bit < size)), np.flatnonzero(upper)
+
+
+def streamed(indexed: tuple[np.ndarray, np.ndarray], passing: np.ndarray, ends: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """indexed: words (hashes) and their places in the indexed text, ids the owner of each of its places; passing: the words of the streamed text, 0 between its rows.
+
+    The matching statistics of the streamed ends, and the smallest owner of each window that reaches the threshold (else the largest number there is)."""
+    symbols, inverse = np.unique(indexed[0], return_inverse=True)
+    text = np.zeros(len(ids), np.int64)
+    text[indexed[1]] = inverse + 1
+    index = FMIndex(text, window)
+    at = np.minimum(np.searchsorted(symbols, passing), len(symbols) - 1)
+    size, low, high = index.matching(np.where(symbols[at] == passing, at + 1, len(symbols) + 1), ends, window)
+    least = np.full(len(ends), np.iinfo(np.int64).max)
+    found = np.flatnonzero(size >= window)
+    if len(found):
+        # intervals of whole windows are disjoint or equal
+        lows, which = np.unique(low[found], return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[which] = high[found]
+        owners = ids[index.order]
+        least[found] = np.minimum.reduceat(np.append(owners, owners[-1:]), np.stack([lows, highs], 1).ravel())[::2][which]
+    return size, least
+
+
 def earliest(distinct: DataFrame, window: int) -> DataFrame:
-    """distinct: shard, key, key2, body, doc_id (smallest that has the segment). For each segment the smallest id that has each of its windows: key, key2, least."""
+    """distinct: shard, anchor, key, key2, body, doc_id (smallest that has the segment). For each segment the smallest id that has each of its windows: key, key2, least."""
 
     def search(shard: pa.Table) -> pa.Table:
         words = Words(shard.column("body").combine_chunks())
-        symbols, inverse = np.unique(words.hash, return_inverse=True)
-        # each segment's symbols, then a 0
-        at = np.arange(len(words.hash)) + words.row
-        text = np.zeros(len(words.hash) + words.rows, np.int64)
-        text[at] = inverse + 1
-        owner = np.repeat(shard.column("doc_id").to_numpy(), words.count + 1)
-        index = FMIndex(text, window)
+        doc, anchor = (shard.column(c).to_numpy() for c in ("doc_id", "anchor"))
         starts, rows = within(words.first, window)
-        size, low, high = index.matching(text, at[starts] + window, window)
-        # where the matching statistics reach the window, the interval holds its places; such intervals are disjoint: the smallest id of each
-        found = np.flatnonzero(size >= window)
-        ids = owner[index.order]
-        lows, where = np.unique(low[found], return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[where] = high[found]
-        edges = np.stack([lows, highs], 1).ravel()
-        least = np.full(len(starts), np.iinfo(np.int64).max)
-        if len(lows):
-            least[found] = np.minimum.reduceat(np.append(ids, ids[-1:]), edges)[::2][where]
         cuts = np.searchsorted(rows, np.arange(words.rows + 1))
+        least = doc[rows]
+        for low, up in rounds(anchor, doc):
+            (a, text, _), (b, passing, first) = _laid(words, low), _laid(words, up)
+            ids = np.repeat(doc[low], words.count[low] + 1)
+            between = np.zeros(len(b) + len(up), np.uint64)
+            between[passing] = words.hash[b]
+            begin, _ = within(first, window)
+            upper = np.zeros(words.rows, bool)
+            upper[up] = True
+            mine = np.flatnonzero(upper[rows])
+            _, other = streamed((words.hash[a], text), between, passing[begin] + window, ids, window)
+            least[mine] = np.minimum(least[mine], other)
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(least, pa.int64()))
         return pa.table([shard.column("key"), shard.column("key2"), lists], names=["key", "key2", "least"])
 

@@ -210,6 +210,35 @@ def test_the_index_decides_whatever_the_screens_let_through(docs, monkeypatch):
     assert removed(docs) == removals(ROWS)
 
 
+def test_of_two_segments_of_a_shingle_the_later_streams_through_the_earlier_once():
+    rng = np.random.default_rng(5)
+    anchor, doc = rng.integers(0, 12, 150), rng.integers(0, 90, 150)
+    anchor[:70] = 3
+    met = collections.Counter((int(a), int(b)) for low, up in substrings.rounds(anchor, doc) for a in low for b in up if anchor[a] == anchor[b] and doc[a] < doc[b])
+    assert all(met[i, j] >= 1 for i in range(150) for j in range(150) if anchor[i] == anchor[j] and doc[i] < doc[j])
+    for low, up in substrings.rounds(anchor, doc):
+        assert not set(low.tolist()) & set(up.tolist())
+    assert len(list(substrings.rounds(anchor, doc))) == 7  # 70 to 128 of one shingle
+    assert not list(substrings.rounds(np.arange(5), np.arange(5))) and not list(substrings.rounds(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def test_matching_statistics_of_streamed_segments_stop_short_of_the_threshold():
+    rng = np.random.default_rng(9)
+    rows = [rng.integers(1, 4, n) for n in (40, 25, 60)]
+    indexed = np.concatenate([np.append(r, 0) for r in rows]).astype(np.uint64)
+    ids = np.repeat([8, 2, 5], [41, 26, 61])
+    at = np.flatnonzero(indexed)
+    passing = np.concatenate([rng.integers(1, 5, 50), rows[0][3:20], rng.integers(1, 5, 9), rows[2][:9]]).astype(np.uint64)
+    ends = np.arange(6, len(passing) + 1)
+    size, least = substrings.streamed((indexed[at], at), passing, ends, ids, 6)
+    parts = [r.tolist() for r in rows]
+    holds = lambda p: [i for r, i in zip(parts, (8, 2, 5), strict=True) if any(r[k : k + len(p)] == p for k in range(len(r) - len(p) + 1))]
+    for e, n, m in zip(ends.tolist(), size.tolist(), least.tolist(), strict=True):
+        assert n == max(j for j in range(7) if j == 0 or holds(passing[e - j : e].tolist()))
+        assert m == (min(holds(passing[e - 6 : e].tolist())) if n == 6 else np.iinfo(np.int64).max)
+    assert 0 < (size < 6).sum() < len(size)
+
+
 def test_fm_index_matching_statistics():
     rng = np.random.default_rng(7)
     text = np.concatenate([np.append(rng.integers(1, 5, n), 0) for n in (30, 1, 50)])
