@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import normalize
 from factloom.functions.html import page
 from factloom.functions.text import computed, sentences
-from factloom.operators import audit, distort, gate, patterns, pictograms, rules, segment, sessions, summaries, temporal
+from factloom.operators import audit, distort, fact_tables, gate, patterns, pictograms, rules, segment, sessions, summaries, temporal
 from factloom.plans import annotation, notices, revision, revision_stream
 from factloom.sources import trees
 from factloom.sources.shared import new_folder, written
@@ -147,6 +147,15 @@ def fidelity_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("o_orderkey", "verdict", F.size("failed").cast("long").alias("n_failed"), F.size("slots").cast("long").alias("n_slots"))
 
 
+def fact_table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's notice with three easy texts: its own case, one with a weakened day and one without fault. Facts are tables, and each source is read once."""
+    orders = table(spark, sf_dir, "orders")
+    easies = [notices.pairs(orders, case).select((F.col("o_orderkey") * 3 + i).alias("easy_id"), F.col("o_orderkey").alias("source_id"), "easy_text") for i, case in enumerate((None, 3, 0))]
+    sources = notices.pairs(orders).select(F.col("o_orderkey").alias("source_id"), "source_text", "ref_date")
+    out = fact_tables.judged(sources, easies[0].union(easies[1]).union(easies[2]))
+    return out.select("easy_id", "source_id", "verdict", "n_facts", F.size("failed").cast("long").alias("n_failed"), "date_flips", "scope_flips", "negation_flips")
+
+
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
@@ -714,6 +723,9 @@ def _sql() -> dict[str, str]:
         "slot_survival_failures": _FAILED,
         "meaning_flips": f"SELECT o_orderkey, CAST(c = 3 AS BIGINT) AS date_flips, CAST(c IN (5, 6) AS BIGINT) AS scope_flips, CAST(c = 4 AS BIGINT) AS negation_flips FROM ({_F}) WHERE c IN (3, 4, 5, 6)",
         "fidelity_verdicts": f"SELECT o_orderkey, verdict, CAST(c IN (1, 2, 4, 7, 9, 10) AS BIGINT) AS n_failed, CAST(10 AS BIGINT) AS n_slots FROM ({j})",
+        "fact_table_verdicts": f"""WITH e AS (SELECT o_orderkey, v, CASE v WHEN 0 THEN c WHEN 1 THEN 3 ELSE 0 END AS c FROM ({_F}), (VALUES (0), (1), (2)) t(v))
+          SELECT CAST(o_orderkey * 3 + v AS BIGINT) AS easy_id, CAST(o_orderkey AS BIGINT) AS source_id, CASE WHEN c IN (0, 8, 11) THEN 'pass' WHEN c IN (3, 4, 5, 6, 7) THEN 'human_review' ELSE 'revise' END AS verdict, CAST(10 AS BIGINT) AS n_facts,
+            CAST(c IN (1, 2, 4, 7, 9, 10) AS BIGINT) AS n_failed, CAST(c = 3 AS BIGINT) AS date_flips, CAST(c IN (5, 6) AS BIGINT) AS scope_flips, CAST(c = 4 AS BIGINT) AS negation_flips FROM e""",
         "verdict_counts": f"SELECT verdict, count(*) AS n FROM ({j}) GROUP BY verdict",
         "annotated_pairs": f"""SELECT o_orderkey, c <> 9 AS numbers, c <> 2 AS dates, c <> 1 AS amounts, true AS deadlines, c <> 4 AS eligibility, c NOT IN (7, 10) AS entities, CAST(c IN (1, 2, 4, 7, 9, 10) AS BIGINT) AS exact_fail_count,
             CASE c WHEN 1 THEN 'amounts' WHEN 2 THEN 'dates' WHEN 4 THEN 'eligibility' WHEN 7 THEN 'entities' WHEN 9 THEN 'numbers' WHEN 10 THEN 'entities' ELSE '' END AS failed_categories FROM ({_F})""",
@@ -776,7 +788,7 @@ def _sql() -> dict[str, str]:
 
 def queries() -> dict[str, Query]:
     plain = (
-        blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, verdict_counts,
+        blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, fact_table_verdicts, verdict_counts,
         annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, revise_stream, asof_events, overlapping_periods, event_sessions, verdict_summary, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
