@@ -14,7 +14,8 @@ family. A common passage can give unrelated texts a part, but not near sketches.
 
 Both groups, sharers of a part and families, may be of any size and are connected without comparing all with all (see connected): blocks of bounded size within themselves, then one of each connected set
 of a block with those of other blocks, then only what is outside the group's largest component with the rest. A group of near copies of one text takes time and
-shuffle in proportion to its size. Only a group that holds several large unconnected sets costs their product, in blocks. The number of links of each class (n_links) does need all pairs of
+shuffle in proportion to its size. A group of which more than a block stays unconnected (texts on one template, say) is cut again, by single bits of the sketches, rarest first (see Cut): texts that have
+only the template in common then share no group, so their number costs no square. What such a cut leaves together, near misses above all, is compared as before. The number of links of each class (n_links) does need all pairs of
 a family, block by block, and is counted only on request.
 
 Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty or blank texts have empty sets and link with nothing. Rows without an id
@@ -45,6 +46,8 @@ ROWS_A_PORTION = 4096
 CLASSES_A_BLOCK, MEMBERS_A_BLOCK = 1024, 1 << 20
 SHARERS_A_BLOCK = 2048  # classes with one part that a task compares at once
 ROWS_A_TASK = 1 << 17
+NARROW = 1.06  # growth of the size bands of a group that is cut again
+OFTEN = 1 << 18  # members whose counts every task gets for that
 
 
 def sets_of(column: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -307,10 +310,11 @@ def _edges(table: pa.Table, left: np.ndarray, right: np.ndarray, relation: Relat
     return reps[rows[least[some]]], reps[rows[some]]
 
 
-def connected(items: DataFrame, with_payload: Callable[[DataFrame], DataFrame], relation: Relation, tasks: int, block: int) -> DataFrame:
+def connected(items: DataFrame, with_payload: Callable[[DataFrame], DataFrame], relation: Relation, tasks: int, block: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """items: g, blocks (of bounded size, into which the group is dealt), rep. with_payload adds n and payload. relation: which items of a group are related.
 
-    Pairs a, b that connect what the relation connects within the groups. tasks: how many share the groups of one block; block: items that make a block."""
+    Pairs a, b that connect what the relation connects within the groups. tasks: how many share the groups of one block; block: items that make a block.
+    cut: smaller groups of the items (the same columns) in which all related ones of a group still meet, for groups that would be compared block by block."""
     schema = "g long, a long, b long"
     nothing = pa.table([pa.array([], pa.int64())] * 3, names=["g", "a", "b"])
 
@@ -344,7 +348,14 @@ def connected(items: DataFrame, with_payload: Callable[[DataFrame], DataFrame],
         return found
     # of each connected set of a block its smallest stands for it
     heads = many.join(found.select("g", F.col("b").alias("rep")).hint("merge"), ["g", "rep"], "left_anti")
-    count = small(written(heads.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("head_blocks")), "heads"))
+    count = written(heads.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("head_blocks")), "heads")
+    if cut:
+        loose = many.join(small(count.where("head_blocks > 1")), "g", "left_semi")
+        if not loose.isEmpty():
+            found = written(found.union(connected(cut(loose), with_payload, relation, tasks, block)), "cut")
+            count = count.where("head_blocks = 1")
+            many = many.join(small(count), "g", "left_semi")
+    count = small(count)
     heads = with_payload(heads.join(count, "g")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("head_blocks"))).withColumn("o", numbers(F.col("head_blocks")))
     heads = heads.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
     found = written(found.union(heads.groupBy("g", "i", "j").applyInArrow(across, schema)), "across")
@@ -354,7 +365,13 @@ def connected(items: DataFrame, with_payload: Callable[[DataFrame], DataFrame],
     size = at.groupBy("g", "at").agg(F.count("*").alias("n_at"))
     most = size.groupBy("g").agg(F.max(F.struct("n_at", "at")).alias("most"), F.sum("n_at").alias("all"))
     most = most.where(F.col("most.n_at") < F.col("all")).select("g", F.col("most.at").alias("main"), F.ceil((F.col("all") - F.col("most.n_at")) / block).cast("long").alias("few_blocks"))
-    left = at.join(small(written(most, "open")), "g")
+    most = written(most, "open")
+    if cut:
+        loose = at.join(small(most.where("few_blocks > 1")), "g", "left_semi").select(*items.columns)
+        if not loose.isEmpty():
+            found = written(found.union(connected(cut(loose), with_payload, relation, tasks, block)), "cut")
+            most = most.where("few_blocks = 1")
+    left = at.join(small(most), "g")
     if left.isEmpty():
         return found
     few = with_payload(left.where("at <> main")).withColumn("s", F.pmod(F.xxhash64("rep"), F.col("few_blocks"))).withColumn("o", numbers(F.col("blocks"))).withColumn("few", F.lit(True))
@@ -362,20 +379,114 @@ def connected(items: DataFrame, with_payload: Callable[[DataFrame], DataFrame],
     return found.union(few.unionByName(others).groupBy("g", "s", "o").applyInArrow(rest, schema))
 
 
-def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """keys: rep, k1, k2 (of the class), and more. Adds n and payload, the set of the class, from the texts of docs."""
+def _of_sets(docs: DataFrame, keys: DataFrame, k: int, make: Callable[[list[pa.Array], list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """keys: rep, k1, k2 (of the class), and more. make gives rows of schema from the columns but k1 and k2 and the sets of some classes, which come from the texts of docs."""
     others = [c for c in keys.columns if c not in ("k1", "k2")]
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
             sets = sets_of(part.column(0), k)
-            right = pa.array([_key(s) == (a, b) for s, a, b in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([*part.columns[3:], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], [*others, "n", "payload"])
-            yield out.filter(right)
+            right = [i for i, (s, a, b) in enumerate(zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)) if _key(s) == (a, b)]
+            if right:
+                yield make([c.take(pa.array(right)) for c in part.columns[3:]], [sets[i] for i in right])
 
     texts = docs.join(small(keys, 500_000), F.col("doc_id") == F.col("rep")).select("text", "k1", "k2", *others)
+    return texts.mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """keys: rep, k1, k2 (of the class), and more. Adds n and payload, the set of the class, from the texts of docs."""
+    others = [c for c in keys.columns if c not in ("k1", "k2")]
+
+    def full(columns: list[pa.Array], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], [*others, "n", "payload"])
+
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.select(*others).schema)
-    return texts.mapInArrow(full, f"{kinds}, n long, payload binary")
+    return _of_sets(docs, keys, k, full, f"{kinds}, n long, payload binary")
+
+
+@functools.cache
+def narrow_bands(largest: int = 1 << 40) -> np.ndarray:
+    """Smallest size of each narrow band."""
+    low = [1]
+    while low[-1] < largest:
+        low.append(max(low[-1] + 1, int(np.ceil(low[-1] * NARROW))))
+    return np.array(low)
+
+
+def rarest(members: np.ndarray, often: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[np.ndarray, int]]:
+    """For each narrow band of sizes in which a set that links may be: a part of the members, as words that tell both bands, and the side (1: of the smaller band, 2: of the larger, 3: both are one).
+
+    often: sorted members of high count, with counts. All sets rank their members in one order, others first, then those in often by count. Sets of a and b members that link have
+    num * (a + b) / (num + den) in common, so they meet in what is left of a when one less than that is taken from its end, and likewise of b."""
+    n, low = len(members), narrow_bands()
+    if len(often):
+        at = np.minimum(np.searchsorted(often, members), len(often) - 1)
+        level = np.where(often[at] == members, counts[at], 0)
+    else:
+        level = np.zeros(n, np.int64)
+    mixed = mix(members)
+    mixed = mixed[np.lexsort((mixed, level))]
+    least, most = -(-n * num // den), n * den // num
+    own, first, last = (int(x) for x in np.searchsorted(low, [n, least, most], "right") - 1)
+    out = []
+    for band in range(first, last + 1):
+        common = -(-num * (n + max(int(low[band]), least)) // (num + den))
+        salt = mix(np.array([min(own, band) << 20 | max(own, band)], np.uint64) + np.uint64(0x8EBC6AF09C88C6E3))[0]
+        out.append((mix(mixed[: n - common + 1] ^ salt), 1 if own < band else 2 if own > band else 3))
+    return out
+
+
+class Cut:
+    """Smaller groups for classes whose groups are large: those that share one of the members that are rarest among all such classes.
+
+    docs: doc_id, text; classes: rep, k1, k2, n. What the driver and each task get is bounded by OFTEN; the order of members beyond it follows their hashes, which any order may."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, block: int):
+        self.docs, self.classes, self.k, self.block = docs, classes, k, block
+
+    def often(self, keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The members that most classes hold, and their counts."""
+
+        def count(columns: list[pa.Array], sets: list[np.ndarray]) -> pa.RecordBatch:
+            value, c = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(c)], ["member", "c"])
+
+        counts = _of_sets(self.docs, keys, self.k, count, "member long, c long").groupBy("member").agg(F.sum("c").alias("c")).where("c > 1")
+        counts = written(counts, "member-counts")
+        level = F.floor(F.log2("c") * 16)
+        shown, least = 0, -1
+        for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundreds of rows at most
+            shown += r["count"]
+            if shown > OFTEN:
+                least = r.level
+                break
+        top = counts.where(level > least).toPandas()  # OFTEN rows at most
+        forget(counts)
+        member, c = top.member.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
+        order = np.argsort(member)
+        return member[order], c[order]
+
+    def __call__(self, items: DataFrame) -> DataFrame:
+        items = written(items.drop("g", "blocks").distinct(), "loose")
+        keys = written(items.select("rep").distinct().join(self.classes.select("rep", "k1", "k2", "n").hint("merge"), "rep"), "loose-classes")
+        often, counts = self.often(keys.drop("n"))
+
+        def send(columns: list[pa.Array], sets: list[np.ndarray]) -> pa.RecordBatch:
+            found = [(i, *x) for i, s in enumerate(sets) for x in rarest(s, often, counts)]
+            lengths = [len(t) for _, t, _ in found]
+            of = np.repeat([i for i, _, _ in found], lengths)
+            side = np.repeat([x for _, _, x in found], lengths).astype(np.int32)
+            return pa.RecordBatch.from_arrays([columns[0].take(pa.array(of)), pa.array(np.concatenate([t for _, t, _ in found]).view(np.int64)), pa.array(side), columns[1].take(pa.array(of))], ["rep", "token", "side", "n"])
+
+        sent = _of_sets(self.docs, keys.select("k1", "k2", "rep", "n"), self.k, send, "rep long, token long, side int, n long")
+        # who shares a token, as a sum of digests; tokens that the same classes share count once
+        shared = sent.groupBy("token").agg(F.bit_or("side").alias("sides"), F.count("*").alias("size"), F.sum("n").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+        shared = shared.where("sides = 3 and size > 1").groupBy("who", "size").agg(F.min("token").alias("g"), F.first("members").alias("members"))
+        blocks = F.greatest(F.ceil(F.col("size") / self.block), F.ceil(F.col("members") / MEMBERS_A_BLOCK)).cast("long")
+        shared = written(shared.select("g", blocks.alias("blocks")), "shared-members")
+        small_groups = sent.select("rep", F.col("token").alias("g")).join(small(shared), "g").distinct()
+        return written(small_groups.join(items.hint("merge"), "rep"), "cut-groups")
 
 
 def block_links(sets: DataFrame) -> DataFrame:
@@ -418,17 +529,18 @@ def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
     sketches = classes.select("k1", "n", F.col("sketch").alias("payload"), F.col("rep").alias("at_rep"))
     known = written(shared.join(classes.select("k1", "rep").hint("merge"), "k1"), "known-sharers")
     marked = lambda x: x.join(sketches.hint("merge"), (F.col("k1_") == F.col("k1")) & (F.col("rep") == F.col("at_rep"))).drop("k1", "k1_", "at_rep")
-    ties = connected(known.withColumnRenamed("k1", "k1_"), marked, near_items, tasks, SHARERS_A_BLOCK)
+    keys = classes.drop("sketch")
+    ties = connected(known.withColumnRenamed("k1", "k1_"), marked, near_items, tasks, SHARERS_A_BLOCK, Cut(docs, keys, k, SHARERS_A_BLOCK))
     family = components(ties.select("a", "b"))
     family = written(family.union(family.select("component", "component").distinct()).toDF("rep", "g"), "families")
     forget(shared, known)
-    known = family.join(classes.drop("sketch").hint("merge"), "rep")
+    known = family.join(keys.hint("merge"), "rep")
     size = known.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CLASSES_A_BLOCK), F.ceil(F.sum("n") / MEMBERS_A_BLOCK)).cast("long").alias("blocks"))
     large = written(size.where("blocks > 1"), "large-families")
     known = written(known.join(small(large), "g", "left").select("rep", "k1", "k2", "g", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"), "n"), "candidates")
     tasks = max(LEAST_BUCKETS, -(-(known.agg(F.sum("n")).first()[0] or 0) // MEMBERS_A_BLOCK))
     known = known.drop("n")
-    links = connected(known, lambda x: _sets(docs, x, k), linked_items, tasks, CLASSES_A_BLOCK)
+    links = connected(known, lambda x: _sets(docs, x, k), linked_items, tasks, CLASSES_A_BLOCK, Cut(docs, keys, k, CLASSES_A_BLOCK))
     label = components(links.select("a", "b"))
     at = classes.join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     if count_links:
