@@ -91,3 +91,32 @@ def wide_pairs(orders: DataFrame) -> DataFrame:
     easy = F.concat(date(F.when(key % 3 == 0, F.date_add(day, 40)).otherwise(day)), tail)
     texts = {"source_text": wide(F.concat(date(day), tail)), "easy_text": F.when(key % 2 == 0, wide(easy)).otherwise(easy)}
     return computed(orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_custkey"), texts).select("o_orderkey", "source_text", "easy_text", F.lit(REF_DATE).cast("date").alias("ref_date"))
+
+
+BENEFIT_CASES = 9
+
+
+def benefit_pairs(orders: DataFrame) -> DataFrame:
+    """o_orderkey, case, source_text, easy_text, ref_date: another notice, a numbered list with dates in points, a telephone in brackets and a bound on income.
+
+    case: 0 the date with hyphens, 1 another amount, 2 the telephone with other separators, 3 no telephone, 4 an operator that takes in its bound, 5 a refusal turned to a grant,
+    6 the year left out, 7 another office, 8 the amount in Korean numerals."""
+    key, cust, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    f = orders.select(
+        "o_orderkey", (key % BENEFIT_CASES).cast("int").alias("case"), (F.floor("o_totalprice").cast("long") + 1).alias("amount"), (cust % 300 * 1000 + 1030000).cast("long").alias("wage"),
+        F.year(day).alias("y"), F.month(day).alias("m"), F.dayofmonth(day).alias("d"), _s(key % 900 + 100).alias("middle"), _s(cust % 9000 + 1000).alias("last"),
+    )
+    c, won = F.col("case"), lambda x: F.concat(F.format_number(x, 0), F.lit("원"))
+    joined = lambda by: F.concat_ws(by, *(_s(F.col(x)) for x in ("y", "m", "d")))
+    source = F.concat(
+        F.lit("[지원금 안내]\n1. 기한: "), joined("."), F.lit(" 까지\n2. 지원금: "), won(F.col("amount")), F.lit("\n3. 소득 "), won(F.col("wage")), F.lit(" 초과 가구는 신청이 불가합니다.\n4. 접수: 행복동주민센터, 전화 (02)"),
+        F.col("middle"), F.lit("-"), F.col("last"),
+    )
+    when = F.when(c == 0, joined("-")).when(c == 6, F.concat(_s(F.col("m")), F.lit("월 "), _s(F.col("d")), F.lit("일"))).otherwise(joined("."))
+    money = F.when(c == 1, won(F.col("amount") + 30)).when(c == 8, F.concat(spelled(F.col("amount")), F.lit("원"))).otherwise(won(F.col("amount")))
+    phone = F.when(c == 2, F.concat(F.lit("전화는 02-"), F.col("middle"), F.lit(" "), F.col("last"))).when(c == 3, "").otherwise(F.concat(F.lit("전화는 (02)"), F.col("middle"), F.lit("-"), F.col("last")))
+    easy = F.concat(
+        F.lit("지원금은 "), money, F.lit("이에요. "), when, F.lit(" 까지 오세요. 소득 "), won(F.col("wage")), F.when(c == 4, " 이상").otherwise(" 초과"), F.lit(" 가구는 신청이 "), F.when(c == 5, "가능").otherwise("불가"),
+        F.lit("합니다. "), F.when(c == 7, "사랑동주민센터").otherwise("행복동주민센터"), F.lit("로 오세요. "), phone,
+    )
+    return computed(f, {"source_text": source, "easy_text": easy}).select("o_orderkey", "case", "source_text", "easy_text", F.lit(REF_DATE).cast("date").alias("ref_date"))

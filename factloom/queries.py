@@ -172,6 +172,12 @@ def wide_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "verdict", F.array_join(F.transform("slots", lambda s: s["value"]), ",").alias("facts"), F.array_join(F.transform("failed", lambda s: s["type"]), ",").alias("failed"))
 
 
+def benefit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a second kind of notice; facts with the values that it reads."""
+    out = gate.verified(notices.benefit_pairs(table(spark, sf_dir, "orders")))
+    return out.select("o_orderkey", "verdict", F.array_join(F.transform("slots", lambda s: s["value"]), " ").alias("facts"), F.array_join(F.transform("failed", lambda s: s["type"]), ",").alias("failed"))
+
+
 def drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).where(F.size("drift_flags") > 0).select("o_orderkey", F.array_join("drift_flags", "|").alias("flags"))
 
@@ -726,6 +732,10 @@ def _sql() -> dict[str, str]:
         "fact_table_verdicts": f"""WITH e AS (SELECT o_orderkey, v, CASE v WHEN 0 THEN c WHEN 1 THEN 3 ELSE 0 END AS c FROM ({_F}), (VALUES (0), (1), (2)) t(v))
           SELECT CAST(o_orderkey * 3 + v AS BIGINT) AS easy_id, CAST(o_orderkey AS BIGINT) AS source_id, CASE WHEN c IN (0, 8, 11) THEN 'pass' WHEN c IN (3, 4, 5, 6, 7) THEN 'human_review' ELSE 'revise' END AS verdict, CAST(10 AS BIGINT) AS n_facts,
             CAST(c IN (1, 2, 4, 7, 9, 10) AS BIGINT) AS n_failed, CAST(c = 3 AS BIGINT) AS date_flips, CAST(c IN (5, 6) AS BIGINT) AS scope_flips, CAST(c = 4 AS BIGINT) AS negation_flips FROM e""",
+        "benefit_verdicts": """WITH b AS (SELECT o_orderkey, o_orderkey % 9 AS c, CAST(floor(o_totalprice) AS BIGINT) + 1 AS amount, o_custkey % 300 * 1000 + 1030000 AS wage, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey % 900 + 100 AS middle, o_custkey % 9000 + 1000 AS last FROM orders)
+          SELECT o_orderkey, CASE WHEN c IN (1, 3) THEN 'revise' WHEN c IN (4, 5, 7) THEN 'human_review' ELSE 'pass' END AS verdict,
+            amount || ' ' || wage || ' ' || day || '|inclusive 02' || middle || last || ' > 불가합니다 행복동주민센터' AS facts,
+            CASE c WHEN 1 THEN 'money' WHEN 3 THEN 'contact' WHEN 5 THEN 'negation' WHEN 7 THEN 'agency' ELSE '' END AS failed FROM b""",
         "verdict_counts": f"SELECT verdict, count(*) AS n FROM ({j}) GROUP BY verdict",
         "annotated_pairs": f"""SELECT o_orderkey, c <> 9 AS numbers, c <> 2 AS dates, c <> 1 AS amounts, true AS deadlines, c <> 4 AS eligibility, c NOT IN (7, 10) AS entities, CAST(c IN (1, 2, 4, 7, 9, 10) AS BIGINT) AS exact_fail_count,
             CASE c WHEN 1 THEN 'amounts' WHEN 2 THEN 'dates' WHEN 4 THEN 'eligibility' WHEN 7 THEN 'entities' WHEN 9 THEN 'numbers' WHEN 10 THEN 'entities' ELSE '' END AS failed_categories FROM ({_F})""",
@@ -789,7 +799,7 @@ def _sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     plain = (
         blocks_segment, sentence_stats, abbrev_percent_bignum, secret_scan, secret_scan_pages, pattern_contacts, korean_numbers, ambiguous_deadlines, slot_survival_failures, meaning_flips, fidelity_verdicts, fact_table_verdicts, verdict_counts,
-        annotated_pairs, spelled_amounts, wide_digits, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, revise_stream, asof_events, overlapping_periods, event_sessions, verdict_summary, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
+        annotated_pairs, spelled_amounts, wide_digits, benefit_verdicts, drift_flags, ambiguous_days, picture_leaks, phrase_hits, phrase_hits_joined, secret_blocks, asset_findings, audit_findings, corpus_annotation, distortion_bench_by_type, distortion_bench_overall, pictogram_match, revise_loop, revise_stream, asof_events, overlapping_periods, event_sessions, verdict_summary, prompts, render_html, readability_rules, readability_score, readability_violations, readability_evaluation, word_lists, license_gates,
     )
     out = {f"slots_{k}": _slots(k) for k in ("money", "date", "contact", "scope", "negation", "agency", "numeric")}
     # the names under which the benches over every order were first registered
