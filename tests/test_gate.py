@@ -102,6 +102,12 @@ def test_numbers_of_telephones_are_no_days(spark):
     assert [(r.verdict, [s.type for s in r.failed], r.date_flips) for r in got] == [("revise", ["date"], 0), ("pass", [], 0)]
 
 
+def test_spelled_numbers_keep_all_digits(spark):
+    numbers = [438799999994, 158999999999, 99999999, 9999999999999999, 10000, 1, 12345678901234567890, 10**16]
+    rows = spark.createDataFrame([(str(n),) for n in numbers], "n string").select("n", notices.spelled(F.col("n").cast("decimal(38,0)")).alias("s"))
+    assert [r.v for r in rows.select(normalize.amount(F.col("s")).alias("v")).collect()] == [str(n) for n in numbers]
+
+
 def test_another_amount_is_no_fault_where_the_first_one_stands_too(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     from factloom import queries
