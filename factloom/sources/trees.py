@@ -21,6 +21,7 @@ from factloom.sources.shared import written
 
 BLOCK_BYTES, OVERLAP = 8 << 20, 1 << 16
 LONGEST = 4  # bytes of a character
+BATCH_CHARS = 4 << 20  # of blocks that a task holds before they go on
 
 
 def qualified(spark: SparkSession, root: str) -> str:
@@ -106,10 +107,25 @@ def read_tree(spark: SparkSession, root: str, block_bytes: int = BLOCK_BYTES, ov
 
 def blocks_of(texts: DataFrame, path_col: str, text_col: str, block_chars: int, overlap: int) -> DataFrame:
     """Texts of a table in blocks as of a tree: path, start (byte of the text), content, lead, own. Null texts have one block without content."""
-    rows = texts.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0)), F.lit(block_chars))
-    rows = rows.withColumn("first", F.explode(starts)).withColumn("lead", F.least(F.col("first"), F.lit(1)))
-    rows = rows.withColumn("content", F.substring("text", F.col("first") - F.col("lead") + 1, F.col("lead") + F.lit(block_chars + overlap)))
-    own = F.greatest(F.least(F.lit(block_chars), n - F.col("first")), F.lit(0))
-    return rows.select("path", F.octet_length(F.substring("text", F.lit(1), F.col("first"))).cast("long").alias("start"), "content", "lead", own.alias("own"))
+    names, kinds = ["path", "start", "content", "lead", "own"], [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text is walked through once: each block costs its own characters, not those before it
+        for batch in batches:
+            out, size = [], 0
+            for i in range(batch.num_rows):
+                path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                text, start = None if data is None else data.decode("utf-8", "replace"), 0
+                for first in range(0, max(len(text or ""), 1), block_chars):
+                    lead, own = min(first, 1), len(text or "") and min(block_chars, len(text) - first)
+                    content = None if text is None else text[first - lead : first + block_chars + overlap]
+                    out.append((path, start, content, lead, own))
+                    start, size = start + len((content or "")[lead : lead + own].encode()), size + len(content or "")
+                    if size >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    rows = texts.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(cut, "path string, start long, content string, lead int, own int")
