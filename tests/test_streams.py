@@ -132,3 +132,20 @@ def test_documents_that_wait_in_vain_go_to_a_person(spark, tmp_path):
         got = run(spark, source, out, checkpoint)
     # 1 waited for an answer to a revision, 2 for its first answer; what comes later changes nothing
     assert got == [(1, "no", "human_review", 0), (2, None, "human_review", 0), (3, "ok", "pass", 0), (4, "ok", "pass", 0)]
+
+
+def test_a_new_document_that_ends_at_once_needs_few_calls_of_the_state():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (False if name == "exists" else [])
+
+    loop = revision_stream._Loop("k", 3, 1000, 1000)
+    loop.handle = loop.turn = loop.early = State()
+    rows = pd.DataFrame({"attempt": [2, 1, 0], "easy_text": ["c", "b", "a"], "verdict": ["pass", "revise", "revise"], "at_ms": [3, 2, 1]})
+    out = pd.concat(loop.handleInputRows((7,), iter([rows]), None))
+    assert out.values.tolist() == [[7, "c", "pass", 2]]
+    assert len(calls) <= 3
