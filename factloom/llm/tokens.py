@@ -11,7 +11,8 @@ import functools
 
 import numpy as np
 
-_PUNCTUATION = b".,!?;:"
+# the pattern keeps letters and runs of these apart
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> str:
@@ -24,7 +25,7 @@ def _byte_letters() -> str:
 class WordIds(dict):
     """word (bytes) -> its ids as little-endian unsigned integers of `dtype`."""
 
-    def __init__(self, path: str | None = None, dtype: str = "<u4", literal_specials: bool = False, most: int = 250_000):
+    def __init__(self, path: str | None = None, dtype: str = "<u4", literal_specials: bool = False, most: int = 120_000):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -34,39 +35,60 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal_specials
         self.model, self.dtype, self.most, self.letters = self.tokenizer.model, dtype, most, _byte_letters()
+        self.written = [np.array([i], dtype).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        # each cache has two generations: a full one becomes the older one, whose words come back as they are met, so frequent words stay; a word is kept once its letters were met before
         self.cores: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.older_cores: dict[bytes, bytes] = {}
         self.ends: dict[bytes, bytes] = {b"": b""}
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_PUNCTUATION)
-        end = word[len(core) :]
-        text = core.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "ɐ" and "İ" not in text:
-            if end not in self.ends:
-                self.ends[end] = self._whole(end)
-            low = text.lower().encode()
-            ids = self.cores.get(low)
-            if ids is None:
-                ids = self._bytes([t.id for t in self.model.tokenize(low.decode("latin-1").translate(self.letters))])
-                if len(self.cores) >= self.most:
-                    self.cores.clear()
-                self.cores[low] = ids
-            ids += self.ends[end]
-        else:
-            ids = self._whole(word)
-        if len(word) < 100:
+        ids, met = self.older.get(word), True
+        if ids is None:
+            core = word.rstrip(_PUNCTUATION)
+            low = self._plain(core)
+            if low is None:
+                ids = self._whole(word)
+            else:
+                ids = self.cores.get(low)
+                if ids is None:
+                    ids = self.older_cores.get(low)
+                    if ids is None:
+                        met, ids = False, self._bytes(self.model.tokenize(low.decode("ascii") if low.isascii() else low.decode("latin-1").translate(self.letters)))
+                    if len(low) < 100:
+                        if len(self.cores) >= self.most:
+                            self.older_cores, self.cores = self.cores, {}
+                        self.cores[low] = ids
+                if len(core) < len(word):
+                    ids += self._end(word[len(core) :])
+        if met and len(word) < 100:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
-            if len(self.ends) > 10_000:
-                self.ends = {b"": b""}
             self[word] = ids
         return ids
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    @staticmethod
+    def _plain(core: bytes) -> bytes | None:
+        """Latin letters in lower case, null for all else."""
+        if core.isalpha():  # of ASCII
+            return core.lower()
+        text = core.decode("utf-8", "replace")
+        return text.lower().encode() if text.isalpha() and max(text) < "ɐ" and "İ" not in text else None
+
+    def _end(self, end: bytes) -> bytes:
+        if end not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends = {}
+            self.ends[end] = self._whole(end)
+        return self.ends[end]
+
+    def _bytes(self, tokens: list) -> bytes:
+        written = self.written
+        return b"".join([written[t.id] for t in tokens])
 
     def _whole(self, word: bytes) -> bytes:
-        return self._bytes(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return b"".join([self.written[i] for i in self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids])
 
     def text(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))

@@ -289,6 +289,30 @@ def test_cached_ids_are_the_tokenizers(text):
         assert np.frombuffer(ids.text(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_stay_in_the_cache():
+    from factloom.llm.tokens import WordIds
+
+    class Counted:
+        def __init__(self, model):
+            self.inner, self.seen = model, []
+
+        def tokenize(self, text):
+            self.seen.append(text)
+            return self.inner.tokenize(text)
+
+    ids = WordIds(most=8)
+    ids.model = Counted(ids.model)
+    rare = ["".join(chr(97 + (i * 7 + j * i) % 26) for j in range(6)) + chr(97 + i % 26) + chr(97 + i // 26) for i in range(60)]
+    for word in rare:
+        text = f"often {word} Often*** {word}!?"
+        assert np.frombuffer(ids.text(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.model.seen.count("often") == 1 and len(ids.model.seen) == 1 + len(set(rare))
+    assert max(map(len, (ids, ids.older, ids.cores, ids.older_cores))) <= 8
+    for p in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
+        for word in ("ab" + p, "s" + p + "s" + p, p + "ll" + p, "Éa" + p + "'", "a'" + p):
+            assert np.frombuffer(ids.text(word), "<u4").tolist() == ids.tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
 def test_token_counts(spark, docs, empty, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
