@@ -96,9 +96,12 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str], left_period: tupl
         out = rows.select(F.struct(*rows.columns).alias(names[side]), *by, F.explode(F.array_compact(F.array(*bins))).alias("at"))
         return out.select(names[side], *by, F.col("at.level").alias(names["level"]), F.explode("at.bins").alias(names["bin"]), F.col("at.own").alias(names[f"{side}_own"]))
 
-    met = placed(sides[0], left_period, "a").join(placed(sides[1], right_period, "b"), [*by, names["level"], names["bin"]])
+    left_rows, right_rows = placed(sides[0], left_period, "a"), placed(sides[1], right_period, "b")
+    on = [*by, names["level"], names["bin"]]
+    # guests of both tables are kept apart before they are joined: a wide bin holds nearly all rows of a key as guests
+    met = left_rows.where(names["a_own"]).join(right_rows, on).unionByName(left_rows.where(~F.col(names["a_own"])).join(right_rows.where(names["b_own"]), on))
     a, b = F.col(names["a"]), F.col(names["b"])
     later = F.greatest(_seconds(a[left_period[0]]), _seconds(b[right_period[0]]))
     width = F.get(F.array(*map(F.lit, widths)), F.col(names["level"]))
-    pairs = met.where(F.col(names["a_own"]) | F.col(names["b_own"])).where((a[left_period[0]] <= b[right_period[1]]) & (b[right_period[0]] <= a[left_period[1]])).where(F.floor(later / width) == F.col(names["bin"]))
+    pairs = met.where((a[left_period[0]] <= b[right_period[1]]) & (b[right_period[0]] <= a[left_period[1]])).where(F.floor(later / width) == F.col(names["bin"]))
     return pairs.select(*(a[c].alias(c) for c in left.columns), *(b[c].alias(c) for c in right.columns if c not in by))

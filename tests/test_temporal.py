@@ -68,3 +68,13 @@ def test_overlaps(spark):
     assert temporal.overlaps(x.where("false"), y, ["k"], ("s", "e"), ("u", "v")).count() == 0
     none = temporal.overlaps(x.where("false"), y.where("false"), ["k"], ("s", "e"), ("u", "v"))
     assert none.count() == 0 and set(none.columns) == {"id", "k", "s", "e", "name", "u", "v"}
+
+
+def test_guests_of_wide_bins_do_not_meet(spark):
+    # short periods of one key, and a long one of each table, in whose bin all short ones are guests
+    rows = lambda n: spark.range(n).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 5).alias("t"), F.timestamp_seconds(F.col("id") * 5 + F.when(F.col("id") == 0, 100_000).otherwise(2)).alias("u"))
+    a, b = rows(2000), rows(3000).select("k", F.col("t").alias("s"), F.col("u").alias("e"))
+    got = temporal.overlaps(a, b, ["k"], ("t", "u"), ("s", "e"))
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2 and not any("own" in x for x in joins)  # which of two rows is a guest decides before they are paired
+    assert got.count() == 2000 + 3000 - 1 + 1999
