@@ -40,7 +40,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
-        for part in portions(batches):
+        for part in portions(batches, cache="word_ids"):
             rows: list[tuple] = []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 ids = ids_of.text(text) + end

@@ -34,7 +34,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, separ
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer, "<u2", True)
-        for part in portions(batches):
+        for part in portions(batches, cache="word_ids"):
             yield pa.RecordBatch.from_arrays([pa.array([ids_of.text(t) for t in part.column(0).to_pylist()], pa.binary())], ["ids"])
 
     ids = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(encode, "ids binary")

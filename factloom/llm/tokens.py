@@ -11,6 +11,8 @@ import functools
 
 import numpy as np
 
+from factloom.llm.words import caches
+
 # the pattern keeps letters and runs of these apart
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -98,3 +100,6 @@ class WordIds(dict):
 def word_ids(path: str | None, dtype: str = "<u4", literal_specials: bool = False) -> WordIds:
     """One cache for all the tasks that a Python worker runs."""
     return WordIds(path, dtype, literal_specials)
+
+
+caches["word_ids"] = word_ids.cache_clear

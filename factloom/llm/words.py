@@ -5,7 +5,7 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D, as in the pattern [^\\x20\\
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = []
+caches: dict[str, Callable[[], None]] = {}  # of what a worker keeps from task to task: name -> what empties it
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +51,11 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices of about `most` bytes of text each (one row at least), so that memory stays bounded."""
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21, cache: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about `most` bytes of text each (one row at least), so that memory stays bounded. Caches that earlier stages left in this worker are emptied, but for the one named."""
+    for name, emptied in caches.items():
+        if name != cache:
+            emptied()
     for batch in batches:
         _, offsets = strings(batch.column(batch.schema.get_field_index(text)))
         at = 0
@@ -59,6 +63,7 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -313,6 +313,18 @@ def test_frequent_words_stay_in_the_cache():
             assert np.frombuffer(ids.text(word), "<u4").tolist() == ids.tokenizer.encode(word, add_special_tokens=False).ids, word
 
 
+def test_later_stages_empty_the_cache_of_words():
+    import pyarrow as pa
+
+    from factloom.llm import words
+    from factloom.llm.tokens import word_ids
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])
+    held = word_ids(None)
+    assert list(words.portions([batch], cache="word_ids")) == [batch] and word_ids(None) is held
+    assert list(words.portions([batch])) == [batch] and word_ids(None) is not held
+
+
 def test_token_counts(spark, docs, empty, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
