@@ -118,3 +118,18 @@ def test_another_amount_is_no_fault_where_the_first_one_stands_too(spark, tmp_pa
     for name in ("fidelity_verdicts", "slot_survival_failures", "fact_table_verdicts"):
         got = [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted(con.sql(queries.oracle_sql()[name]).fetchall()), name
+
+
+def test_the_verdict_alone_is_that_of_the_whole_gate(spark):
+    source = "대금 1,234원을 2026년 7월 17일까지 강서구청에 내세요. 만 20세 이상은 제외됩니다. 하지 \t않는 곳은 없음. 소득이 삼만원 미만. 세 명, 문의 031-123-4567"
+    changes = (("", ""), ("1,234원", "1,235원"), ("까지", " 전에"), ("17일", "18일"), ("강서구청", "송파구청"), ("이상", "이하"), ("제외", "포함"), ("지 \t않", "지 않"), ("없음", "없지 않음"), ("삼만원", "30,000 원"), ("미만", ""), ("4567", "4568"), ("20세", "21세"), ("세 명", "네 명"))
+    easies = [source.replace(a, b) if a else source for a, b in changes] + [source.replace("20세 ", "20세 이하 20세 "), "", None]
+    rows = [(i * 100 + j, s, e, d) for i, (s, d) in enumerate(((source, "2026-07-01"), (source + " 2027년 7월 17일까지 D-3", None), (" ", None), (None, None))) for j, e in enumerate(easies)]
+    pairs = spark.createDataFrame(rows, "id int, source_text string, easy_text string, ref_date string")
+    for options in ({}, {"rounding_allowed": ("1234",)}, {"criticality": {"money": "low", "date": "low"}}):
+        whole = {r.id: r.verdict for r in gate.verified(pairs, **options).select("id", "verdict").collect()}
+        alone = gate.verdicts(pairs, **options)
+        assert {r.id: r.verdict for r in alone.collect()} == whole and len(set(whole.values())) == 3
+        assert "slots" not in alone.columns
+    found = gate.verdicts(gate.with_facts(pairs), facts="source_slots")
+    assert {r.id: r.verdict for r in found.collect()} == {r.id: r.verdict for r in gate.verified(pairs).collect()}
