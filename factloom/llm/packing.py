@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.tokens import word_ids
+from factloom.llm.tokens import word_table
 from factloom.llm.words import portions
 
 
@@ -39,11 +39,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
-        for part in portions(batches, cache="word_ids"):
+        table = word_table(tokenizer)
+        for part in portions(batches, most=1 << 20, cache="word_table"):
             rows: list[tuple] = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = ids_of.text(text) + end
+            found, first = table.rows(part.column(1))
+            written, to = found.astype("<u4", copy=False).tobytes(), (4 * first).tolist()
+            for doc, a, b in zip(part.column(0).to_pylist(), to, to[1:], strict=False):
+                ids = written[a:b] + end
                 n, at = len(ids) // 4, 0
                 for k in lengths(n, capacity):
                     rows.append((doc, at, k, ids[4 * at : 4 * (at + k)], n, k.bit_length() - 1))
