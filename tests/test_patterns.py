@@ -55,3 +55,27 @@ def test_window_hashes():
         assert len(got) == max(0, len(text) - n + 1)
         assert all(got[i] == patterns.Windows(text[i : i + n]).of(n)[0] for i in range(len(got)))
     assert len(np.unique(windows.of(3))) == len({text[i : i + 3] for i in range(34)})
+
+
+@pytest.mark.parametrize("most", [patterns.MOST_BROADCAST, 0])
+def test_windows_stay_where_they_are_if_few_strings_are_met(spark, monkeypatch, most):
+    monkeypatch.setattr(patterns, "MOST_BROADCAST", most)
+    texts = [(i, f"ab{i % 7} xyz ab{i % 7} " * 3) for i in range(40)]
+    listed = [f"b{i}" for i in range(5)] + ["xyz", "never"]
+    got = patterns.occurrences(spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame([(p,) for p in listed], "pattern string"), most_chars=0)
+    assert sorted(((r.key, r.pattern, r["at"]) for r in got.collect()), key=str) == plain(texts, listed)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (most == 0) and ("BroadcastHashJoin" in plan) == (most > 0)
+
+
+def test_a_larger_table_has_more_tasks_of_one_size(spark, tmp_path):
+    from factloom import queries
+
+    spark.range(3_000_000).repartition(1).write.parquet(str(tmp_path / "large.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "large.parquet"))
+    size = sum(p.stat().st_size for p in (tmp_path / "large.parquet").glob("*.parquet"))
+    old, queries.SHARE = queries.SHARE, size // 10
+    try:
+        assert queries.shares(rows) >= 10
+    finally:
+        queries.SHARE = old
