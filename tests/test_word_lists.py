@@ -59,3 +59,12 @@ def test_large_lists(spark):
     want = {i: len({f"w{n}"[:k] for n in (i, i + 150_000) for k in range(2, 8) if f"w{n}"[1:k] and int(f"w{n}"[1:k]) < 150_000 and str(int(f"w{n}"[1:k])) == f"w{n}"[1:k]}) for i in range(40)}
     assert {r.key: r.idiom for r in got} == {i: max(0.0, 100.0 - 20 * n) for i, n in want.items()}
     assert patterns.MOST_CHARS > 0
+
+
+def test_wanted_rules_alone(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    only = ("idiom", "hard_word_ratio", "hanja_loanword_ratio")
+    given = {"easy": listed(spark, lexicons.EASY_WORDS), "idioms": listed(spark, lexicons.IDIOMS)}
+    want, got = rules.scored(docs, **given), rules.scored(docs, **given, only=only)
+    assert set(got.columns) == {*docs.columns, *only} and as_rows(got.select("key", *only)) == as_rows(want.select("key", *only))
+    assert "undefined_hard_term" not in got._jdf.queryExecution().optimizedPlan().toString()
