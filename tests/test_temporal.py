@@ -78,3 +78,30 @@ def test_guests_of_wide_bins_do_not_meet(spark):
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert len(joins) == 2 and not any("own" in x for x in joins)  # which of two rows is a guest decides before they are paired
     assert got.count() == 2000 + 3000 - 1 + 1999
+
+
+@pytest.mark.parametrize("share", [3, 40, 50_000])
+def test_overlap_totals_are_those_of_the_pairs(spark, share):
+    rng = random.Random(share)
+    period = lambda long: (lambda s: (at(s), at(s + rng.choice([0, 0, 1, 5, 20, long]))))(rng.randrange(2000))
+    k = lambda: rng.choice([0, 0, 0, 1, 2, None])
+    left = [(rng.choice([i, i, 7]), k(), *period(1500)) for i in range(300)] + [(900, 0, at(9), at(3)), (901, 0, None, at(3)), (902, 0, at(3), None), (1, 0, at(-5000), at(9000)), (1, 0, at(-5000), at(9000)), (903, 5, at(1), at(2))]
+    right = [(k(), rng.choice([rng.randrange(-50, 10**6), None]), *period(700)) for i in range(300)] + [(0, 3, at(9), at(3)), (0, -7, at(100), at(100)), (0, 5, at(100), at(100)), (2, 1, at(-9000), at(9000))]
+    for kind in ("timestamp", "timestamp_ntz"):
+        x = spark.createDataFrame(left, f"id int, k int, s {kind}, e {kind}").repartition(3)
+        y = spark.createDataFrame(right, f"k int, x long, u {kind}, v {kind}").repartition(3)
+        pairs = temporal.overlaps(x, y, ["k"], ("s", "e"), ("u", "v"))
+        want = pairs.groupBy("id").agg(F.count("*"), F.coalesce(F.sum("x"), F.lit(0)), F.min("x")).collect()
+        got = temporal.overlap_totals(x, y, ["k"], ("s", "e"), ("u", "v"), ["id"], "x", share)
+        assert got.columns == ["id", "n", "total", "least"] and key(map(tuple, got.collect())) == key(map(tuple, want)) and len(want) > 100
+    assert temporal.overlap_totals(x.where("false"), y, ["k"], ("s", "e"), ("u", "v"), ["id"], "x").count() == 0
+    assert temporal.overlap_totals(x, y.where("false"), ["k"], ("s", "e"), ("u", "v"), ["id"], "x").count() == 0
+
+
+def test_totals_list_no_pairs(spark):
+    """A key whose rows all overlap: pairs are the square of the rows, and none is made."""
+    n = 20_000
+    a = spark.range(n).select("id", F.lit(1).alias("k"), F.timestamp_seconds("id").alias("s"), F.timestamp_seconds(F.col("id") + n).alias("e"))
+    b = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("x"), F.timestamp_seconds("id").alias("u"), F.timestamp_seconds(F.col("id") + n).alias("v"))
+    r = temporal.overlap_totals(a, b, ["k"], ("s", "e"), ("u", "v"), ["id"], "x", 1000).agg(F.count("*"), F.sum("n"), F.sum("total"), F.min("least"), F.max("least")).first()
+    assert tuple(r) == (n, n * n, n * n * (n - 1) // 2, 0, 0)
