@@ -57,3 +57,15 @@ def test_licences_and_secrets(spark):
     files = spark.createDataFrame([("src/a.py", "k = 'x'\npassword = 'abcdefghijklmnop1'"), ("tests/a.py", "password = 'abcdefghijklmnop1'"), ("b.txt", "900101-1234567"), ("corpus/x.png", ""), ("assets/pictograms/mulberry/LICENSE", "CC"), ("assets/a.svg", "<svg onload=x>")], "path string, content string")
     found = {(r.kind, r.detail) for r in audit.audit(spark.createDataFrame([("b", "1", "GPL")], "Name string, Version string, License string"), files).collect()}
     assert found == {("forbidden-license", "b 1 [GPL]"), ("secret", "generic-secret-assign in src/a.py"), ("pii", "korean-rrn in b.txt"), ("asset-in-code", "corpus/x.png"), ("active-svg", "assets/a.svg")}
+
+
+def test_a_rule_finds_what_it_needs_once(spark):
+    """Nouns, hits and shares are found once a rule, however often score and violations use them."""
+    df = spark.createDataFrame([("사람이 KTX를 탑니다.", [("사람", "NNG"), ("KTX", "SL"), ("漢字", "NNG"), ("그", "NP"), (None, "NNG"), ("안", None)])], SCHEMA)
+    once = rules.RULES["hard_word_ratio"](F.col("text"), F.col("tokens"))
+    plan = df.select(once.alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("NNG") <= 2, plan  # the nouns of the text, and those that are hard
+    r = rules.scored(df).first()
+    assert (r.hanja_loanword_ratio, r.third_person_fictional, r.direct_address, r.hard_word_ratio) == (50.0, 85.0, 70.0, 0.0) and round(r.negation_ratio, 6) == round(100 * (1 - 0.5 / 1.5), 6)
+    alone = rules.scored(df, only=rules.RULES).first()
+    assert all(alone[k] == r[k] for k in rules.RULES)
