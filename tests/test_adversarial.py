@@ -237,3 +237,16 @@ def test_days_far_ahead(spark):
     spans = ["0000007일 후", "2912000일 이내", "9999999일 후", "99999999999999999999일 후", "D-10"]
     got = [r.x for r in spark.createDataFrame([(s, day) for s in spans], "s string, d date").select(normalize.date_iso(F.col("s"), F.col("d")).alias("x")).collect()]
     assert got == ["2026-07-08", str(day + datetime.timedelta(days=2912000)), None, None, "2026-07-11"]
+
+
+def test_a_loop_needs_no_more_than_verdicts(spark):
+    """A gate that gives the verdict alone is enough where answers are there already."""
+    from factloom import queries
+    from factloom.operators import gate as whole
+
+    docs = spark.createDataFrame([(i, "회비 30,000원을 냅니다.", REF) for i in range(3)], "k int, source_text string, ref_date date")
+    answers = spark.createDataFrame([(0, 0, "30,000원"), (1, 0, "3원"), (1, 1, "30,000원"), (2, 0, "1원"), (2, 1, "2원"), (2, 2, "3원"), (2, 3, "4원")], "k int, attempt int, response string")
+    got = {r.k: (r.verdict, r.revisions) for r in revision.revised(docs, answers, whole.verdicts, "k").collect()}
+    assert got == {0: ("pass", 0), 1: ("pass", 1), 2: ("human_review", 3)}
+    orders = queries._answers(spark, "/root/testdata/sf0.001")
+    assert "Join" not in orders._jdf.queryExecution().optimizedPlan().toString() and orders.groupBy("o_orderkey").count().where("count <> 4").count() == 0
