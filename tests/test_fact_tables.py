@@ -57,3 +57,13 @@ def test_a_source_of_most_easy_texts(spark):
     rows = spark.createDataFrame([(i, source[s][0], e, source[s][1]) for i, s, e, _ in easies], "i long, source_text string, easy_text string, ref_date date")
     assert by_tables(spark.createDataFrame([(k, *v, "x") for k, v in source.items()], SOURCES), spark.createDataFrame(easies, EASIES)) == by_rows(rows)
     assert "fact_table_verdicts" in queries.queries() and "fact_table_verdicts" in queries.oracle_sql()
+
+
+def test_only_facts_that_are_missing_move(spark):
+    """What stands in an easy text is told in its row; facts are not dealt by kind and key to meet it."""
+    text = "회비 30,000원을 2026년 7월 17일까지 강서구청에 내세요. 문의 031-123-4567"
+    sources = spark.createDataFrame([(1, text, REF, "a")], SOURCES)
+    easies = spark.createDataFrame([(1, 1, text, 1), (2, 1, text.replace("30,000", "40,000"), 1), (3, 1, None, 1), (4, 9, text, 1)], EASIES)
+    read = fact_tables.easy_facts(easies, fact_tables.source_facts(sources))
+    got = {r.easy_id: [(x.type, x.value) for x in r.missing or []] for r in read.collect()}
+    assert got == {1: [], 2: [("money", "30000")], 3: [("money", "30000"), ("date", "2026-07-17|inclusive"), ("contact", "0311234567"), ("agency", "강서구청")], 4: []}
